@@ -162,4 +162,7 @@ def with_views(sql: str) -> str:
     if not needed:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in needed)
+    body = sql.lstrip()
+    if re.match(r"WITH\s", body, re.I):
+        return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{sql}"
