@@ -1,3 +1,329 @@
-"""Driver-checked queries."""
+"""Driver-checked queries: sources/sinks, feature store, run log, and the
+MLlib layer (training, calibration, scoring, streaming, vectors, search).
+
+Model-based queries have no SQL oracle (rows-only check); their properties
+are covered by ``tests/``.
+"""
 
 from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions.structure import binarize
+from ..operators import embed as E
+from ..operators import explain as XP
+from ..operators import importance as I
+from ..operators import metrics as M
+from ..operators import split as SP
+from ..operators import train as TR
+from ..operators.calibrate import calibrated_probability, fit_calibrator
+from ..operators.search import choose_balance, joint_search, learning_curve, subset_search
+from ..plans.features import all_features, fit_features
+from ..plans.scoring import score_posts
+from ..plans.training import TrainConfig, train_run
+from ..registry import register
+from ..session import ensure_checkpoint_dir
+from ..sources import fixtures as FX
+from ..sources import io as IO
+from ..sources import store as ST
+from ..sources.bundle import Bundle, load_bundle, save_bundle
+from ..streaming.scoring import score_stream
+from .catalog_features import IMAGE_MAX_BYTES
+
+QUERY_PARAMS = {"n_estimators": 10, "max_depth": 4, "min_child_samples": 5, "learning_rate": 0.1}
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory (never machine-local on a cluster)."""
+    return os.path.join(ensure_checkpoint_dir(spark), "scratch", f"{name}-{uuid.uuid4().hex[:10]}")
+
+
+# -- SRC-1/2, SNK-1 ------------------------------------------------------------------
+EVENTS_SQL = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
+
+
+def _roundtrip(spark, sf_dir, ext):
+    ev = FX.table(spark, sf_dir, "events")
+    path = scratch(spark, "roundtrip") + ext
+    IO.save_table(ev, path)
+    return IO.load_table(spark, path, schema=ev.schema)
+
+
+@register("roundtrip_csv", EVENTS_SQL, ids=("SRC-2", "SNK-1"))
+def roundtrip_csv(spark, sf_dir):
+    return _roundtrip(spark, sf_dir, ".csv")
+
+
+@register("roundtrip_json", EVENTS_SQL, ids=("SRC-2", "SNK-1"))
+def roundtrip_json(spark, sf_dir):
+    return _roundtrip(spark, sf_dir, ".json")
+
+
+@register("roundtrip_parquet", EVENTS_SQL, ids=("SRC-2", "SNK-1"))
+def roundtrip_parquet(spark, sf_dir):
+    return _roundtrip(spark, sf_dir, ".parquet")
+
+
+@register("load_json_posts", """
+SELECT post_id, text, quoted_text, tweet_type, image_url, created_at, total_trade_volume FROM posts""",
+          ids=("SRC-1", "SRC-3"))
+def load_json_posts(spark, sf_dir):
+    p = FX.posts(spark, sf_dir)
+    path = scratch(spark, "posts") + ".json"
+    IO.save_table(p, path)
+    back = IO.load_posts(spark, path, multiline=False)
+    return back.select("post_id", "text", "quoted_text", "tweet_type", "image_url", "created_at",
+                       "total_trade_volume")
+
+
+# -- FS-1, FS-2, SNK-3 ----------------------------------------------------------------
+@register("feature_store_reuse", """
+SELECT post_id, length(coalesce(text, '')) AS text_length,
+       length(coalesce(text, '') || ' ' || coalesce(quoted_text, '')) AS combined_text_length FROM posts""",
+          ids=("FS-1", "FS-2"))
+def feature_store_reuse(spark, sf_dir):
+    p = FX.posts(spark, sf_dir)
+    store = scratch(spark, "store")
+    fp = ST.table_fingerprint(p)
+
+    def compute():
+        from ..functions import text as X
+        return p.select("post_id", *X.text_metric_columns())
+
+    ST.get_or_compute(spark, store, "text", fp, compute)
+    again = ST.get_or_compute(spark, store, "text", fp, lambda: (_ for _ in ()).throw(RuntimeError("recomputed")))
+    return again.select("post_id", "text_length", "combined_text_length")
+
+
+@register("table_fingerprint", ids=("FS-2",))
+def table_fingerprint(spark, sf_dir):
+    rows = []
+    for t in ("events", "documents", "lineitem"):
+        df = FX.table(spark, sf_dir, t)
+        rows.append((t, ST.table_fingerprint(df), ST.table_fingerprint(df.repartition(3).orderBy(F.rand(7)))))
+    out = spark.createDataFrame(rows, "table string, fingerprint string, shuffled string")
+    return out.withColumn("order_free", F.col("fingerprint") == F.col("shuffled"))
+
+
+@register("run_metrics", """
+WITH s AS (SELECT label, cast(score > 0.5 AS int) AS d FROM scored),
+m AS (SELECT sum(cast(label = d AS int)) / count(*) AS accuracy,
+             CASE WHEN sum(d) > 0 THEN sum(label * d) / sum(d) ELSE 0 END AS precision,
+             CASE WHEN sum(label) > 0 THEN sum(label * d) / sum(label) ELSE 0 END AS recall,
+             CASE WHEN sum(label) + sum(d) > 0 THEN 2 * sum(label * d) / (sum(label) + sum(d)) ELSE 0 END AS f1
+      FROM s)
+SELECT 'fixture' AS run_id, 'stage1' AS stage, metric, round(value, 9) AS value
+FROM (UNPIVOT m ON accuracy, precision, recall, f1 INTO NAME metric VALUE value) u""", ids=("SNK-3",))
+def run_metrics(spark, sf_dir):
+    s = FX.scored(spark, sf_dir).withColumn("decision", (F.col("score") > 0.5).cast("int"))
+    rows = ST.metrics_rows(M.binary_metrics(s), "fixture", "stage1")
+    path = scratch(spark, "runlog")
+    ST.append_metrics(rows, path)
+    back = spark.read.parquet(path)
+    return back.select("run_id", "stage", "metric", F.round("value", 9).alias("value"))
+
+
+# -- training frame ----------------------------------------------------------------------
+def _train_frame(spark, sf_dir):
+    posts = FX.with_emotions(FX.with_attributes(FX.posts(spark, sf_dir)))
+    feats = all_features(posts, fit_features(posts))
+    lab = posts.select("post_id", binarize("total_trade_volume", 50.0).alias("label"))
+    df = feats.join(lab, "post_id")
+    cols = [c for c in feats.columns if c != "post_id"]
+    return SP.stratified_folds(df, "label", "post_id", 5, 42), cols
+
+
+def _spec(df, cols):
+    return TR.fit_spec(df, cols)
+
+
+@register("fit_final", ids=("ML-7",))
+def fit_final(spark, sf_dir):
+    df, cols = _train_frame(spark, sf_dir)
+    spec = _spec(df, cols)
+    model = TR.fit_model(df, spec, QUERY_PARAMS)
+    return TR.importance_table(model, spec)
+
+
+@register("train_folds", ids=("ML-8", "AGG-19"))
+def train_folds(spark, sf_dir):
+    df, cols = _train_frame(spark, sf_dir)
+    return TR.train_folds(df, _spec(df, cols), QUERY_PARAMS).metrics
+
+
+@register("select_by_importance", ids=("ML-9", "AGG-20", "TOP-1"))
+def select_by_importance(spark, sf_dir):
+    df, cols = _train_frame(spark, sf_dir)
+    feats = TR.select_by_importance(df, _spec(df, cols), "fold", 20, QUERY_PARAMS)
+    return spark.createDataFrame([(i, f) for i, f in enumerate(feats)], "rank int, feature string")
+
+
+def _calibration(spark, sf_dir, method):
+    df, cols = _train_frame(spark, sf_dir)
+    spec = _spec(df, cols)
+    cal = fit_calibrator(df, spec, QUERY_PARAMS, "label", "fold", method)
+    return calibrated_probability(df, cal, spec, "calibrated").select("post_id", "label", "calibrated")
+
+
+@register("platt_calibration", ids=("CAL-1", "CAL-3", "UDF-3"))
+def platt_calibration(spark, sf_dir):
+    return _calibration(spark, sf_dir, "sigmoid")
+
+
+@register("isotonic_calibration", ids=("CAL-2",))
+def isotonic_calibration(spark, sf_dir):
+    return _calibration(spark, sf_dir, "isotonic")
+
+
+def _bundle(spark, sf_dir, calibrate=False):
+    df, cols = _train_frame(spark, sf_dir)
+    spec = _spec(df, cols)
+    model = TR.fit_model(df, spec, QUERY_PARAMS)
+    posts = FX.posts(spark, sf_dir)
+    cal = fit_calibrator(df, spec, QUERY_PARAMS, "label", "fold", "sigmoid") if calibrate else None
+    return Bundle(model=model, spec=spec, threshold=0.5, categories=fit_features(posts).categories,
+                  calibrator=cal)
+
+
+def _posts_full(spark, sf_dir):
+    return FX.with_emotions(FX.with_attributes(FX.posts(spark, sf_dir)))
+
+
+@register("score_batch", ids=("SCR-1", "TGT-2", "PRJ-1"))
+def score_batch(spark, sf_dir):
+    b = _bundle(spark, sf_dir)
+    return score_posts(_posts_full(spark, sf_dir), b)
+
+
+@register("score_one", ids=("SCR-2", "SRC-3"))
+def score_one(spark, sf_dir):
+    b = _bundle(spark, sf_dir)
+    images = IO.image_table_from_pages(FX.table(spark, sf_dir, "pages"), max_bytes=IMAGE_MAX_BYTES)
+    return score_posts(_posts_full(spark, sf_dir), b, images)
+
+
+@register("score_stream", ids=("STM-1",))
+def score_stream_query(spark, sf_dir):
+    b = _bundle(spark, sf_dir)
+    posts = _posts_full(spark, sf_dir)
+    src = scratch(spark, "stream-in")
+    posts.write.parquet(src)
+    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    out, ckpt = scratch(spark, "stream-out"), scratch(spark, "stream-ckpt")
+    q = (score_stream(stream, b).writeStream.format("parquet").option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("bundle_roundtrip", ids=("SNK-2", "SRC-5"))
+def bundle_roundtrip(spark, sf_dir):
+    b = _bundle(spark, sf_dir, calibrate=True)
+    path = scratch(spark, "bundle")
+    save_bundle(spark, b, path)
+    loaded = load_bundle(spark, path)
+    posts = _posts_full(spark, sf_dir)
+    before = score_posts(posts, b).select("post_id", F.col("probability").alias("p_before"))
+    after = score_posts(posts, loaded).select("post_id", F.col("probability").alias("p_after"))
+    return before.join(after, "post_id").withColumn("equal", F.abs(F.col("p_before") - F.col("p_after")) < 1e-12)
+
+
+# -- vectors -----------------------------------------------------------------------------
+@register("embed_text", ids=("ML-4", "JN-3"))
+def embed_text(spark, sf_dir):
+    docs = FX.table(spark, sf_dir, "documents").select("doc_id", "text")
+    emb = E.embed_text(docs, dim=256)
+    from ..functions.vectors import vec_norm
+    return emb.select("doc_id", F.size("embedding").alias("dims"), F.round(vec_norm("embedding"), 9).alias("norm"))
+
+
+@register("pca_text", ids=("ML-2", "ML-3", "PRJ-4"))
+def pca_text(spark, sf_dir):
+    emb = FX.table(spark, sf_dir, "embeddings")
+    st = E.fit_pca(emb, "embedding", E.TEXT_PCA_COMPONENTS)
+    out = E.apply_pca(emb, st, "embedding", "pc")
+    return out.select("vec_id", F.size("pc").alias("dims"), F.round(F.col("pc")[0], 6).alias("pc1"))
+
+
+@register("multilabel_scores", ids=("ML-6", "EMO-1", "EMO-2"))
+def multilabel_scores(spark, sf_dir):
+    docs = FX.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labs = FX.table(spark, sf_dir, "labels")
+    emb = E.embed_text(docs, dim=128)
+    train = emb.join(labs, "doc_id")
+    models = E.fit_multilabel(train, "embedding", ["quality", "toxic"])
+    return E.multilabel_scores(emb, "embedding", models).select("doc_id", "prob_quality", "prob_toxic")
+
+
+# -- search, curves, attribution ------------------------------------------------------------
+def _groups_and_importance(spark, df, cols):
+    spec = _spec(df, cols)
+    groups = I.group_dict(I.feature_groups(spark, cols))
+    base = TR.train_folds(df, spec, QUERY_PARAMS, early_stopping=False)
+    imp = {r["feature"]: r["importance"] for r in base.mean_importance.collect()}
+    return spec, groups, imp
+
+
+@register("subset_search", ids=("ML-10", "TOP-3"))
+def subset_search_query(spark, sf_dir):
+    df, cols = _train_frame(spark, sf_dir)
+    spec, groups, imp = _groups_and_importance(spark, df, cols)
+    return subset_search(spark, df, spec, groups, imp, QUERY_PARAMS, trials=3).trials
+
+
+@register("joint_search", ids=("ML-11",))
+def joint_search_query(spark, sf_dir):
+    df, cols = _train_frame(spark, sf_dir)
+    spec, groups, imp = _groups_and_importance(spark, df, cols)
+    return joint_search(spark, df.drop("fold"), spec, groups, imp, "label", "post_id", outer=2, inner=2,
+                        trials=2, rounds=10).trials
+
+
+@register("balance_method_choice", ids=("ML-12", "ML-13", "AGG-23", "AGG-24"))
+def balance_method_choice(spark, sf_dir):
+    df, cols = _train_frame(spark, sf_dir)
+    _, table = choose_balance(spark, df, _spec(df, cols), "post_id",
+                              ("class_weight", "undersample"), params=QUERY_PARAMS)
+    return table
+
+
+@register("learning_curve", ids=("LC-1", "WIN-7"))
+def learning_curve_query(spark, sf_dir):
+    df, cols = _train_frame(spark, sf_dir)
+    return learning_curve(spark, df, _spec(df, cols), "post_id", fractions=[0.1, 1.0],
+                          params=QUERY_PARAMS)
+
+
+@register("attribution_rank", ids=("EXP-1", "AGG-26", "SMP-1"))
+def attribution_rank(spark, sf_dir):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    df, cols = _train_frame(spark, sf_dir)
+    filled = df.fillna(0.0, subset=cols)
+    va = VectorAssembler(inputCols=cols, outputCol="_v").transform(filled)
+    lr = LogisticRegression(featuresCol="_v", labelCol="label", maxIter=50, regParam=0.01).fit(va)
+    sample = SP.seeded_sample(filled, 100, "post_id", 42)
+    phi = XP.linear_attribution(sample, lr, cols, "post_id")
+    return I.attribution_rank(phi, 20)
+
+
+@register("permutation_importance", ids=("EXP-1",))
+def permutation_importance(spark, sf_dir):
+    df, cols = _train_frame(spark, sf_dir)
+    spec = _spec(df, cols)
+    model = TR.fit_model(df, spec, QUERY_PARAMS)
+    top = [r["feature"] for r in TR.importance_table(model, spec)
+           .orderBy(F.col("importance").desc(), "feature").limit(3).collect()]
+    return XP.permutation_importance(spark, df, model, spec, "post_id", "label", top)
+
+
+@register("train_bundle", ids=("PIP-2", "SNK-3", "AGG-5", "CAL-1"))
+def train_bundle(spark, sf_dir):
+    posts = _posts_full(spark, sf_dir)
+    out = train_run(spark, posts, TrainConfig(params=QUERY_PARAMS))
+    path = scratch(spark, "bundle")
+    save_bundle(spark, out.bundle, path)
+    return out.metrics

@@ -58,10 +58,10 @@ for _name, _fn in FAMILIES.items():
 
 
 def all_features(posts: DataFrame, state: FeatureState, key: str = "post_id",
-                 families: list[str] | None = None) -> DataFrame:
+                 families: list[str] | None = None, passthrough: list[str] | None = None) -> DataFrame:
     """Key + every column of the requested row-local families, one select."""
     names = families or [n for n in FAMILIES if n != "emotional" or "emotion_anger" in posts.columns]
     cols = []
     for n in names:
         cols += FAMILIES[n](posts, state)
-    return posts.select(posts[key], *cols)
+    return posts.select(posts[key], *(passthrough or []), *cols)
