@@ -21,7 +21,7 @@ URL_PATTERN = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-
 ELONGATION_PATTERN = r"([\p{L}\p{N}_])\1{2,}"
 EXCESS_PUNCT_PATTERN = r"[!?]{2,}"
 NON_SPACE_RUN = r"(?U)\S+"
-NON_SPACE_CHAR = r"(?U)\S"
+SPACE_CHAR = r"(?U)\s"
 UPPERCASE_CHAR = r"\p{IsUppercase}"
 VIDEO_PATTERN = r"(?i)(video|tweet_video|amplify_video|video_thumb)"
 # Single-code-point emoji: an explicit class standing in for the emoji
@@ -34,6 +34,9 @@ EMOJI_CLASS = (
     r"\x{1F004}\x{1F0CF}\x{1F170}-\x{1F251}\x{1F300}-\x{1FAFF}]"
 )
 # ---------------------------------------------------------------------------
+# Same match set as EMOJI_CLASS; the look-ahead rejects the (common) code
+# points below U+00A9 with one bitmap test before the long range list.
+EMOJI_SCAN = r"(?=[^\x00-\x{00A8}])" + EMOJI_CLASS
 
 
 def _c(c) -> Column:
@@ -64,7 +67,7 @@ def mean_word_length(c) -> Column:
     """TXT-4: mean word length, 0 when the text has no words."""
     t = text_or_empty(c)
     words = count_matches(t, NON_SPACE_RUN)
-    chars = count_matches(t, NON_SPACE_CHAR)
+    chars = F.length(t) - count_matches(t, SPACE_CHAR)   # non-space code points
     return F.when(words > 0, chars / words).otherwise(F.lit(0.0))
 
 
@@ -76,7 +79,7 @@ def text_metric_columns(text="text", quoted="quoted_text") -> list[Column]:
     n_hash = count_matches(c, HASHTAG_PATTERN)
     n_ment = count_matches(c, MENTION_PATTERN)
     n_url = count_matches(c, URL_PATTERN)
-    n_emoji = count_matches(c, EMOJI_CLASS)
+    n_emoji = count_matches(c, EMOJI_SCAN)
     tw, qw = word_count(text), word_count(quoted)
     return [
         F.length(t).cast("long").alias("text_length"),

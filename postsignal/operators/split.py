@@ -45,8 +45,12 @@ def allocate(counts: dict, n_draws: int) -> dict:
 
 
 def _class_rank(df: DataFrame, label: str, key: str, seed: int, out: str = "_crank") -> DataFrame:
-    return global_rank(df.withColumn("_h", hash_order(key, seed)),
-                       [F.col("_h"), F.col(key)], groups=[label], out=out).drop("_h")
+    """Rank within the class by hash, computed on the narrow (key, label)
+    table and joined back on the (unique) key: the wide rows are shuffled once
+    by the join instead of going through the range partitioning."""
+    narrow = df.select(key, label).withColumn("_h", hash_order(key, seed))
+    ranks = global_rank(narrow, [F.col("_h"), F.col(key)], groups=[label], out=out).select(key, out)
+    return df.join(ranks, key, "inner")
 
 
 def _per_class(label: str, values: dict, default=0) -> Column:

@@ -129,10 +129,9 @@ def run_metrics(spark, sf_dir):
 # -- training frame ----------------------------------------------------------------------
 def _train_frame(spark, sf_dir):
     posts = FX.with_emotions(FX.with_attributes(FX.posts(spark, sf_dir)))
-    feats = all_features(posts, fit_features(posts))
-    lab = posts.select("post_id", binarize("total_trade_volume", 50.0).alias("label"))
-    df = feats.join(lab, "post_id")
-    cols = [c for c in feats.columns if c != "post_id"]
+    posts = posts.withColumn("label", binarize("total_trade_volume", 50.0))
+    df = all_features(posts, fit_features(posts), passthrough=["label"])   # one projection, no self-join
+    cols = [c for c in df.columns if c not in ("post_id", "label")]
     return SP.stratified_folds(df, "label", "post_id", 5, 42), cols
 
 

@@ -71,11 +71,11 @@ def train_run(spark: SparkSession, posts: DataFrame, config: TrainConfig | None
               target: str = "total_trade_volume") -> TrainOutput:
     cfg = config or TrainConfig()
     state = fit_features(posts)
-    feats = all_features(posts, state, key)
     if invalid is not None:
-        feats = feats.join(invalid.select(key), key, "left_anti")
-    labelled = feats.join(posts.select(key, binarize(target, cfg.threshold).alias("label")), key)
-    cols = [c for c in feats.columns if c != key]
+        posts = posts.join(invalid.select(key), key, "left_anti")   # before the costly families
+    posts = posts.withColumn("label", binarize(target, cfg.threshold))
+    labelled = all_features(posts, state, key, passthrough=["label"])
+    cols = [c for c in labelled.columns if c not in (key, "label")]
 
     split = SP.stratified_split(labelled, "label", key, cfg.test_size, cfg.seed).persist()
     train_raw, test_raw = SP.complement(split)
