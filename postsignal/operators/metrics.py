@@ -19,6 +19,9 @@ from .prefix import global_rank, prefix_sums
 # Fixed values used by the reference's evaluation.
 LOG_LOSS_EPS = 2.220446049250313e-16      # float64 machine epsilon
 SWEEP_START, SWEEP_STEP, SWEEP_COUNT = 0.1, 0.01, 80   # 0.10 ... 0.89
+# the grid is start + i * delta with delta = (start + step) - start, as an
+# evenly spaced float range is filled; delta is 0.009999999999999995, not 0.01
+SWEEP_DELTA = (SWEEP_START + SWEEP_STEP) - SWEEP_START
 IMBALANCE_BAND = (0.5, 2.0)               # class_weight skipped inside this band
 # ---------------------------------------------------------------------------
 
@@ -249,7 +252,7 @@ def lift_table(df: DataFrame, label="label", p="score", key="event_id", bins: in
 
 # -- threshold sweep (AGG-22, TOP-2) ----------------------------------------------------
 def sweep_threshold(i) -> Column:
-    return F.lit(SWEEP_START) + _c(i).cast("double") * F.lit(SWEEP_STEP)
+    return F.lit(SWEEP_START) + _c(i).cast("double") * F.lit(SWEEP_DELTA)
 
 
 def sweep_cell(p) -> Column:

@@ -217,7 +217,8 @@ def cumulative_lift(spark, sf_dir):
 
 # -- threshold sweep ----------------------------------------------------------------------
 SWEEP_SQL = """
-WITH g AS (SELECT i, cast(0.1 AS double) + i * cast(0.01 AS double) AS threshold FROM range(80) t(i)),
+WITH g AS (SELECT i, cast(0.1 AS double) + i * ((cast(0.1 AS double) + cast(0.01 AS double)) - cast(0.1 AS double))
+                   AS threshold FROM range(80) t(i)),
 c AS (SELECT i, threshold, sum(cast(score > threshold AND label = 1 AS int)) AS tp,
              sum(cast(score > threshold AND label = 0 AS int)) AS fp, sum(label) AS P
       FROM g CROSS JOIN scored GROUP BY i, threshold),
