@@ -239,6 +239,36 @@ def embed_text(spark, sf_dir):
     return emb.select("doc_id", F.size("embedding").alias("dims"), F.round(vec_norm("embedding"), 9).alias("norm"))
 
 
+def make_char_hash_model(dim: int = 64):
+    """A user model for ``predict_batch_udf``: loaded once per executor
+    process, called on Arrow batches of texts.  Stands in for a transformer
+    encoder: hashed character trigram counts, L2-normalised."""
+    import zlib
+
+    import numpy as np
+
+    def predict(texts: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(texts), dim), dtype=np.float32)
+        for i, t in enumerate(texts):
+            s = str(t)
+            for j in range(len(s) - 2):
+                out[i, zlib.crc32(s[j:j + 3].encode()) % dim] += 1.0   # stable across processes
+            n = np.linalg.norm(out[i])
+            if n > 0:
+                out[i] /= n
+        return out
+
+    return predict
+
+
+@register("embed_text_udf", ids=("UDF-2", "ML-4"))
+def embed_text_udf(spark, sf_dir):
+    docs = FX.table(spark, sf_dir, "documents").select("doc_id", "text")
+    emb = E.embed_text(docs, dim=64, make_predict_fn=make_char_hash_model, batch_size=E.BATCH_SIZE)
+    from ..functions.vectors import vec_norm
+    return emb.select("doc_id", F.size("embedding").alias("dims"), F.round(vec_norm("embedding"), 6).alias("norm"))
+
+
 @register("pca_text", ids=("ML-2", "ML-3", "PRJ-4"))
 def pca_text(spark, sf_dir):
     emb = FX.table(spark, sf_dir, "embeddings")
