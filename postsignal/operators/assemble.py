@@ -54,11 +54,17 @@ def image_availability(posts: DataFrame, images: DataFrame, url: str = "image_ur
     table is reduced to distinct keys before the join.
     """
     keys = images.select("image_key").distinct().withColumn("_hit", F.lit(1))
-    p = posts if keep_missing else posts.where(F.coalesce(F.col(url), F.lit("")) != "")
-    return (p.withColumn("_k", image_key(url))
-            .join(keys, F.col("_k") == F.col("image_key"), "left")
-            .withColumn("image_available", F.coalesce(F.col("_hit"), F.lit(0)))
-            .drop("_k", "_hit", "image_key"))
+    has_url = F.coalesce(F.col(url), F.lit("")) != ""
+    with_url = (posts.where(has_url).withColumn("_k", image_key(url))
+                .join(keys, F.col("_k") == F.col("image_key"), "left")
+                .withColumn("image_available", F.coalesce(F.col("_hit"), F.lit(0)))
+                .drop("_k", "_hit", "image_key"))
+    if not keep_missing:
+        return with_url
+    # posts without a URL never enter the join: a null key would put all of
+    # them (possibly most posts) into one shuffle partition
+    without = posts.where(~has_url).withColumn("image_available", F.lit(0))
+    return with_url.unionByName(without)
 
 
 def drop_invalid(df: DataFrame, invalid: DataFrame, key: str = "post_id") -> DataFrame:

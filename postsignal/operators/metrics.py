@@ -8,12 +8,11 @@ by ``prefix.prefix_sums`` (C2) -- never a single-task global window.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import global_rank, prefix_sums
+from .prefix import freeze, global_rank, prefix_sums
 
 # ---------------------------------------------------------------------------
 # Fixed values used by the reference's evaluation.
@@ -167,10 +166,12 @@ def score_table(df: DataFrame, label="label", p="score", groups: list[str] | Non
                (F.count(F.lit(1)) - F.sum("y")).cast("long").alias("neg"))
           .withColumn("cnt", F.lit(1).cast("long")))
     pre = prefix_sums(st, [F.col("score").desc()], ["pos", "neg", "cnt"], g)
-    P, N = _group_totals(pre, g)
-    return (pre.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
-            .withColumn("idx", F.col("cum_cnt") - 1).drop("cnt", "cum_cnt")
-            .withColumn("P", P).withColumn("N", N))
+    P, N = _group_totals(st, g)
+    out = (pre.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
+           .withColumn("idx", F.col("cum_cnt") - 1).drop("cnt", "cum_cnt")
+           .withColumn("P", P).withColumn("N", N))
+    # one table of distinct scores feeds several metrics and self-joins
+    return freeze(out)
 
 
 def _ranking_terms() -> list[Column]:
@@ -232,21 +233,22 @@ def lift_table(df: DataFrame, label="label", p="score", key="event_id", bins: in
     quantile cut of the ranks.  Columns: bin, n, actual, predicted_proba,
     lift, cumulative_lift.
     """
-    ranked = global_rank(df.select(_c(key).alias("_key"), _c(label).alias("y"), _c(p).alias("p")),
-                         [F.col("p").desc(), F.col("_key").asc()])
-    n = ranked.count()
+    narrow = df.select(_c(key).alias("_key"), _c(label).alias("y"), _c(p).alias("p"))
+    n = narrow.count()                       # a pruned scan; the bins need n before ranking
     denom = max(n - 1, 1)
+    ranked = global_rank(narrow, [F.col("p").desc(), F.col("_key").asc()])
     b = F.greatest(F.floor((F.col("rank") * bins + (denom - 1)) / F.lit(denom)).cast("long") - 1, F.lit(0))
     per = (ranked.select(b.alias("bin"), "y", "p").groupBy("bin")
            .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("_pos"),
                 F.avg("y").alias("actual"), F.avg("p").alias("predicted_proba")))
-    tot = per.agg(F.sum("_pos").alias("tp"), F.sum("n").alias("tn")).first()
-    total_pos, total = float(tot["tp"] or 0), float(tot["tn"] or 0)
-    baseline = total_pos / total if total else math.nan
-    w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # <= bins rows
+    # windows below run over the <= bins rows of ``per`` only
+    everything = Window.partitionBy()
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total_pos = F.sum("_pos").over(everything).cast("double")
+    baseline = total_pos / F.sum("n").over(everything)
     return per.select("bin", "n", "actual", "predicted_proba",
-                      (F.col("actual") / F.lit(baseline)).alias("lift"),
-                      (F.sum("_pos").over(w) / (F.lit(total_pos) * ((F.col("bin") + 1) / F.lit(float(bins)))))
+                      (F.col("actual") / baseline).alias("lift"),
+                      (F.sum("_pos").over(upto) / (total_pos * ((F.col("bin") + 1) / F.lit(float(bins)))))
                       .alias("cumulative_lift"))
 
 
