@@ -13,6 +13,7 @@ Fold training reads the input once per fold from a persisted, hash-assigned
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -140,20 +141,26 @@ class FoldResult:
 
 def train_folds(df: DataFrame, spec: FeatureSpec, params: dict | None = None, label: str = "label",
                 fold: str = "fold", metric: str = "pr_auc", threshold: float = 0.5,
-                weight: str | None = None, early_stopping: bool = True) -> FoldResult:
+                weight: str | None = None, early_stopping: bool = True, parallelism: int = 4) -> FoldResult:
     """ML-8: fit on all folds but one, score the held-out fold; the best fold's
     model (first maximum of ``metric``) is kept.  With ``early_stopping`` the
     held-out fold is the validation set (as the reference's eval set)."""
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     data = df.persist()
-    scored_parts, imps, models = [], [], {}
-    for f in folds:
+
+    def fit_one(f):
         if early_stopping:
             part = data.withColumn("_val", F.col(fold) == f)
-            model = fit_model(part, spec, params, label, weight, "_val")
-        else:
-            model = fit_model(data.where(F.col(fold) != f), spec, params, label, weight)
-        models[f] = model
+            return fit_model(part, spec, params, label, weight, "_val")
+        return fit_model(data.where(F.col(fold) != f), spec, params, label, weight)
+
+    # fold fits are independent Spark jobs: submit them from a few driver
+    # threads so their (small) stages overlap on the cluster
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
+        models = dict(zip(folds, pool.map(fit_one, folds)))
+    scored_parts, imps = [], []
+    for f in folds:
+        model = models[f]
         held = data.where(F.col(fold) == f)
         scored_parts.append(probability(model, held, spec).select(F.lit(f).alias(fold), label, "p"))
         imps.append(importance_table(model, spec).withColumn(fold, F.lit(f)))

@@ -132,7 +132,10 @@ def _train_frame(spark, sf_dir):
     posts = posts.withColumn("label", binarize("total_trade_volume", 50.0))
     df = all_features(posts, fit_features(posts), passthrough=["label"])   # one projection, no self-join
     cols = [c for c in df.columns if c not in ("post_id", "label")]
-    return SP.stratified_folds(df, "label", "post_id", 5, 42), cols
+    # persisted: the spec, every fold fit and the scoring read it (the regex
+    # families are the expensive part; recomputation after a lost executor
+    # falls back to the lineage)
+    return SP.stratified_folds(df, "label", "post_id", 5, 42).persist(), cols
 
 
 def _spec(df, cols):
