@@ -62,6 +62,25 @@ def embed_text(df: DataFrame, encoder: PipelineModel | None = None, text: str =
             .drop("_t", "_tok", "_tf", "_idf", "_vec"))
 
 
+def image_vectors(posts: DataFrame, images: DataFrame, make_predict_fn: Callable, dim: int,
+                  url: str = "image_url", key: str = "post_id", out: str = "image_embedding",
+                  batch_size: int = BATCH_SIZE) -> DataFrame:
+    """ML-5: one vector per available image (a user model over the image bytes,
+    run by ``predict_batch_udf`` on the image table, once per distinct image),
+    joined to the posts by ``md5(url)``; posts without an available image get
+    zeros and ``image_available = 0`` (JN-3)."""
+    from .assemble import image_availability
+    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    distinct = images.dropDuplicates(["image_key"])
+    vecs = distinct.select(F.col("image_key").alias("_vk"), udf(F.col("content")).cast("array<double>").alias(out))
+    flagged = image_availability(posts, images, url, key, keep_missing=True)
+    # only posts with an available image take part in the join (no null keys)
+    avail = (flagged.where(F.col("image_available") == 1).withColumn("_vk", F.md5(F.col(url)))
+             .join(vecs, "_vk", "left").drop("_vk").withColumn(out, F.coalesce(F.col(out), zeros(dim))))
+    rest = flagged.where(F.col("image_available") != 1).withColumn(out, zeros(dim))
+    return avail.unionByName(rest)
+
+
 @dataclass
 class PcaState:
     k: int

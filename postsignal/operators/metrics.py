@@ -197,6 +197,21 @@ def ranking_metrics(df: DataFrame, label="label", p="score", groups: list[str] |
                       "pr_auc", "average_precision")
 
 
+def roc_auc(df: DataFrame, label="label", p="score", groups: list[str] | None = None) -> DataFrame:
+    """AGG-10 alone (ties count half)."""
+    return ranking_metrics(df, label, p, groups).select(*(groups or []), "roc_auc")
+
+
+def pr_auc(df: DataFrame, label="label", p="score", groups: list[str] | None = None) -> DataFrame:
+    """AGG-11 alone (trapezoid from (recall 0, precision 1))."""
+    return ranking_metrics(df, label, p, groups).select(*(groups or []), "pr_auc")
+
+
+def average_precision(df: DataFrame, label="label", p="score", groups: list[str] | None = None) -> DataFrame:
+    """AGG-12 alone (step sum of precision over recall increments)."""
+    return ranking_metrics(df, label, p, groups).select(*(groups or []), "average_precision")
+
+
 def roc_curve(df: DataFrame, label="label", p="score") -> DataFrame:
     """WIN-1: (threshold, fpr, tpr), corners only (collinear points dropped),
     starting at (inf, 0, 0)."""

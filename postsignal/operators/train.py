@@ -109,6 +109,13 @@ def fit_model(df: DataFrame, spec: FeatureSpec, params: dict | None = None, labe
     return pipe.fit(prepare(df, spec))
 
 
+def fit_final(df: DataFrame, spec: FeatureSpec, params: dict | None = None, label: str = "label",
+              weight: str | None = None) -> tuple[PipelineModel, DataFrame]:
+    """ML-7: final model on all training rows and its importance table."""
+    model = fit_model(df, spec, params, label, weight)
+    return model, importance_table(model, spec)
+
+
 def importance_table(model: PipelineModel, spec: FeatureSpec) -> DataFrame:
     """Gain-style importance per input feature (indicator importance folded in)."""
     imp = model.stages[-1].featureImportances.toArray().tolist()

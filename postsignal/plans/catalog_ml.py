@@ -272,6 +272,33 @@ def embed_text_udf(spark, sf_dir):
     return emb.select("doc_id", F.size("embedding").alias("dims"), F.round(vec_norm("embedding"), 6).alias("norm"))
 
 
+def make_byte_histogram_model(dim: int = 60):
+    """A user image model for ``predict_batch_udf``: L2-normalised histogram of
+    the byte values folded into ``dim`` buckets (stands in for an image encoder)."""
+    import numpy as np
+
+    def predict(blobs: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(blobs), dim), dtype=np.float32)
+        for i, b in enumerate(blobs):
+            arr = np.frombuffer(bytes(b), dtype=np.uint8)
+            if arr.size:
+                out[i] = np.bincount(arr % dim, minlength=dim)[:dim]
+                out[i] /= np.linalg.norm(out[i])
+        return out
+
+    return predict
+
+
+@register("image_vectors", ids=("ML-5", "SRC-4", "JN-3"))
+def image_vectors(spark, sf_dir):
+    posts = FX.posts(spark, sf_dir)
+    images = IO.image_table_from_pages(FX.table(spark, sf_dir, "pages"), max_bytes=IMAGE_MAX_BYTES)
+    v = E.image_vectors(posts, images, make_byte_histogram_model, E.IMAGE_PCA_COMPONENTS)
+    from ..functions.vectors import vec_norm
+    return v.select("post_id", "image_available", F.size("image_embedding").alias("dims"),
+                    F.round(vec_norm("image_embedding"), 6).alias("norm"))
+
+
 @register("pca_text", ids=("ML-2", "ML-3", "PRJ-4"))
 def pca_text(spark, sf_dir):
     emb = FX.table(spark, sf_dir, "embeddings")
