@@ -179,3 +179,15 @@ def test_log_loss_clips(spark):
     g = M.calibration_gain(df.withColumn("calibrated", F.lit(0.5)), "label", "score", "calibrated").first()
     assert g["log_loss_before"] == pytest.approx(-math.log(M.LOG_LOSS_EPS))
     assert g["brier_before"] == 1.0 and g["brier_after"] == 0.25
+
+
+def test_hot_score_is_split_across_range_partitions(spark):
+    # a third of the rows share one score: ties broken by key keep the order
+    # total, so the sampled range partitioner spreads the hot value
+    df = spark.range(0, 30000).withColumn("s", F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.rand(1)))
+    sizes = (df.repartitionByRange(8, F.col("s").desc(), F.col("id"))
+             .groupBy(F.spark_partition_id().alias("p")).count().collect())
+    counts = [r["count"] for r in sizes]
+    assert len(counts) == 8 and max(counts) < 2 * 30000 / 8
+    ranks = global_rank(df, [F.col("s").desc(), F.col("id")], partitions=8).select("rank").collect()
+    assert sorted(r[0] for r in ranks) == list(range(30000))
