@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.structure import ATTRIBUTE_NAMES, EMOTION_LABELS
+from ..session import shuffle_partitions
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -40,13 +41,19 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("q_text"))
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
     mapping = F.create_map(*[F.lit(x) for kv in TYPE_OF_EVENT.items() for x in kv])
-    return (d.join(e, "doc_id").join(q, "doc_id", "left").join(p, "doc_id", "left")
-            .select(F.col("doc_id").alias("post_id"), "text",
-                    F.when(F.col("doc_id") % QUOTE_EVERY == 0, F.col("q_text")).alias("quoted_text"),
-                    mapping[F.col("event_type")].alias("tweet_type"),
-                    F.col("url").alias("image_url"),
-                    F.col("ts").alias("created_at"),
-                    F.col("value").alias("total_trade_volume")))
+    joined = (d.join(e, "doc_id").join(q, "doc_id", "left").join(p, "doc_id", "left")
+              .select(F.col("doc_id").alias("post_id"), "text",
+                      F.when(F.col("doc_id") % QUOTE_EVERY == 0, F.col("q_text")).alias("quoted_text"),
+                      mapping[F.col("event_type")].alias("tweet_type"),
+                      F.col("url").alias("image_url"),
+                      F.col("ts").alias("created_at"),
+                      F.col("value").alias("total_trade_volume")))
+    # A post table is hash-partitioned by its key.  At scale the sort-merge
+    # joins above already are (the exchange is then elided); with the small
+    # driver tables the joins are broadcast and the whole table would sit in
+    # the single split of a one-row-group file, so the regex families would
+    # run in one task.
+    return joined.repartition(shuffle_partitions(spark), "post_id")
 
 
 def attribute_value_expr(key, i: int):
