@@ -97,3 +97,19 @@ def test_pca_centred_and_fallbacks(spark, sf_small):
     assert r["pc"][:5] == pytest.approx([float(x) for x in r["embedding"][:5]])
     st0 = fit_pca(one.where("false"), "embedding", 60)
     assert st0.mode == "zeros"
+
+
+def test_full_catalogue_has_181_features(spark, sf_small):
+    from postsignal.plans.catalog_ml import make_byte_histogram_model
+    from postsignal.plans.vector_features import fit_vector_state, vector_features
+    posts = FX.with_emotions(FX.with_attributes(FX.posts(spark, sf_small)))
+    images = IO.image_table_from_pages(FX.table(spark, sf_small, "pages"), max_bytes=8192)
+    st = fit_vector_state(posts, images, make_byte_histogram_model, dim=64)
+    vec = vector_features(posts, st, images, make_byte_histogram_model)
+    full = all_features(posts, fit_features(posts)).join(vec, "post_id", "left")
+    assert len(full.columns) == 1 + 181
+    rows = full.select("quoted_text_length", "main_quoted_contrast", "perplexity_score", "has_image",
+                       "clip_emb_0").collect()
+    assert all(r["main_quoted_contrast"] == 0.0 for r in rows if r["quoted_text_length"] == 0)
+    assert all(r["perplexity_score"] >= 0.0 for r in rows)
+    assert all(r["clip_emb_0"] == 0.0 for r in rows if r["has_image"] == 0)
