@@ -302,12 +302,12 @@ def image_vectors(spark, sf_dir):
 @register("all_features_with_vectors", ids=("PIP-1", "JN-1", "ML-2", "ML-3", "ML-4", "ML-5", "TXT-12", "STR-6"))
 def all_features_with_vectors(spark, sf_dir):
     """The full catalogue: row-local families joined with the model-based ones."""
-    from .vector_features import fit_vector_state, vector_features
+    from .vector_features import VECTOR_COLUMNS, fit_vector_state, with_vector_features
     posts = _posts_full(spark, sf_dir)
     images = IO.image_table_from_pages(FX.table(spark, sf_dir, "pages"), max_bytes=IMAGE_MAX_BYTES)
     state = fit_vector_state(posts, images, make_byte_histogram_model, dim=128)
-    vec = vector_features(posts, state, images, make_byte_histogram_model)
-    return all_features(posts, fit_features(posts)).join(vec, "post_id", "left")
+    with_vec = with_vector_features(posts, state, images, make_byte_histogram_model)
+    return all_features(with_vec, fit_features(posts), passthrough=VECTOR_COLUMNS)
 
 
 @register("pca_text", ids=("ML-2", "ML-3", "PRJ-4"))

@@ -48,6 +48,8 @@ class TrainConfig:
     joint_trials: int = 0               # 30 in the reference (3 outer x 5 inner)
     subset_trials: int = 0              # 50 in the reference
     params: dict = field(default_factory=lambda: {"n_estimators": 100})
+    vectors: bool = False               # add the model-based families (encoder + PCA)
+    vector_dim: int = 256
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex[:12])
 
 
@@ -68,13 +70,21 @@ def _evaluate(scored: DataFrame, label: str, raw: str, decide_on: str, t: float)
 
 def train_run(spark: SparkSession, posts: DataFrame, config: TrainConfig | None = None,
               invalid: DataFrame | None = None, key: str = "post_id",
-              target: str = "total_trade_volume") -> TrainOutput:
+              target: str = "total_trade_volume", images: DataFrame | None = None,
+              make_image_model=None) -> TrainOutput:
     cfg = config or TrainConfig()
     state = fit_features(posts)
     if invalid is not None:
         posts = posts.join(invalid.select(key), key, "left_anti")   # before the costly families
     posts = posts.withColumn("label", binarize(target, cfg.threshold))
-    labelled = all_features(posts, state, key, passthrough=["label"])
+    passthrough = ["label"]
+    vstate = None
+    if cfg.vectors:
+        from .vector_features import VECTOR_COLUMNS, fit_vector_state, with_vector_features
+        vstate = fit_vector_state(posts, images, make_image_model, cfg.vector_dim, key)
+        posts = with_vector_features(posts, vstate, images, make_image_model, key)
+        passthrough += VECTOR_COLUMNS
+    labelled = all_features(posts, state, key, passthrough=passthrough)
     cols = [c for c in labelled.columns if c not in (key, "label")]
 
     split = SP.stratified_split(labelled, "label", key, cfg.test_size, cfg.seed).persist()
@@ -139,6 +149,7 @@ def train_run(spark: SparkSession, posts: DataFrame, config: TrainConfig | None
                     scaler=scaler, fill_list=fill, categories=state.categories,
                     importance=importance_table(final, spec), calibrator=cal,
                     optimization_metric=cfg.optimization_metric, threshold_metric=cfg.threshold_metric,
-                    extra={"dropped": dropped, "balance_method": method, "params": params})
+                    extra={"dropped": dropped, "balance_method": method, "params": params},
+                    vectors=vstate)
     split.unpersist()
     return TrainOutput(bundle, log, folds.metrics)

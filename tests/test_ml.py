@@ -113,3 +113,37 @@ def test_full_catalogue_has_181_features(spark, sf_small):
     assert all(r["main_quoted_contrast"] == 0.0 for r in rows if r["quoted_text_length"] == 0)
     assert all(r["perplexity_score"] >= 0.0 for r in rows)
     assert all(r["clip_emb_0"] == 0.0 for r in rows if r["has_image"] == 0)
+
+
+def test_vector_bundle_round_trip_stream(spark, sf_small):
+    from postsignal.plans.catalog_ml import make_byte_histogram_model
+    from postsignal.plans.vector_features import VECTOR_COLUMNS, fit_vector_state, with_vector_features
+    posts = FX.with_emotions(FX.with_attributes(FX.posts(spark, sf_small)))
+    images = IO.image_table_from_pages(FX.table(spark, sf_small, "pages"), max_bytes=8192)
+    vst = fit_vector_state(posts, images, make_byte_histogram_model, dim=32)
+    st = fit_features(posts)
+    lab = posts.withColumn("label", (F.col("total_trade_volume") >= 50).cast("int"))
+    df = all_features(with_vector_features(lab, vst, images, make_byte_histogram_model), st,
+                      passthrough=["label"] + VECTOR_COLUMNS)
+    cols = [c for c in df.columns if c not in ("post_id", "label")]
+    spec = TR.fit_spec(df, cols)
+    b = Bundle(model=TR.fit_model(df, spec, PARAMS), spec=spec, categories=st.categories, vectors=vst)
+    root = tempfile.mkdtemp(prefix="ps-vec-")
+    save_bundle(spark, b, os.path.join(root, "b"))
+    loaded = load_bundle(spark, os.path.join(root, "b"))
+    assert loaded.vectors is not None and loaded.vectors.text_pca.mode == "pca"
+    batch = {r["post_id"]: r["probability"] for r in
+             score_posts(posts, b, images, make_image_model=make_byte_histogram_model).collect()}
+    again = {r["post_id"]: r["probability"] for r in
+             score_posts(posts, loaded, images, make_image_model=make_byte_histogram_model).collect()}
+    assert batch.keys() == again.keys()
+    assert all(abs(batch[k] - again[k]) < 1e-9 for k in batch)
+    src = os.path.join(root, "in")
+    posts.write.parquet(src)
+    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (score_stream(stream, loaded, images, make_image_model=make_byte_histogram_model).writeStream
+         .format("parquet").option("checkpointLocation", os.path.join(root, "ck")).trigger(availableNow=True)
+         .start(os.path.join(root, "out")))
+    q.awaitTermination()
+    streamed = {r["post_id"]: r["probability"] for r in spark.read.parquet(os.path.join(root, "out")).collect()}
+    assert streamed.keys() == batch.keys() and all(abs(streamed[k] - batch[k]) < 1e-9 for k in batch)
