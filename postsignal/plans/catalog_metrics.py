@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.structure import apply_threshold, binarize
+from ..functions.structure import apply_threshold
 from ..operators import metrics as M
 from ..registry import register
 from ..sources import fixtures as FX
