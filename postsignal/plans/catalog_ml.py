@@ -393,7 +393,8 @@ def permutation_importance(spark, sf_dir):
 @register("train_bundle", ids=("PIP-2", "SNK-3", "AGG-5", "CAL-1"))
 def train_bundle(spark, sf_dir):
     posts = _posts_full(spark, sf_dir)
-    out = train_run(spark, posts, TrainConfig(params=QUERY_PARAMS))
+    # the two searches have their own queries (subset_search, joint_search)
+    out = train_run(spark, posts, TrainConfig(params=QUERY_PARAMS, joint_trials=0, subset_trials=0))
     path = scratch(spark, "bundle")
     save_bundle(spark, out.bundle, path)
     return out.metrics

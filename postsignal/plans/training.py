@@ -45,8 +45,8 @@ class TrainConfig:
     correlation_threshold: float = 0.8
     fit_on: str = "train"               # "all" = the reference's leak, for comparison
     balance_methods: tuple = ("class_weight",)
-    joint_trials: int = 0               # 30 in the reference (3 outer x 5 inner)
-    subset_trials: int = 0              # 50 in the reference
+    joint_trials: int = 30              # 3 outer x 30 trials x 5 inner folds; 0 skips the search
+    subset_trials: int = 50             # 0 skips the subset search
     params: dict = field(default_factory=lambda: {"n_estimators": 100})
     vectors: bool = False               # add the model-based families (encoder + PCA)
     vector_dim: int = 256
