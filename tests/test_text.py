@@ -57,6 +57,8 @@ def _py_metrics(text, quoted):
         "text_word_count": len(tw), "quoted_text_word_count": len(qw),
         "avg_word_length_text": (sum(map(len, tw)) / len(tw)) if tw else 0.0,
         "mention_count": len(re.findall(r"@\w+", c)), "hashtag_count": len(re.findall(r"#\w+", c)),
+        "url_count": len(re.findall(
+            r'http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+', c)),
         "word_elongation_count": len(re.findall(r"(\w)\1{2,}", c)),
         "excessive_punctuation_count": len(re.findall(r"[!?]{2,}", c)),
         "uppercase_ratio": sum(1 for ch in c if ch.isupper()) / len(c),
@@ -69,7 +71,10 @@ def test_python_cross_check_on_documents(spark, sf_small):
     conv = spark.read.parquet(f"{sf_small}/conversations.parquet").select(
         (F.col("conv_id") * 1000 + F.col("turn") + 10_000_000).alias("post_id"), "text",
         F.lit(None).cast("string").alias("quoted_text"))
-    df = docs.unionByName(conv)
+    pages = spark.read.parquet(f"{sf_small}/pages.parquet").select(
+        (F.col("page_id") + 20_000_000).alias("post_id"), F.col("html").alias("text"),
+        F.col("url").alias("quoted_text"))
+    df = docs.unionByName(conv).unionByName(pages)
     got = {r["post_id"]: r.asDict() for r in X.text_metrics(df).collect()}
     raw = {r["post_id"]: (r["text"], r["quoted_text"]) for r in df.collect()}
     assert len(got) == len(raw) > 0
