@@ -375,11 +375,12 @@ def evaluate(df: DataFrame, label="label", raw="score", calibrated: str | None =
     """EVL-1: decisions from the calibrated probability when given, ranking
     metrics from the raw one (one row)."""
     decide_on = calibrated or raw
-    thr = binary_metrics(df.withColumn("_d", (_c(decide_on) > F.lit(threshold)).cast("int")), label, "_d")
-    rank = ranking_metrics(df, label, raw).select("roc_auc", "pr_auc")
+    # C3: confusion counts and the threshold metrics come from one aggregate
     conf = df.agg(*confusion_sums(label, (_c(decide_on) > F.lit(threshold)).cast("int")))
+    thr = conf.select(*_rates("tp", "fp", "fn", "tn"), "tp", "fp", "fn", "tn")
+    rank = ranking_metrics(df, label, raw).select("roc_auc", "pr_auc")
+    # two one-row tables joined on a constant: no data shuffle
     a = thr.withColumn("_j", F.lit(1))
     b = rank.withColumn("_j", F.lit(1))
-    c = conf.withColumn("_j", F.lit(1))
-    # one-row tables joined on a constant: three single rows, no data shuffle
-    return F.broadcast(a).join(F.broadcast(b), "_j").join(F.broadcast(c), "_j").drop("_j")
+    return F.broadcast(a).join(F.broadcast(b), "_j").drop("_j").select(
+        "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "tp", "fp", "fn", "tn")
