@@ -134,10 +134,13 @@ def calibration_curve(df: DataFrame, label="label", p="score", bins: int = 10) -
 
 
 # -- ranking metrics (AGG-10 ... AGG-12, WIN-1, WIN-2) ------------------------------
-def _group_totals(st: DataFrame, groups: list[str]) -> tuple[Column, Column]:
-    """Positives/negatives per group as literal columns (one row per group)."""
-    rows = (st.groupBy(*groups) if groups else st).agg(
-        F.sum("pos").alias("P"), F.sum("neg").alias("N")).limit(MAX_GROUPS + 1).collect()
+def _group_totals(labelled: DataFrame, groups: list[str]) -> tuple[Column, Column]:
+    """Positives/negatives per group as literal columns (one row per group).
+
+    Computed from the input (a partial aggregate on a handful of groups), not
+    from the distinct-score table, whose aggregation is the expensive shuffle."""
+    rows = (labelled.groupBy(*groups) if groups else labelled).agg(
+        F.sum("y").alias("P"), (F.count(F.lit(1)) - F.sum("y")).alias("N")).limit(MAX_GROUPS + 1).collect()
     if len(rows) > MAX_GROUPS:
         raise ValueError("too many groups for ranking metrics")
     if not groups:
@@ -160,13 +163,13 @@ def score_table(df: DataFrame, label="label", p="score", groups: list[str] | Non
     fp, P, N, idx (0-based position in descending order).
     """
     g = list(groups or [])
-    st = (df.select(*g, _c(p).alias("score"), _c(label).alias("y"))
-          .groupBy(*g, "score")
+    labelled = df.select(*g, _c(p).alias("score"), _c(label).alias("y"))
+    st = (labelled.groupBy(*g, "score")
           .agg(F.sum("y").cast("long").alias("pos"),
                (F.count(F.lit(1)) - F.sum("y")).cast("long").alias("neg"))
           .withColumn("cnt", F.lit(1).cast("long")))
     pre = prefix_sums(st, [F.col("score").desc()], ["pos", "neg", "cnt"], g)
-    P, N = _group_totals(st, g)
+    P, N = _group_totals(labelled, g)
     out = (pre.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
            .withColumn("idx", F.col("cum_cnt") - 1).drop("cnt", "cum_cnt")
            .withColumn("P", P).withColumn("N", N))
