@@ -244,7 +244,8 @@ def pr_curve(df: DataFrame, label="label", p="score") -> DataFrame:
 
 
 # -- lift (AGG-17, WIN-3, WIN-4) ------------------------------------------------------
-def lift_table(df: DataFrame, label="label", p="score", key="event_id", bins: int = 10) -> DataFrame:
+def lift_table(df: DataFrame, label="label", p="score", key="event_id", bins: int = 10,
+               bin_by: str = "score") -> DataFrame:
     """Equal-frequency bins by score rank (descending, ties by key).
 
     bin = max(ceil(r * bins / (n - 1)) - 1, 0) for 0-based rank r, the
@@ -254,7 +255,10 @@ def lift_table(df: DataFrame, label="label", p="score", key="event_id", bins: in
     narrow = df.select(_c(key).alias("_key"), _c(label).alias("y"), _c(p).alias("p"))
     n = narrow.count()                       # a pruned scan; the bins need n before ranking
     denom = max(n - 1, 1)
-    ranked = global_rank(narrow, [F.col("p").desc(), F.col("_key").asc()])
+    # bin_by="key" is the reference's literal behaviour (quantiles of the row
+    # label, not of the score); the default bins by score rank
+    order = [F.col("_key").asc()] if bin_by == "key" else [F.col("p").desc(), F.col("_key").asc()]
+    ranked = global_rank(narrow, order)
     b = F.greatest(F.floor((F.col("rank") * bins + (denom - 1)) / F.lit(denom)).cast("long") - 1, F.lit(0))
     per = (ranked.select(b.alias("bin"), "y", "p").groupBy("bin")
            .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("_pos"),

@@ -191,3 +191,16 @@ def test_hot_score_is_split_across_range_partitions(spark):
     assert len(counts) == 8 and max(counts) < 2 * 30000 / 8
     ranks = global_rank(df, [F.col("s").desc(), F.col("id")], partitions=8).select("rank").collect()
     assert sorted(r[0] for r in ranks) == list(range(30000))
+
+
+def test_lift_bin_by_key_literal_form(spark):
+    n = 50
+    ys = [i % 2 for i in range(n)]
+    ps = [(i * 37 % 50) / 50 for i in range(n)]
+    lt = {r["bin"]: r for r in M.lift_table(_df(spark, ys, ps), bins=5, bin_by="key").collect()}
+    edges = np.quantile(np.arange(n), np.linspace(0, 1, 6))
+    bin_of = np.clip(np.searchsorted(edges, np.arange(n), side="left") - 1, 0, 4)
+    for k in range(5):
+        members = [i for i in range(n) if bin_of[i] == k]
+        assert lt[k]["n"] == len(members)
+        assert lt[k]["predicted_proba"] == pytest.approx(sum(ps[i] for i in members) / len(members))
