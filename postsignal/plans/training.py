@@ -74,6 +74,10 @@ def train_run(spark: SparkSession, posts: DataFrame, config: TrainConfig | None
               make_image_model=None) -> TrainOutput:
     cfg = config or TrainConfig()
     state = fit_features(posts)
+    if invalid is None and images is not None:
+        # JN-2: posts whose image URL is not in the image table are dropped
+        from ..operators.assemble import image_availability
+        invalid = image_availability(posts, images, key=key).where("image_available = 0").select(key)
     if invalid is not None:
         posts = posts.join(invalid.select(key), key, "left_anti")   # before the costly families
     posts = posts.withColumn("label", binarize(target, cfg.threshold))
