@@ -52,3 +52,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op5_minhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@register("op8_source_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op8_mixing import mix, training_order
+    return training_order(mix(table(spark, sf_dir, "documents"))).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position", F.size("takes").alias("takes"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op10_packing import PackParams, pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), PackParams(tokenizer_path()))

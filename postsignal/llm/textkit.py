@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20          # bytes hashed at a time
+SEGMENT = 1 << 17          # bytes hashed at a time
 CHUNK = 4 << 20            # bytes of documents handed to an operator at a time
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -79,7 +79,8 @@ class Words:
 
     __slots__ = ("start", "end", "doc", "hash", "first")
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, hashed: bool = True):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, fold: bool = True):
+        """``fold``: hash with A-Z lower-cased."""
         parts = []
         n, at = len(buf), 0
         edge = offsets[1:-1]
@@ -99,7 +100,7 @@ class Words:
                             cut = p + int(gap[0]) + 1
                             break
                 to = cut
-            parts.append(self._segment(buf[at:to], at, edge, hashed))
+            parts.append(self._segment(buf[at:to], at, edge, fold))
             at = to
         if parts:
             self.start, self.end, self.hash = (np.concatenate(x) for x in zip(*parts))
@@ -111,7 +112,7 @@ class Words:
         self.doc = np.repeat(np.arange(docs, dtype=np.int32), np.diff(self.first))
 
     @staticmethod
-    def _segment(b: np.ndarray, at: int, edge: np.ndarray, hashed: bool):
+    def _segment(b: np.ndarray, at: int, edge: np.ndarray, fold: bool):
         n = len(b)
         word = np.zeros(n + 2, dtype=bool)
         np.logical_not(_SPACE[b], out=word[1:-1])
@@ -120,11 +121,9 @@ class Words:
         begins[inner] = word[inner + 1]
         ends[inner - 1] = word[inner]
         s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        if not hashed:
-            return s + at, e + at, np.zeros(0, dtype=np.uint64)
         power, inverse = _powers(n)
         total = np.zeros(n + 1, dtype=np.uint64)
-        value = _BYTE[_LOWER[b]]
+        value = _BYTE[_LOWER[b] if fold else b]
         value *= power[:n]
         np.cumsum(value, out=total[1:])
         h = total[e]
@@ -173,3 +172,22 @@ def shingle_sets(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         out.append(s)
         ends[d + 1] = ends[d] + len(s)
     return (np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)), ends
+
+
+def distinct(h: np.ndarray, bits: int = 21) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one occurrence of every distinct hash, number of that hash for every element); linear, unordered."""
+    n = len(h)
+    if n == 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+    table = np.empty(1 << bits, dtype=np.int32)
+    table[slot] = np.arange(n, dtype=np.int32)
+    rep = table[slot].astype(np.int64)
+    clash = np.flatnonzero(h[rep] != h)                 # another hash has this slot
+    if len(clash):
+        _, at, inverse = np.unique(h[clash], return_index=True, return_inverse=True)
+        rep[clash] = clash[at][inverse]
+    places = np.flatnonzero(rep == np.arange(n))
+    number = np.empty(n, dtype=np.int64)
+    number[places] = np.arange(len(places))
+    return places, number[rep]
