@@ -70,3 +70,33 @@ def tokenizer_path() -> str:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op10_packing import PackParams, pack_documents
     return pack_documents(table(spark, sf_dir, "documents"), PackParams(tokenizer_path()))
+
+
+@register("op9_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op9_fingerprints import edited_fingerprints, fingerprint_text
+    return edited_fingerprints(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint_text(F.col("fp")).alias("fingerprint"),
+        fingerprint_text(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@register("op7_warc_normaliser", """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY 1)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (d)
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op7_warc import round_trip
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+@register("op1_chat_formatting")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op1_chat import conversation_digests, format_conversations
+    planted = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", planted), (-1, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
+    return conversation_digests(format_conversations(rows.unionByName(extra)))
