@@ -100,3 +100,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", planted), (-1, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
     return conversation_digests(format_conversations(rows.unionByName(extra)))
+
+
+@register("op6_adaptive_scan_neighbours")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op6_ann import search
+    return search(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, 10).orderBy("query_id", "rank")
