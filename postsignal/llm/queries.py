@@ -106,3 +106,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op6_ann import search
     return search(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, 10).orderBy("query_id", "rank")
+
+
+@register("op3_deleted_interpolation")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_interpolation import score_documents
+    return score_documents(table(spark, sf_dir, "documents"), lambda crc: crc % 5 != 1)
+
+
+@register("op4_token_binary")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op4_token_binary import BinaryParams, packed_round_trip
+    return packed_round_trip(table(spark, sf_dir, "documents"), BinaryParams(tokenizer_path()))
