@@ -118,3 +118,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op4_token_binary import BinaryParams, packed_round_trip
     return packed_round_trip(table(spark, sf_dir, "documents"), BinaryParams(tokenizer_path()))
+
+
+def crc_of_id(column):
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
+
+
+@register("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op2_toxicity import fit, score_documents
+    docs = table(spark, sf_dir, "documents")
+    net = fit(docs, table(spark, sf_dir, "labels"), lambda i: crc_of_id(i) % 5 != 0)
+    return score_documents(docs, net).select(F.col("id").alias("doc_id"), (crc_of_id(F.col("id")) % 5 == 0).alias("held_out"), "score", "predicted")
