@@ -249,6 +249,8 @@ def learn_weights(cell: np.ndarray, n: np.ndarray, sums: np.ndarray, tokens: flo
     overall = fit(np.zeros(len(cell), dtype=np.int64), 1)
     weights = fit(bucket, _LEVELS)
     weights[np.bincount(bucket, weights=n, minlength=_LEVELS) == 0] = overall[0]
+    if not types:
+        weights[:] = np.eye(orders + 1)[0]
     floor = 1e-6                                        # a word never seen keeps some probability in every bucket
     weights[:, 0] = np.maximum(weights[:, 0], floor)
     return weights / weights.sum(axis=1, keepdims=True)

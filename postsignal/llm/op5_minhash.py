@@ -179,5 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          params: MinHashParams = MinHashParams()) -> DataFrame:
     """``docs`` without the rows whose component is represented by a smaller id; columns unchanged."""
-    gone = near_duplicates(docs, id_col, text_col, params).filter("not kept").select(F.col("id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
+    name = "gone"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = near_duplicates(docs, id_col, text_col, params).filter("not kept").select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

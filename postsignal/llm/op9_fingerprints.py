@@ -52,10 +52,10 @@ def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
 
 def keep_scaled(hashes: Column, scale: int = SCALE) -> Column:
     """Sorted distinct hashes below the threshold; the smallest one where none is."""
-    limit = F.lit(_LEAST + (1 << 64) // scale)
+    last = F.lit(_LEAST + (1 << 64) // scale - 1)
 
     def kept(h: Column) -> Column:
-        low = F.filter(h, lambda x: x < limit)
+        low = F.filter(h, lambda x: x <= last)
         return F.when(F.size(low) > 0, F.sort_array(F.array_distinct(low))).when(
             F.size(h) > 0, F.array(F.array_min(h))).otherwise(F.array().cast("array<bigint>"))
     return F.element_at(F.transform(F.array(hashes), kept), 1)
