@@ -41,6 +41,7 @@ from ..session import ensure_checkpoint_dir
 
 END = "\r\n\r\n"
 STEP = 1 << 18                 # bytes inflated at a time
+SMALL_ROWS = 200_000           # a table of so few narrow rows (under 20 MB) is broadcast, a larger one is joined by shuffle
 
 INDEX = "archive string, record long, offset long, length long, page_id long, record_type string"
 
@@ -54,11 +55,14 @@ class WarcParams:
 
 def page_records(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
     """(page_id, record): the WARC record text of every page, without its closing blank line."""
+    ensure_checkpoint_dir(pages.sparkSession)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha2(F.encode("html", "UTF-8"), 256)})
     first = (base.filter(F.col("bytes") >= params.min_bytes).groupBy("digest")
              .agg(F.min("page_id").alias("first"), F.max("page_id").alias("most"), F.count(F.lit(1)).alias("n"), F.count("page_id").alias("known"))
-             .filter("first < most or (n > known and known > 0)").select("digest", "first"))
+             .filter("first < most or (n > known and known > 0)").select("digest", "first")).checkpoint()
+    if first.count() <= SMALL_ROWS:                      # the pages then need no shuffle
+        first = F.broadcast(first)
     joined = base.join(first, "digest", "left").withColumn("revisit", F.coalesce(
         (F.col("bytes") >= params.min_bytes) & (F.col("first") < F.coalesce("page_id", F.lit((1 << 63) - 1))), F.lit(False)))
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
@@ -208,8 +212,10 @@ def _read(batches):
 
 def read_records(spark: SparkSession, target: str) -> DataFrame:
     """Every record of the normalised archives, each inflated alone at its place in the index; payloads are verified."""
-    index = (spark.read.parquet(f"{target}-index").groupBy("archive")
-             .agg(F.collect_list(F.struct("offset", "length")).alias("index")))       # bounded by archive_bytes
+    records = spark.read.parquet(f"{target}-index")
+    index = records.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("index"))       # bounded by archive_bytes
+    if records.count() <= SMALL_ROWS:
+        index = F.broadcast(index)
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(target)
              .select(F.regexp_extract("path", "archive=([^/]+)/", 1).alias("archive"), "content"))
     return files.join(index, "archive").select("content", "index").mapInArrow(
