@@ -2,7 +2,7 @@
 
 All are single-row projections on built-in expressions.  The only fitted
 piece is the post-type category list (STR-1), fetched once as a distinct
-aggregate whose size is checked before it reaches the driver.
+aggregate; it is part of the model state, one column per category.
 """
 
 from __future__ import annotations
@@ -28,20 +28,16 @@ NEGATIVE_EMOTIONS = ["anger", "disgust", "fear", "pessimism", "sadness"]
 POST_TYPES = ["SINGLE", "REPLY", "QUOTE", "RETWEET"]
 # ---------------------------------------------------------------------------
 
-MAX_CATEGORIES = 10_000
-
-
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 # -- STR-1 ---------------------------------------------------------------
 def fit_categories(df: DataFrame, col: str = "tweet_type") -> list[str]:
-    """Sorted distinct non-null values (the fitted one-hot vocabulary)."""
-    vals = (df.where(F.col(col).isNotNull()).select(col).distinct()
-            .limit(MAX_CATEGORIES + 1).collect())
-    if len(vals) > MAX_CATEGORIES:
-        raise ValueError(f"{col} has more than {MAX_CATEGORIES} categories")
+    """Sorted distinct non-null values (the fitted one-hot vocabulary).
+
+    The list is model state: one output column per value, saved in the bundle."""
+    vals = df.where(F.col(col).isNotNull()).select(col).distinct().collect()
     return sorted(r[0] for r in vals)
 
 

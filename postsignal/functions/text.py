@@ -58,6 +58,11 @@ def count_matches(c, pattern: str) -> Column:
     return F.regexp_count(_c(c), F.lit(pattern)).cast("long")
 
 
+def count_where(gate: Column, c, pattern: str) -> Column:
+    """``count_matches`` behind a cheap test that every match passes, so most texts skip the scan."""
+    return F.when(gate, count_matches(c, pattern)).otherwise(F.lit(0).cast("long"))
+
+
 def word_count(c) -> Column:
     """``len(s.split())`` on Unicode white space."""
     return count_matches(text_or_empty(c), NON_SPACE_RUN)
@@ -76,10 +81,10 @@ def text_metric_columns(text="text", quoted="quoted_text") -> list[Column]:
     t, q = text_or_empty(text), text_or_empty(quoted)
     c = combined_text(text, quoted)
     clen = F.length(c)
-    n_hash = count_matches(c, HASHTAG_PATTERN)
-    n_ment = count_matches(c, MENTION_PATTERN)
-    n_url = count_matches(c, URL_PATTERN)
-    n_emoji = count_matches(c, EMOJI_SCAN)
+    n_hash = count_where(F.contains(c, F.lit("#")), c, HASHTAG_PATTERN)
+    n_ment = count_where(F.contains(c, F.lit("@")), c, MENTION_PATTERN)
+    n_url = count_where(F.contains(c, F.lit("http")), c, URL_PATTERN)
+    n_emoji = count_where(F.octet_length(c) > clen, c, EMOJI_SCAN)      # every emoji takes more than one byte
     tw, qw = word_count(text), word_count(quoted)
     return [
         F.length(t).cast("long").alias("text_length"),
@@ -107,7 +112,8 @@ def informal_metric_columns(text="text", quoted="quoted_text") -> list[Column]:
     return [
         (count_matches(c, UPPERCASE_CHAR) / F.length(c)).alias("uppercase_ratio"),
         count_matches(c, ELONGATION_PATTERN).alias("word_elongation_count"),
-        count_matches(c, EXCESS_PUNCT_PATTERN).alias("excessive_punctuation_count"),
+        count_where(F.contains(c, F.lit("!")) | F.contains(c, F.lit("?")), c, EXCESS_PUNCT_PATTERN)
+        .alias("excessive_punctuation_count"),
     ]
 
 

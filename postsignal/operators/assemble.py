@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import image_key
 
 Family = Callable[[DataFrame], DataFrame]
 _FAMILIES: dict[str, Family] = {}
+SALTS = 1024               # partitions' worth of posts without an image URL
 
 
 def register_family(name: str, fn: Family) -> None:
@@ -25,12 +26,15 @@ def register_family(name: str, fn: Family) -> None:
     _FAMILIES[name] = fn
 
 
-def family(name: str) -> Family:
-    return _FAMILIES[name]
+def has_url(url: str = "image_url") -> Column:
+    return F.coalesce(F.col(url), F.lit("")) != ""
 
 
-def families() -> dict[str, Family]:
-    return dict(_FAMILIES)
+def url_key(url: str = "image_url", key: str = "post_id") -> Column:
+    """Join key of a post's image; posts without a URL get one of ``SALTS``
+    values that match nothing, so that they do not meet in one partition."""
+    salt = F.concat(F.lit("-"), F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("string"))
+    return F.when(has_url(url), image_key(url)).otherwise(salt)
 
 
 def join_families(key: str, frames: list[DataFrame]) -> DataFrame:
@@ -51,20 +55,19 @@ def image_availability(posts: DataFrame, images: DataFrame, url: str = "image_ur
     """ML-5 flag: 1 when the post's image is in the image table.
 
     Posts without an image URL are dropped unless ``keep_missing``; the image
-    table is reduced to distinct keys before the join.
+    table is reduced to distinct keys before the one left join (adaptive
+    execution splits the posts of a widely shared image).
     """
-    keys = images.select("image_key").distinct().withColumn("_hit", F.lit(1))
-    has_url = F.coalesce(F.col(url), F.lit("")) != ""
-    with_url = (posts.where(has_url).withColumn("_k", image_key(url))
-                .join(keys, F.col("_k") == F.col("image_key"), "left")
-                .withColumn("image_available", F.coalesce(F.col("_hit"), F.lit(0)))
-                .drop("_k", "_hit", "image_key"))
-    if not keep_missing:
-        return with_url
-    # posts without a URL never enter the join: a null key would put all of
-    # them (possibly most posts) into one shuffle partition
-    without = posts.where(~has_url).withColumn("image_available", F.lit(0))
-    return with_url.unionByName(without)
+    keys = images.select(F.col("image_key").alias("_hit")).distinct()
+    joined = (posts.withColumn("_k", url_key(url, key)).join(keys, F.col("_k") == F.col("_hit"), "left")
+              .withColumn("image_available", F.col("_hit").isNotNull().cast("int")).drop("_k", "_hit"))
+    return joined if keep_missing else joined.where(has_url(url))
+
+
+def with_valid_images(posts: DataFrame, images: DataFrame, url: str = "image_url", key: str = "post_id") -> DataFrame:
+    """JN-2 in one pass: ``posts`` without those whose image is not in the image table."""
+    flagged = image_availability(posts, images, url, key, keep_missing=True)
+    return flagged.where((F.col("image_available") == 1) | ~has_url(url)).drop("image_available")
 
 
 def drop_invalid(df: DataFrame, invalid: DataFrame, key: str = "post_id") -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,16 +70,13 @@ def image_vectors(posts: DataFrame, images: DataFrame, make_predict_fn: Callable
     run by ``predict_batch_udf`` on the image table, once per distinct image),
     joined to the posts by ``md5(url)``; posts without an available image get
     zeros and ``image_available = 0`` (JN-3)."""
-    from .assemble import image_availability
+    from .assemble import url_key
     udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     distinct = images.dropDuplicates(["image_key"])
-    vecs = distinct.select(F.col("image_key").alias("_vk"), udf(F.col("content")).cast("array<double>").alias(out))
-    flagged = image_availability(posts, images, url, key, keep_missing=True)
-    # only posts with an available image take part in the join (no null keys)
-    avail = (flagged.where(F.col("image_available") == 1).withColumn("_vk", F.md5(F.col(url)))
-             .join(vecs, "_vk", "left").drop("_vk").withColumn(out, F.coalesce(F.col(out), zeros(dim))))
-    rest = flagged.where(F.col("image_available") != 1).withColumn(out, zeros(dim))
-    return avail.unionByName(rest)
+    vecs = distinct.select(F.col("image_key").alias("_hit"), udf(F.col("content")).cast("array<double>").alias(out))
+    return (posts.withColumn("_vk", url_key(url, key)).join(vecs, F.col("_vk") == F.col("_hit"), "left")
+            .withColumn("image_available", F.col("_hit").isNotNull().cast("int"))
+            .withColumn(out, F.coalesce(F.col(out), zeros(dim))).drop("_vk", "_hit"))
 
 
 @dataclass
@@ -100,11 +98,8 @@ def fit_pca(df: DataFrame, col: str, k: int) -> PcaState:
     if n == 1:
         return PcaState(k, "slice")
     dim = df.select(F.size(col)).first()[0]
-    m = df.select(F.posexplode(F.col(col).cast("array<double>")).alias("i", "x")).groupBy("i") \
-        .agg(F.avg("x").alias("m")).collect()
-    mean = [0.0] * dim
-    for r in m:
-        mean[r["i"]] = float(r["m"])
+    vectors = df.where(F.col(col).isNotNull()).select(array_to_vector(F.col(col).cast("array<double>")).alias("_cv"))
+    mean = [float(x) for x in vectors.agg(Summarizer.mean(F.col("_cv")).alias("m")).first()["m"].toArray()]
     centred = _centre(df, col, mean)
     kk = min(k, dim)
     model = PCA(k=kk, inputCol="_cv", outputCol="_pc").fit(centred)

@@ -1,5 +1,11 @@
 """Evaluation suite (AGG-1, AGG-7 ... AGG-25, WIN-1 ... WIN-4, EVL-1).
 
+Rules for undefined values: a ratio whose denominator is 0 is 0 for the
+threshold metrics (as the reference's ``zero_division``); ranking metrics,
+curve ordinates, lift, coefficients of variation and improvement percentages
+are NULL (one class only, no positives, a mean or loss of 0).  Rows without a
+score or a label take no part in any metric.
+
 Threshold metrics are conditional sums in one aggregate (C3).  Ranking metrics
 (ROC AUC with ties, PR AUC anchored at (0, 1), average precision, curves) are
 exact and come from one table of distinct scores with running counts, built
@@ -24,8 +30,6 @@ SWEEP_DELTA = (SWEEP_START + SWEEP_STEP) - SWEEP_START
 IMBALANCE_BAND = (0.5, 2.0)               # class_weight skipped inside this band
 # ---------------------------------------------------------------------------
 
-MAX_GROUPS = 100_000
-
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -109,9 +113,9 @@ def calibration_gain(df: DataFrame, label="label", before="score", after="calibr
                log_loss_expr(label, before).alias("log_loss_before"),
                log_loss_expr(label, after).alias("log_loss_after"))
     return s.select("*",
-                    ((F.col("brier_before") - F.col("brier_after")) / F.col("brier_before") * 100)
+                    (F.try_divide(F.col("brier_before") - F.col("brier_after"), F.col("brier_before")) * 100)
                     .alias("brier_improvement_pct"),
-                    ((F.col("log_loss_before") - F.col("log_loss_after")) / F.col("log_loss_before") * 100)
+                    (F.try_divide(F.col("log_loss_before") - F.col("log_loss_after"), F.col("log_loss_before")) * 100)
                     .alias("log_loss_improvement_pct"))
 
 
@@ -134,28 +138,6 @@ def calibration_curve(df: DataFrame, label="label", p="score", bins: int = 10) -
 
 
 # -- ranking metrics (AGG-10 ... AGG-12, WIN-1, WIN-2) ------------------------------
-def _group_totals(labelled: DataFrame, groups: list[str]) -> tuple[Column, Column]:
-    """Positives/negatives per group as literal columns (one row per group).
-
-    Computed from the input (a partial aggregate on a handful of groups), not
-    from the distinct-score table, whose aggregation is the expensive shuffle."""
-    rows = (labelled.groupBy(*groups) if groups else labelled).agg(
-        F.sum("y").alias("P"), (F.count(F.lit(1)) - F.sum("y")).alias("N")).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError("too many groups for ranking metrics")
-    if not groups:
-        r = rows[0] if rows else None
-        return F.lit(int(r["P"] or 0) if r else 0), F.lit(int(r["N"] or 0) if r else 0)
-    if len(groups) != 1:
-        raise ValueError("ranking metrics take at most one group column")
-    g = groups[0]
-    if not rows:
-        return F.lit(0), F.lit(0)
-    pm = F.create_map(*[x for r in rows for x in (F.lit(r[g]), F.lit(int(r["P"])))])
-    nm = F.create_map(*[x for r in rows for x in (F.lit(r[g]), F.lit(int(r["N"])))])
-    return pm[F.col(g)], nm[F.col(g)]
-
-
 def score_table(df: DataFrame, label="label", p="score", groups: list[str] | None = None) -> DataFrame:
     """Distinct scores (per group), descending, with running counts.
 
@@ -163,16 +145,26 @@ def score_table(df: DataFrame, label="label", p="score", groups: list[str] | Non
     fp, P, N, idx (0-based position in descending order).
     """
     g = list(groups or [])
-    labelled = df.select(*g, _c(p).alias("score"), _c(label).alias("y"))
+    if len(g) > 1:
+        raise ValueError("ranking metrics take at most one group column")
+    labelled = df.select(*g, _c(p).alias("score"), _c(label).alias("y")).where("score IS NOT NULL AND y IS NOT NULL")
     st = (labelled.groupBy(*g, "score")
           .agg(F.sum("y").cast("long").alias("pos"),
                (F.count(F.lit(1)) - F.sum("y")).cast("long").alias("neg"))
           .withColumn("cnt", F.lit(1).cast("long")))
     pre = prefix_sums(st, [F.col("score").desc()], ["pos", "neg", "cnt"], g)
-    P, N = _group_totals(labelled, g)
+    # totals from the input (a partial aggregate on a handful of groups), not from
+    # the distinct-score table, whose aggregation is the expensive shuffle
+    totals = (labelled.groupBy(*[F.col(c).alias("_group") for c in g]) if g else labelled).agg(
+        F.coalesce(F.sum("y"), F.lit(0)).cast("long").alias("P"),
+        (F.count(F.lit(1)) - F.coalesce(F.sum("y"), F.lit(0))).cast("long").alias("N"))
     out = (pre.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
-           .withColumn("idx", F.col("cum_cnt") - 1).drop("cnt", "cum_cnt")
-           .withColumn("P", P).withColumn("N", N))
+           .withColumn("idx", F.col("cum_cnt") - 1).drop("cnt", "cum_cnt"))
+    if g:
+        out = out.join(totals, out[g[0]].eqNullSafe(totals["_group"])).drop("_group")
+    else:
+        one = totals.first()
+        out = out.withColumns({"P": F.lit(one["P"]), "N": F.lit(one["N"])})
     # one table of distinct scores feeds several metrics and self-joins
     return freeze(out)
 
@@ -182,11 +174,11 @@ def _ranking_terms() -> list[Column]:
     P, N = F.col("P").cast("double"), F.col("N").cast("double")
     tp0, fp0 = tp - pos, fp - neg
     prec = tp / (tp + fp)
-    prec0 = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(tp0 / (tp0 + fp0))
+    prec0 = F.coalesce(F.try_divide(tp0, tp0 + fp0), F.lit(1.0))
     return [
         (neg * (2 * tp - pos)).alias("_auc"),
-        ((tp - tp0) / P * (prec + prec0) / 2).alias("_prauc"),
-        (pos / P * prec).alias("_ap"),
+        (F.try_divide(tp - tp0, P) * (prec + prec0) / 2).alias("_prauc"),
+        (F.try_divide(pos, P) * prec).alias("_ap"),
     ]
 
 
@@ -196,25 +188,10 @@ def ranking_metrics(df: DataFrame, label="label", p="score", groups: list[str] |
     st = score_table(df, label, p, g).select(*g, "P", "N", *_ranking_terms())
     agg = st.groupBy(*g, "P", "N").agg(
         F.sum("_auc").alias("_auc"), F.sum("_prauc").alias("pr_auc"), F.sum("_ap").alias("average_precision"))
-    return agg.select(*g, (F.col("_auc") / (F.lit(2.0) * F.col("P") * F.col("N"))).alias("roc_auc"),
+    return agg.select(*g, F.try_divide(F.col("_auc"), F.lit(2.0) * F.col("P") * F.col("N")).alias("roc_auc"),
                       "pr_auc", "average_precision")
 
 
-def roc_auc(df: DataFrame, label="label", p="score", groups: list[str] | None = None) -> DataFrame:
-    """AGG-10 alone (ties count half)."""
-    return ranking_metrics(df, label, p, groups).select(*(groups or []), "roc_auc")
-
-
-def pr_auc(df: DataFrame, label="label", p="score", groups: list[str] | None = None) -> DataFrame:
-    """AGG-11 alone (trapezoid from (recall 0, precision 1))."""
-    return ranking_metrics(df, label, p, groups).select(*(groups or []), "pr_auc")
-
-
-def average_precision(df: DataFrame, label="label", p="score", groups: list[str] | None = None) -> DataFrame:
-    """AGG-12 alone (step sum of precision over recall increments)."""
-    return ranking_metrics(df, label, p, groups).select(*(groups or []), "average_precision")
-
-
 def roc_curve(df: DataFrame, label="label", p="score") -> DataFrame:
     """WIN-1: (threshold, fpr, tpr), corners only (collinear points dropped),
     starting at (inf, 0, 0)."""
@@ -226,7 +203,8 @@ def roc_curve(df: DataFrame, label="label", p="score") -> DataFrame:
     keep = ((F.col("idx") == 0) | (F.col("idx") == m) | F.lit(m < 2)
             | (F.col("n_pos") != F.col("pos")) | (F.col("n_neg") != F.col("neg")))
     pts = j.where(keep).select(F.col("score").alias("threshold"),
-                               (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
+                               F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double")).alias("fpr"),
+                               F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("tpr"))
     start = st.where(F.col("idx") == 0).select(F.lit(float("inf")).alias("threshold"),
                                                 F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(pts)
@@ -252,7 +230,8 @@ def lift_table(df: DataFrame, label="label", p="score", key="event_id", bins: in
     quantile cut of the ranks.  Columns: bin, n, actual, predicted_proba,
     lift, cumulative_lift.
     """
-    narrow = df.select(_c(key).alias("_key"), _c(label).alias("y"), _c(p).alias("p"))
+    narrow = (df.select(_c(key).alias("_key"), _c(label).alias("y"), _c(p).alias("p"))
+              .where("y IS NOT NULL AND p IS NOT NULL"))
     n = narrow.count()                       # a pruned scan; the bins need n before ranking
     denom = max(n - 1, 1)
     # bin_by="key" is the reference's literal behaviour (quantiles of the row
@@ -269,8 +248,8 @@ def lift_table(df: DataFrame, label="label", p="score", key="event_id", bins: in
     total_pos = F.sum("_pos").over(everything).cast("double")
     baseline = total_pos / F.sum("n").over(everything)
     return per.select("bin", "n", "actual", "predicted_proba",
-                      (F.col("actual") / baseline).alias("lift"),
-                      (F.sum("_pos").over(upto) / (total_pos * ((F.col("bin") + 1) / F.lit(float(bins)))))
+                      F.try_divide(F.col("actual"), baseline).alias("lift"),
+                      F.try_divide(F.sum("_pos").over(upto).cast("double"), total_pos * ((F.col("bin") + 1) / F.lit(float(bins))))
                       .alias("cumulative_lift"))
 
 
@@ -322,7 +301,7 @@ def fold_stability(fm: DataFrame, metrics=("f1", "precision", "recall")) -> Data
     long = fm.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v"))
                                           for m in metrics])).alias("r")).select("r.*")
     return (long.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
-            .withColumn("cv", F.col("std") / F.col("mean")))
+            .withColumn("cv", F.try_divide(F.col("std"), F.col("mean"))))
 
 
 def best_fold(fm: DataFrame, metric: str = "pr_auc", fold: str = "fold") -> DataFrame:
@@ -361,13 +340,13 @@ def class_weights(df: DataFrame, label="label", band=IMBALANCE_BAND) -> DataFram
     n, k = F.sum("count").over(w), F.count(F.lit(1)).over(w)
     c0 = F.max(F.when(F.col("class") == 0, F.col("count"))).over(w)
     c1 = F.max(F.when(F.col("class") == 1, F.col("count"))).over(w)
-    ratio = c0 / c1
+    ratio = F.try_divide(c0, c1)
     skip = (k <= 1) | ratio.between(band[0], band[1])
     weighted = counts.select("class", "count", F.when(skip, F.lit(1.0)).otherwise(n / (k * F.col("count")))
                              .alias("weight"))
     w0 = F.max(F.when(F.col("class") == 0, F.col("weight"))).over(w)
     w1 = F.max(F.when(F.col("class") == 1, F.col("weight"))).over(w)
-    return weighted.withColumn("scale_pos_weight", w1 / w0)
+    return weighted.withColumn("scale_pos_weight", F.try_divide(w1, w0))
 
 
 def baselines(df: DataFrame, label="label") -> DataFrame:
@@ -383,6 +362,7 @@ def evaluate(df: DataFrame, label="label", raw="score", calibrated: str | None =
     metrics from the raw one (one row)."""
     decide_on = calibrated or raw
     # C3: confusion counts and the threshold metrics come from one aggregate
+    df = df.where(_c(raw).isNotNull() & _c(decide_on).isNotNull() & _c(label).isNotNull())
     conf = df.agg(*confusion_sums(label, (_c(decide_on) > F.lit(threshold)).cast("int")))
     thr = conf.select(*_rates("tp", "fp", "fn", "tn"), "tp", "fp", "fn", "tn")
     rank = ranking_metrics(df, label, raw).select("roc_auc", "pr_auc")

@@ -54,7 +54,13 @@ def prefix_sums(df: DataFrame, order: list, values: list[str], groups: list[str]
 
     running = Window.partitionBy(PID, *groups).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    out = ranged.join(offsets, on=[PID, *groups], how="inner")
+    # null-safe on the groups: rows of a null group keep their place
+    offsets = offsets.select(F.col(PID).alias("_o_pid"), *[F.col(g).alias(f"_o_group_{i}") for i, g in enumerate(groups)],
+                             *[f"_o_{v}" for v in values])
+    on = F.col(PID) == F.col("_o_pid")
+    for i, g in enumerate(groups):
+        on = on & ranged[g].eqNullSafe(F.col(f"_o_group_{i}"))
+    out = ranged.join(offsets, on, "inner").drop("_o_pid", *[f"_o_group_{i}" for i in range(len(groups))])
     for v in values:
         out = out.withColumn(f"{prefix}{v}", F.sum(v).over(running) + F.col(f"_o_{v}"))
     return out.drop(PID, *[f"_o_{v}" for v in values])

@@ -4,8 +4,8 @@
 Randomness is ``xxhash64(key, seed)``: the same rows land in the same split
 whatever the partitioning or the executor that computes them (``rand`` and
 ``sample`` do not have that property, so a lost executor could reshuffle a
-split).  Per-class positions come from ``prefix.global_rank`` grouped by the
-label, which range-partitions instead of funnelling a class into one task.
+split).  Per-class positions come from hash buckets (``class_rank``): a class
+of any size is spread over many tasks, with one shuffle.
 """
 
 from __future__ import annotations
@@ -13,59 +13,77 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import global_rank, prefix_sums
+from .prefix import prefix_sums
 
-MAX_CLASSES = 10_000
+BUCKET_ROWS = 1 << 17          # rows of a hash bucket, about
+BUCKET_BITS = 16               # most leading hash bits that name a bucket
 
 
 def hash_order(key: str, seed: int) -> Column:
     return F.xxhash64(F.col(key), F.lit(seed))
 
 
-def class_counts(df: DataFrame, label: str) -> dict:
-    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has too many classes")
-    return {r[label]: int(r["count"]) for r in rows}
-
-
-def allocate(counts: dict, n_draws: int) -> dict:
-    """Per-class share of ``n_draws`` proportional to class size; the
-    remainder goes to the largest fractional parts (ties: class order)."""
-    total = sum(counts.values())
-    cont = {c: n * n_draws / total for c, n in counts.items()}
-    out = {c: math.floor(v) for c, v in cont.items()}
-    need = n_draws - sum(out.values())
-    for c in sorted(counts, key=lambda c: (-(cont[c] - out[c]), c))[:need]:
-        out[c] += 1
-    return out
-
-
-def _class_rank(df: DataFrame, label: str, key: str, seed: int, out: str = "_crank") -> DataFrame:
-    """Rank within the class by hash, computed on the narrow (key, label)
-    table and joined back on the (unique) key: the wide rows are shuffled once
-    by the join instead of going through the range partitioning."""
-    narrow = df.select(key, label).withColumn("_h", hash_order(key, seed))
-    ranks = global_rank(narrow, [F.col("_h"), F.col(key)], groups=[label], out=out).select(key, out)
-    return df.join(ranks, key, "inner")
-
-
-def _per_class(label: str, values: dict, default=0) -> Column:
-    m = F.create_map(*[x for c, v in values.items() for x in (F.lit(c), F.lit(v))])
-    return F.coalesce(m[F.col(label)], F.lit(default))
+def class_counts(df: DataFrame, label: str) -> DataFrame:
+    """(label, n) per class, as a table: nothing depends on how many classes there are."""
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def allocate(sizes: DataFrame, label: str, draws: int, total: int, out: str = "quota") -> DataFrame:
+    """Per-class share of ``draws`` proportional to ``n``; the remainder goes to
+    the largest fractional parts (ties: class order).  The window runs over the
+    per-class table, one row per class."""
+    cont = F.col("n") * F.lit(draws) / F.lit(max(total, 1))
+    base = F.floor(cont)
+    part = sizes.withColumn("_base", base).withColumn("_frac", cont - base)
+    need = F.lit(draws) - F.sum("_base").over(Window.partitionBy())
+    order = F.row_number().over(Window.orderBy(F.col("_frac").desc(), F.col(label).asc_nulls_first()))
+    return part.withColumn(out, F.col("_base") + (order <= need).cast("long")).drop("_base", "_frac")
+
+
+def class_rank(df: DataFrame, label: str, key: str, seed: int, per_class=None, out: str = "_crank") -> DataFrame:
+    """0-based position of every key within its class in hash order, in place.
+
+    The order is a hash, so its leading bits cut a class into even buckets:
+    one narrow count per (class, bucket) gives the offsets, and a rank inside
+    the bucket the rest -- one shuffle of the rows, no sampling, no checkpoint and
+    no join on the key.  Rows that repeat a key (over-sampled copies) share
+    its position, so they stay together.  ``per_class(sizes)`` may add columns to
+    the per-class table (label, n = distinct keys); they arrive on the rows.
+    """
+    n = df.count()
+    bits = min(BUCKET_BITS, max(0, math.ceil(math.log2(max(n, 1) / BUCKET_ROWS))))
+    h = hash_order(key, seed)
+    bucket = F.shiftrightunsigned(h, 64 - bits).cast("int") if bits else F.lit(0)
+    keys = df.select(F.col(label).alias("_label"), key).distinct().withColumn("_bucket", bucket)
+    counts = keys.groupBy("_label", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    extra: list[str] = []
+    if per_class is not None:
+        sizes = per_class(counts.groupBy("_label").agg(F.sum("_n").alias("n")).withColumnRenamed("_label", label))
+        extra = [c for c in sizes.columns if c not in (label, "n")]
+        sizes = sizes.select(F.col(label).alias("_class"), *extra)
+        offsets = offsets.join(sizes, F.col("_label").eqNullSafe(F.col("_class"))).drop("_class")
+    offsets = offsets.drop("_n").withColumnRenamed("_bucket", "_at")
+    inside = Window.partitionBy(label, "_bucket").orderBy("_h", key)
+    ranked = df.withColumn("_h", h).withColumn("_bucket", bucket).withColumn("_rank", F.dense_rank().over(inside))
+    joined = ranked.join(offsets, ranked[label].eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_at")))
+    return joined.withColumn(out, F.col("_rank") - 1 + F.col("_offset")).select(*df.columns, out, *extra)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42,
                      out: str = "is_test") -> DataFrame:
-    """WIN-5: ``is_test`` with exact class shares (ceil(share * n) test rows)."""
-    counts = class_counts(df, label)
-    n = sum(counts.values())
-    quota = allocate(counts, math.ceil(test_share * n))
-    ranked = _class_rank(df, label, key, seed)
-    return ranked.withColumn(out, F.col("_crank") < _per_class(label, quota)).drop("_crank")
+    """WIN-5: ``is_test`` with exact class shares (ceil(share * n) test keys).
+
+    Copies of a key fall on the same side; shares are of distinct keys."""
+    def quota(sizes: DataFrame) -> DataFrame:
+        total = int(sizes.agg(F.sum("n")).first()[0] or 0)
+        return allocate(sizes, label, math.ceil(test_share * total), total)
+    ranked = class_rank(df, label, key, seed, quota)
+    return ranked.withColumn(out, F.col("_crank") < F.col("quota")).drop("_crank", "quota")
 
 
 def complement(df: DataFrame, flag: str = "is_test") -> tuple[DataFrame, DataFrame]:
@@ -73,8 +91,10 @@ def complement(df: DataFrame, flag: str = "is_test") -> tuple[DataFrame, DataFra
     return df.where(~F.col(flag)), df.where(F.col(flag))
 
 
-def n_folds(counts: dict, k: int) -> int:
-    k = min(k, min(counts.values())) if counts else k
+def n_folds(df: DataFrame, label: str, key: str, k: int) -> int:
+    """``k``, lowered to the distinct keys of the smallest class."""
+    least = df.select(label, key).distinct().groupBy(label).count().agg(F.min("count")).first()[0]
+    k = min(k, int(least)) if least is not None else k
     if k < 2:
         raise ValueError("stratified folds need at least 2 rows in every class")
     return k
@@ -83,9 +103,9 @@ def n_folds(counts: dict, k: int) -> int:
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
                      out: str = "fold") -> DataFrame:
     """WIN-6: per-class position by hash, ``% k``; k lowered to the smallest
-    class size.  Fold sizes per class differ by at most one."""
-    kk = n_folds(class_counts(df, label), k)
-    ranked = _class_rank(df, label, key, seed)
+    class size.  Fold sizes per class differ by at most one key."""
+    kk = n_folds(df, label, key, k)
+    ranked = class_rank(df, label, key, seed)
     return ranked.withColumn(out, (F.col("_crank") % kk).cast("int")).drop("_crank")
 
 
@@ -98,30 +118,38 @@ def train_sizes(n_train: int, fractions: list[float]) -> list[int]:
     return sizes
 
 
-def learning_subsets(df: DataFrame, key: str, fold: str = "fold", k: int = 5,
-                     fractions: list[float] | None = None) -> DataFrame:
-    """WIN-7: for every split (validation fold ``s``) and every training size,
-    the prefix (in key order) of the training rows.  Returns one row per
-    (row, split) with ``size_idx`` = the smallest size index containing the
-    row; the subset for size i is ``size_idx <= i`` (nested)."""
+def learning_ranks(df: DataFrame, key: str, fold: str = "fold", k: int = 5,
+                   fractions: list[float] | None = None, out: str = "sizes") -> tuple[DataFrame, int]:
+    """(key, fold, ``out``) and the number of sizes: for every split (validation
+    fold ``s``) element ``s`` of ``out`` is the smallest size index whose prefix (in key
+    order) of the training rows contains the row; null for its validation rows."""
     fractions = fractions or learning_fractions()
     ind = [f"_in{f}" for f in range(k)]
-    base = df.select("*", *[(F.col(fold) == f).cast("long").alias(c) for f, c in enumerate(ind)],
+    base = df.select(key, fold, *[(F.col(fold) == f).cast("long").alias(c) for f, c in enumerate(ind)],
                      F.lit(1).cast("long").alias("_one"))
     pre = prefix_sums(base, [F.col(key)], ["_one", *ind])
     fold_sizes = {r[fold]: int(r["count"]) for r in df.groupBy(fold).count().collect()}
     total = sum(fold_sizes.values())
-    per_split = []
+    per_split, most = [], 0
     for s in range(k):
         n_train = total - fold_sizes.get(s, 0)
         sizes = train_sizes(n_train, fractions)
+        most = max(most, len(sizes))
         rank = F.col("cum__one") - F.col(f"cum__in{s}")          # 1-based position among training rows
         idx = F.lit(None).cast("int")
         for i in reversed(range(len(sizes))):
             idx = F.when(rank <= F.lit(sizes[i]), F.lit(i)).otherwise(idx)
-        per_split.append(F.when(F.col(fold) != s, F.struct(F.lit(s).alias("split"), idx.alias("size_idx"))))
-    exploded = pre.select(key, fold, F.explode(F.array(*per_split)).alias("m")).where(F.col("m").isNotNull())
-    return exploded.select(key, fold, "m.split", "m.size_idx")
+        per_split.append(F.when(F.col(fold) != s, idx))
+    return pre.select(key, fold, F.array(*per_split).alias(out)), most
+
+
+def learning_subsets(df: DataFrame, key: str, fold: str = "fold", k: int = 5,
+                     fractions: list[float] | None = None) -> DataFrame:
+    """WIN-7 as rows: one per (row, split) with ``size_idx`` = the smallest size
+    index containing the row; the subset for size i is ``size_idx <= i`` (nested)."""
+    ranks, _ = learning_ranks(df, key, fold, k, fractions)
+    return (ranks.select(key, fold, F.posexplode("sizes").alias("split", "size_idx"))
+            .where(F.col("split") != F.col(fold)))
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:

@@ -6,14 +6,17 @@ by 2^maxDepth --, ``lambda_l1/l2``, ``bagging_freq``).  MLlib trees reject
 missing values, so every nullable feature is filled with 0 and gets a
 ``<name>__missing`` indicator before assembly (C4).
 
-Fold training reads the input once per fold from a persisted, hash-assigned
-``fold`` column; each fold's metrics are the exact Spark metrics of
-``operators.metrics``.
+Fold training assembles the feature vector once, keeps (label, fold, vector)
+cached for its own duration and slices it per fold; each fold's metrics are
+the exact Spark metrics of ``operators.metrics``.  Resampling and class weights
+touch the training part of a fold only, never the held-out part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -22,7 +25,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import metrics as M
 
@@ -33,11 +35,23 @@ DEFAULT_PARAMS = {
     "lambda_l1": 0.1, "lambda_l2": 0.1, "min_child_samples": 20, "max_depth": 8, "num_leaves": 31,
     "random_state": 42,
 }
-EARLY_STOPPING_ROUNDS = 50
 # ---------------------------------------------------------------------------
 DEFAULT_ROUNDS = 100
 
 
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` cached for the block; a cache that the caller already holds is used and left alone."""
+    level = df.storageLevel
+    own = not (level.useMemory or level.useDisk)
+    data = df.persist() if own else df
+    try:
+        yield data
+    finally:
+        if own:
+            data.unpersist()
+
+
 def gbt_from_params(params: dict | None = None, label: str = "label", features: str = "features",
                     weight: str | None = None, validation: str | None = None) -> GBTClassifier:
     p = {**DEFAULT_PARAMS, **(params or {})}
@@ -109,13 +123,6 @@ def fit_model(df: DataFrame, spec: FeatureSpec, params: dict | None = None, labe
     return pipe.fit(prepare(df, spec))
 
 
-def fit_final(df: DataFrame, spec: FeatureSpec, params: dict | None = None, label: str = "label",
-              weight: str | None = None) -> tuple[PipelineModel, DataFrame]:
-    """ML-7: final model on all training rows and its importance table."""
-    model = fit_model(df, spec, params, label, weight)
-    return model, importance_table(model, spec)
-
-
 def importance_table(model: PipelineModel, spec: FeatureSpec) -> DataFrame:
     """Gain-style importance per input feature (indicator importance folded in)."""
     imp = model.stages[-1].featureImportances.toArray().tolist()
@@ -146,44 +153,55 @@ class FoldResult:
     best_model: PipelineModel
 
 
+Resample = Callable[[DataFrame], DataFrame]
+
+
 def train_folds(df: DataFrame, spec: FeatureSpec, params: dict | None = None, label: str = "label",
                 fold: str = "fold", metric: str = "pr_auc", threshold: float = 0.5,
-                weight: str | None = None, early_stopping: bool = True, parallelism: int = 4) -> FoldResult:
+                weight: str | None = None, early_stopping: bool = True, parallelism: int = 4,
+                resample: Resample | None = None, key: str | None = None) -> FoldResult:
     """ML-8: fit on all folds but one, score the held-out fold; the best fold's
     model (first maximum of ``metric``) is kept.  With ``early_stopping`` the
-    held-out fold is the validation set (as the reference's eval set)."""
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    data = df.persist()
-
-    def fit_one(f):
-        if early_stopping:
-            part = data.withColumn("_val", F.col(fold) == f)
-            return fit_model(part, spec, params, label, weight, "_val")
-        return fit_model(data.where(F.col(fold) != f), spec, params, label, weight)
-
-    # fold fits are independent Spark jobs: submit them from a few driver
-    # threads so their (small) stages overlap on the cluster
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
-        models = dict(zip(folds, pool.map(fit_one, folds)))
-    scored_parts, imps = [], []
-    for f in folds:
-        model = models[f]
-        held = data.where(F.col(fold) == f)
-        scored_parts.append(probability(model, held, spec).select(F.lit(f).alias(fold), label, "p"))
-        imps.append(importance_table(model, spec).withColumn(fold, F.lit(f)))
-    scored = scored_parts[0]
-    for s in scored_parts[1:]:
-        scored = scored.unionByName(s)
-    fm = M.fold_metrics(scored, label, "p", fold, threshold)
-    fm = fm.persist()
-    best = fm.orderBy(F.col(metric).desc(), F.col(fold).asc()).first()
-    best_fold = best[fold]
-    imp = imps[0]
-    for i in imps[1:]:
-        imp = imp.unionByName(i)
+    held-out fold is the validation set (as the reference's eval set).
+
+    ``resample`` is applied to each training part (it may add a ``weight``
+    column); it needs ``key`` to find its rows."""
+    joined = assembler(spec)
+    keep = [c for c in (key, label, fold, weight) if c]
+    vectors = joined.transform(prepare(df, spec)).select(*keep, "features")
+    with held(vectors) as data:
+        folds = sorted(r[0] for r in data.select(fold).distinct().collect())
+
+        def fit_one(f):
+            part, w = data.where(F.col(fold) != f), weight
+            if resample is not None:
+                part = resample(part)
+                w = "weight" if "weight" in part.columns else weight
+            cols = [c for c in (label, w) if c] + ["features"]
+            if early_stopping:
+                check = data.where(F.col(fold) == f).withColumn("_val", F.lit(True))
+                if w and w not in check.columns:
+                    check = check.withColumn(w, F.lit(1.0))
+                part = part.select(*cols).withColumn("_val", F.lit(False)).unionByName(check.select(*cols, "_val"))
+            return gbt_from_params(params, label, "features", w, "_val" if early_stopping else None).fit(part)
+
+        # fold fits are independent Spark jobs: submit them from a few driver
+        # threads so their (small) stages overlap on the cluster
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
+            models = dict(zip(folds, pool.map(fit_one, folds)))
+        scored, imp = None, None
+        for f in folds:
+            part = models[f].transform(data.where(F.col(fold) == f)).select(
+                F.lit(f).alias(fold), label, vector_to_array("probability")[1].alias("p"))
+            scored = part if scored is None else scored.unionByName(part)
+            table = importance_table(PipelineModel([joined, models[f]]), spec).withColumn(fold, F.lit(f))
+            imp = table if imp is None else imp.unionByName(table)
+        fm = M.fold_metrics(scored, label, "p", fold, threshold)
+        rows = fm.collect()                                 # one row per fold
+        fm = df.sparkSession.createDataFrame(rows, fm.schema)
+    best = fm.orderBy(F.col(metric).desc_nulls_last(), F.col(fold).asc()).first()
     mean_imp = imp.groupBy("feature").agg((F.sum("importance") / F.lit(float(len(folds)))).alias("importance"))
-    data.unpersist()
-    return FoldResult(fm, imp, mean_imp, best_fold, models[best_fold])
+    return FoldResult(fm, imp, mean_imp, best[fold], PipelineModel([joined, models[best[fold]]]))
 
 
 def select_by_importance(df: DataFrame, spec: FeatureSpec, fold: str = "fold", k: int = 100,
@@ -193,11 +211,3 @@ def select_by_importance(df: DataFrame, spec: FeatureSpec, fold: str = "fold", k
     res = train_folds(df, spec, p, label, fold, early_stopping=False)
     top = res.mean_importance.orderBy(F.col("importance").desc(), F.col("feature")).limit(k).collect()
     return [r["feature"] for r in top]
-
-
-def decide(df: DataFrame, p: str = "p", threshold: float = 0.5, out: str = "decision") -> DataFrame:
-    """TGT-2: strict ``p > threshold``."""
-    return df.withColumn(out, (F.col(p) > F.lit(float(threshold))).cast("int"))
-
-
-PROB_SCHEMA = T.StructType([T.StructField("p", T.DoubleType())])

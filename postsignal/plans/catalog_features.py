@@ -306,30 +306,26 @@ def image_key(spark, sf_dir):
     return pages.select("page_id", IO.image_key("url").alias("image_key"))
 
 
-IMAGE_MAX_BYTES = 8192  # fixture: larger "images" count as unreadable
-
-
 @register("image_availability", f"""
 SELECT post_id, cast(i.k IS NOT NULL AS int) AS image_available
-FROM posts p LEFT JOIN (SELECT md5(url) AS k FROM pages WHERE octet_length(encode(html)) <= {IMAGE_MAX_BYTES}) i
+FROM posts p LEFT JOIN image_keys i
   ON i.k = md5(p.image_url)
 WHERE coalesce(p.image_url, '') <> ''""", ids=("ML-5", "SRC-4"))
 def image_availability(spark, sf_dir):
     p = FX.posts(spark, sf_dir)
-    images = IO.image_table_from_pages(FX.table(spark, sf_dir, "pages"), max_bytes=IMAGE_MAX_BYTES)
+    images = FX.images(spark, sf_dir)
     return A.image_availability(p, images).select("post_id", "image_available")
 
 
 @register("drop_invalid_posts", f"""
 SELECT post_id, total_trade_volume FROM posts p
 WHERE NOT (coalesce(p.image_url, '') <> '' AND md5(p.image_url) NOT IN
-           (SELECT md5(url) FROM pages WHERE octet_length(encode(html)) <= {IMAGE_MAX_BYTES}))""",
+           (SELECT k FROM image_keys))""",
           ids=("JN-2",))
 def drop_invalid_posts(spark, sf_dir):
     p = FX.posts(spark, sf_dir)
-    images = IO.image_table_from_pages(FX.table(spark, sf_dir, "pages"), max_bytes=IMAGE_MAX_BYTES)
-    invalid = A.image_availability(p, images).where("image_available = 0").select("post_id")
-    return A.drop_invalid(p, invalid).select("post_id", "total_trade_volume")
+    images = FX.images(spark, sf_dir)
+    return A.with_valid_images(p.select("post_id", "image_url", "total_trade_volume"), images).select("post_id", "total_trade_volume")
 
 
 @register("align_vectors", """
@@ -371,11 +367,11 @@ def join_predictions(spark, sf_dir):
 @register("assemble_features", f"""
 SELECT p.post_id, length({C_SQL}) AS combined_text_length, cast(hour(created_at) AS int) AS hour,
        cast(i.k IS NOT NULL AS int) AS image_available
-FROM posts p LEFT JOIN (SELECT md5(url) AS k FROM pages WHERE octet_length(encode(html)) <= {IMAGE_MAX_BYTES}) i
+FROM posts p LEFT JOIN image_keys i
   ON i.k = md5(p.image_url)""", ids=("JN-1",))
 def assemble_features(spark, sf_dir):
     p = FX.posts(spark, sf_dir)
-    images = IO.image_table_from_pages(FX.table(spark, sf_dir, "pages"), max_bytes=IMAGE_MAX_BYTES)
+    images = FX.images(spark, sf_dir)
     fam_text = p.select("post_id", F.length(X.combined_text()).cast("long").alias("combined_text_length"))
     fam_time = p.select("post_id", S.temporal_columns(p)[0])
     fam_img = A.image_availability(p, images, keep_missing=True).select("post_id", "image_available")

@@ -344,8 +344,36 @@ thr AS (SELECT
   CASE WHEN sum(label) + sum(d) > 0 THEN 2 * sum(label * d) / (sum(label) + sum(d)) ELSE 0 END AS f1,
   sum(label * d)::bigint AS tp, sum((1 - label) * d)::bigint AS fp, sum(label * (1 - d))::bigint AS fn,
   sum((1 - label) * (1 - d))::bigint AS tn FROM d),
-auc AS ({RANK_SQL.replace("scored", "x")})
-SELECT thr.*, auc.roc_auc FROM thr, auc""", ids=("EVL-1", "AGG-7", "AGG-8", "AGG-10", "CAL-3"))
+auc AS ({RANK_SQL.replace("scored", "x")}),
+pr AS ({PR_POINTS_SQL} SELECT round(sum((recall - r0) * (precision + p0) / 2), 9) AS pr_auc FROM seq)
+SELECT thr.*, auc.roc_auc, pr.pr_auc FROM thr, auc, pr""", ids=("EVL-1", "AGG-7", "AGG-8", "AGG-10", "AGG-11", "CAL-3"))
 def evaluate(spark, sf_dir):
     ev = M.evaluate(_calibrated(spark, sf_dir), "label", "score", "calibrated", 0.5)
-    return _r({"roc_auc"}, ev.drop("pr_auc"))
+    return _r({"roc_auc", "pr_auc"}, ev)
+
+
+# -- undefined values: one class, no positives -------------------------------------
+@register("one_class_metrics", """
+SELECT cls, cast(NULL AS double) AS roc_auc, CASE WHEN cls = 1 THEN cast(1 AS double) END AS pr_auc,
+       sum(cast(score > 0.5 AND label = 1 AS int))::bigint AS tp, sum(cast(score > 0.5 AND label = 0 AS int))::bigint AS fp,
+       sum(cast(score <= 0.5 AND label = 1 AS int))::bigint AS fn, sum(cast(score <= 0.5 AND label = 0 AS int))::bigint AS tn,
+       CASE WHEN cls = 1 THEN cast(1 AS double) END AS first_lift
+FROM (SELECT *, label AS cls FROM scored) s GROUP BY cls""", ids=("EVL-1", "AGG-10", "AGG-11", "AGG-17"))
+def one_class_metrics(spark, sf_dir):
+    """Each class of the scored rows alone: ranking metrics without a counterpart are null, lift without positives too."""
+    out = None
+    for cls in (0, 1):
+        part = FX.scored(spark, sf_dir).where(F.col("label") == cls)
+        e = M.evaluate(part).select(F.lit(cls).alias("cls"), "roc_auc", F.round("pr_auc", R9).alias("pr_auc"), "tp", "fp", "fn", "tn")
+        lift = M.lift_table(part).where("bin = 0").select(F.lit(cls).alias("cls"), F.round("lift", R9).alias("first_lift"))
+        row = e.join(lift, "cls")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("zero_mean_stability", """
+SELECT m AS metric, cast(0 AS double) AS mean, cast(0 AS double) AS std, cast(NULL AS double) AS cv
+FROM (VALUES ('f1'), ('precision'), ('recall')) t(m)""", ids=("AGG-18",))
+def zero_mean_stability(spark, sf_dir):
+    """Folds in which no decision is ever positive: all three metrics are 0, so the coefficient of variation is null."""
+    return M.fold_stability(M.fold_metrics(FX.folds(spark, sf_dir), threshold=2.0))

@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.models import make_byte_histogram_model, make_char_hash_model
 from ..functions.structure import binarize
 from ..operators import embed as E
 from ..operators import explain as XP
@@ -22,6 +23,7 @@ from ..operators import train as TR
 from ..operators.calibrate import calibrated_probability, fit_calibrator
 from ..operators.search import choose_balance, joint_search, learning_curve, subset_search
 from ..plans.features import all_features, fit_features
+from ..plans.scoring import score_one as score_record
 from ..plans.scoring import score_posts
 from ..plans.training import TrainConfig, train_run
 from ..registry import register
@@ -31,7 +33,6 @@ from ..sources import io as IO
 from ..sources import store as ST
 from ..sources.bundle import Bundle, load_bundle, save_bundle
 from ..streaming.scoring import score_stream
-from .catalog_features import IMAGE_MAX_BYTES
 
 QUERY_PARAMS = {"n_estimators": 10, "max_depth": 4, "min_child_samples": 5, "learning_rate": 0.1}
 
@@ -72,9 +73,9 @@ SELECT post_id, text, quoted_text, tweet_type, image_url, created_at, total_trad
           ids=("SRC-1", "SRC-3"))
 def load_json_posts(spark, sf_dir):
     p = FX.posts(spark, sf_dir)
-    path = scratch(spark, "posts") + ".json"
-    IO.save_table(p, path)
-    back = IO.load_posts(spark, path, multiline=False)
+    path = scratch(spark, "posts")
+    IO.save_json_arrays(p, path)
+    back = IO.load_posts(spark, path, multiline=True)
     return back.select("post_id", "text", "quoted_text", "tweet_type", "image_url", "created_at",
                        "total_trade_volume")
 
@@ -98,14 +99,17 @@ def feature_store_reuse(spark, sf_dir):
     return again.select("post_id", "text_length", "combined_text_length")
 
 
-@register("table_fingerprint", ids=("FS-2",))
+@register("table_fingerprint", "SELECT * FROM (VALUES ('events', true), ('documents', true), ('lineitem', true)) t(\"table\", order_free)",
+          ids=("FS-2",))
 def table_fingerprint(spark, sf_dir):
     rows = []
     for t in ("events", "documents", "lineitem"):
         df = FX.table(spark, sf_dir, t)
         rows.append((t, ST.table_fingerprint(df), ST.table_fingerprint(df.repartition(3).orderBy(F.rand(7)))))
     out = spark.createDataFrame(rows, "table string, fingerprint string, shuffled string")
-    return out.withColumn("order_free", F.col("fingerprint") == F.col("shuffled"))
+    # a fingerprint is free of row order, and differs between tables
+    distinct = len({r[1] for r in rows}) == len(rows)
+    return out.select("table", ((F.col("fingerprint") == F.col("shuffled")) & F.lit(distinct)).alias("order_free"))
 
 
 @register("run_metrics", """
@@ -127,9 +131,12 @@ def run_metrics(spark, sf_dir):
 
 
 # -- training frame ----------------------------------------------------------------------
-def _train_frame(spark, sf_dir):
+SKEWED_TARGET = 120.0          # about one post in eleven reaches it
+
+
+def _train_frame(spark, sf_dir, target=50.0):
     posts = FX.with_emotions(FX.with_attributes(FX.posts(spark, sf_dir)))
-    posts = posts.withColumn("label", binarize("total_trade_volume", 50.0))
+    posts = posts.withColumn("label", binarize("total_trade_volume", target))
     df = all_features(posts, fit_features(posts), passthrough=["label"])   # one projection, no self-join
     cols = [c for c in df.columns if c not in ("post_id", "label")]
     # persisted: the spec, every fold fit and the scoring read it (the regex
@@ -203,8 +210,13 @@ def score_batch(spark, sf_dir):
 @register("score_one", ids=("SCR-2", "SRC-3"))
 def score_one(spark, sf_dir):
     b = _bundle(spark, sf_dir)
-    images = IO.image_table_from_pages(FX.table(spark, sf_dir, "pages"), max_bytes=IMAGE_MAX_BYTES)
-    return score_posts(_posts_full(spark, sf_dir), b, images)
+    images = FX.images(spark, sf_dir)
+    posts = _posts_full(spark, sf_dir)
+    # the single-record entry point must agree with the batch on its record
+    first = posts.orderBy("post_id").first()
+    suitable, p = score_record(spark, b, first.asDict(), images, schema=posts.schema)
+    return score_posts(posts, b, images).withColumn("single_agrees", F.when(
+        F.col("post_id") == first["post_id"], (F.col("suitable") == suitable) & (F.abs(F.col("probability") - p) < 1e-12)))
 
 
 @register("score_stream", ids=("STM-1",))
@@ -242,28 +254,6 @@ def embed_text(spark, sf_dir):
     return emb.select("doc_id", F.size("embedding").alias("dims"), F.round(vec_norm("embedding"), 9).alias("norm"))
 
 
-def make_char_hash_model(dim: int = 64):
-    """A user model for ``predict_batch_udf``: loaded once per executor
-    process, called on Arrow batches of texts.  Stands in for a transformer
-    encoder: hashed character trigram counts, L2-normalised."""
-    import zlib
-
-    import numpy as np
-
-    def predict(texts: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            s = str(t)
-            for j in range(len(s) - 2):
-                out[i, zlib.crc32(s[j:j + 3].encode()) % dim] += 1.0   # stable across processes
-            n = np.linalg.norm(out[i])
-            if n > 0:
-                out[i] /= n
-        return out
-
-    return predict
-
-
 @register("embed_text_udf", ids=("UDF-2", "ML-4"))
 def embed_text_udf(spark, sf_dir):
     docs = FX.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -272,27 +262,10 @@ def embed_text_udf(spark, sf_dir):
     return emb.select("doc_id", F.size("embedding").alias("dims"), F.round(vec_norm("embedding"), 6).alias("norm"))
 
 
-def make_byte_histogram_model(dim: int = 60):
-    """A user image model for ``predict_batch_udf``: L2-normalised histogram of
-    the byte values folded into ``dim`` buckets (stands in for an image encoder)."""
-    import numpy as np
-
-    def predict(blobs: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(blobs), dim), dtype=np.float32)
-        for i, b in enumerate(blobs):
-            arr = np.frombuffer(bytes(b), dtype=np.uint8)
-            if arr.size:
-                out[i] = np.bincount(arr % dim, minlength=dim)[:dim]
-                out[i] /= np.linalg.norm(out[i])
-        return out
-
-    return predict
-
-
 @register("image_vectors", ids=("ML-5", "SRC-4", "JN-3"))
 def image_vectors(spark, sf_dir):
     posts = FX.posts(spark, sf_dir)
-    images = IO.image_table_from_pages(FX.table(spark, sf_dir, "pages"), max_bytes=IMAGE_MAX_BYTES)
+    images = FX.images(spark, sf_dir)
     v = E.image_vectors(posts, images, make_byte_histogram_model, E.IMAGE_PCA_COMPONENTS)
     from ..functions.vectors import vec_norm
     return v.select("post_id", "image_available", F.size("image_embedding").alias("dims"),
@@ -304,7 +277,7 @@ def all_features_with_vectors(spark, sf_dir):
     """The full catalogue: row-local families joined with the model-based ones."""
     from .vector_features import VECTOR_COLUMNS, fit_vector_state, with_vector_features
     posts = _posts_full(spark, sf_dir)
-    images = IO.image_table_from_pages(FX.table(spark, sf_dir, "pages"), max_bytes=IMAGE_MAX_BYTES)
+    images = FX.images(spark, sf_dir)
     state = fit_vector_state(posts, images, make_byte_histogram_model, dim=128)
     with_vec = with_vector_features(posts, state, images, make_byte_histogram_model)
     return all_features(with_vec, fit_features(posts), passthrough=VECTOR_COLUMNS)
@@ -318,6 +291,19 @@ def pca_text(spark, sf_dir):
     return out.select("vec_id", F.size("pc").alias("dims"), F.round(F.col("pc")[0], 6).alias("pc1"))
 
 
+@register("pca_fallback", """
+SELECT vec_id, 45 AS dims, round(cast(embedding[1] AS double), 9) AS pc1, round(list_sum(embedding[1:45]::double[]), 6) AS total
+FROM embeddings""", ids=("ML-3", "PRJ-4"))
+def pca_fallback(spark, sf_dir):
+    """One vector alone cannot be rotated: its first components are taken as they are."""
+    from ..functions.vectors import vec_sum
+    emb = FX.table(spark, sf_dir, "embeddings")
+    alone = emb.orderBy("vec_id").limit(1)
+    state = E.fit_pca(alone, "embedding", E.TEXT_PCA_COMPONENTS)
+    out = E.apply_pca(emb, state, "embedding", "pc")
+    return out.select("vec_id", F.size("pc").alias("dims"), F.round(F.col("pc")[0], 9).alias("pc1"), F.round(vec_sum("pc"), 6).alias("total"))
+
+
 @register("multilabel_scores", ids=("ML-6", "EMO-1", "EMO-2"))
 def multilabel_scores(spark, sf_dir):
     docs = FX.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -347,16 +333,17 @@ def subset_search_query(spark, sf_dir):
 @register("joint_search", ids=("ML-11",))
 def joint_search_query(spark, sf_dir):
     df, cols = _train_frame(spark, sf_dir)
-    spec, groups, imp = _groups_and_importance(spark, df, cols)
-    return joint_search(spark, df.drop("fold"), spec, groups, imp, "label", "post_id", outer=2, inner=2,
+    groups = I.group_dict(I.feature_groups(spark, cols))
+    return joint_search(spark, df.drop("fold"), _spec(df, cols), groups, "label", "post_id", outer=2, inner=2,
                         trials=2, rounds=10).trials
 
 
 @register("balance_method_choice", ids=("ML-12", "ML-13", "AGG-23", "AGG-24"))
 def balance_method_choice(spark, sf_dir):
-    df, cols = _train_frame(spark, sf_dir)
+    # a label outside the skip band, so that every method acts
+    df, cols = _train_frame(spark, sf_dir, SKEWED_TARGET)
     _, table = choose_balance(spark, df, _spec(df, cols), "post_id",
-                              ("class_weight", "undersample"), params=QUERY_PARAMS)
+                              ("none", "class_weight", "oversample", "undersample"), params=QUERY_PARAMS)
     return table
 
 
@@ -367,7 +354,7 @@ def learning_curve_query(spark, sf_dir):
                           params=QUERY_PARAMS)
 
 
-@register("attribution_rank", ids=("EXP-1", "AGG-26", "SMP-1"))
+@register("attribution_rank", ids=("EXP-1", "AGG-26"))
 def attribution_rank(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
@@ -375,8 +362,7 @@ def attribution_rank(spark, sf_dir):
     filled = df.fillna(0.0, subset=cols)
     va = VectorAssembler(inputCols=cols, outputCol="_v").transform(filled)
     lr = LogisticRegression(featuresCol="_v", labelCol="label", maxIter=50, regParam=0.01).fit(va)
-    sample = SP.seeded_sample(filled, 100, "post_id", 42)
-    phi = XP.linear_attribution(sample, lr, cols, "post_id")
+    phi = XP.linear_attribution(filled, lr, cols, "post_id")
     return I.attribution_rank(phi, 20)
 
 

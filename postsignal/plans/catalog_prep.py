@@ -185,12 +185,12 @@ f AS (SELECT a, b, abs(corr) AS v FROM c UNION ALL SELECT b, a, abs(corr) FROM c
       UNION ALL SELECT DISTINCT a, a, cast(1 AS double) FROM (SELECT a FROM c WHERE corr IS NOT NULL
                                                               UNION SELECT b FROM c WHERE corr IS NOT NULL) t),
 m AS (SELECT a, avg(v) AS mv FROM f GROUP BY a HAVING avg(v) IS NOT NULL),
-top AS (SELECT a FROM m ORDER BY mv DESC, {_ORDER_SQL.format(x='a')} LIMIT 20)
+top AS (SELECT a FROM m ORDER BY mv DESC, {_ORDER_SQL.format(x='a')} LIMIT 4)
 SELECT a, b, round(v, 9) AS abs_corr FROM f WHERE a IN (SELECT a FROM top) AND b IN (SELECT a FROM top)""",
           ids=("AGG-6",))
 def top_corr_matrix(spark, sf_dir):
     num = FX.numeric(spark, sf_dir)
-    out = C.top_corr_matrix(C.pairwise_corr(num, NUM), NUM, 20)
+    out = C.top_corr_matrix(C.pairwise_corr(num, NUM), NUM, 4)
     return out.select("a", "b", F.round("abs_corr", R9).alias("abs_corr"))
 
 
@@ -334,3 +334,51 @@ def undersample(spark, sf_dir):
     lab = FX.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     u = B.undersample(lab, "label", "doc_id", 42)
     return u.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- counts that SQL can state although the rows are chosen by hash ---------------------------
+LABELS_SQL = "SELECT doc_id, toxic AS label FROM labels"
+
+
+def _labels(spark, sf_dir):
+    return FX.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+
+
+@register("stratified_split_counts", f"""
+WITH l AS ({LABELS_SQL}), c AS (SELECT label, count(*) AS n FROM l GROUP BY label),
+t AS (SELECT sum(n) AS total, ceil(0.2 * sum(n)) AS draws FROM c),
+a AS (SELECT label, n, floor(n * draws / total) AS base, n * draws / total - floor(n * draws / total) AS frac, draws FROM c, t),
+q AS (SELECT label, n, base + cast(row_number() OVER (ORDER BY frac DESC, label) <= draws - sum(base) OVER () AS int) AS quota FROM a)
+SELECT label, true AS is_test, cast(quota AS bigint) AS n FROM q
+UNION ALL SELECT label, false, cast(n - quota AS bigint) FROM q""", ids=("WIN-5",))
+def stratified_split_counts(spark, sf_dir):
+    return SP.stratified_split(_labels(spark, sf_dir), "label", "doc_id", 0.2, 42).groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("split_after_oversample", """
+SELECT toxic AS label, max(count(*)) OVER () AS n, 0::bigint AS torn FROM labels GROUP BY toxic""", ids=("WIN-5", "WIN-6", "BAL-1"))
+def split_after_oversample(spark, sf_dir):
+    """Over-sampled rows split and folded: as many rows as before, all copies of a document on one side and in one fold."""
+    o = B.oversample(_labels(spark, sf_dir), "label", "doc_id", 42)
+    s = SP.stratified_folds(SP.stratified_split(o, "label", "doc_id", 0.2, 42), "label", "doc_id", 5, 42)
+    per = s.groupBy("label", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("is_test").alias("a"), F.countDistinct("fold").alias("b"))
+    return per.groupBy("label").agg(F.sum("n").alias("n"), F.sum(((F.col("a") > 1) | (F.col("b") > 1)).cast("long")).alias("torn"))
+
+
+@register("sampling_ratio", """
+WITH c AS (SELECT toxic AS label, count(*) AS n FROM labels GROUP BY toxic),
+m AS (SELECT max(n) AS most, min(n) AS least FROM c)
+SELECT 'over' AS kind, label, cast(greatest(n, floor(most * 0.5)) AS bigint) AS n FROM c, m
+UNION ALL SELECT 'under', label, cast(CASE WHEN n <= least THEN n ELSE least(n, floor(least / 0.5)) END AS bigint) FROM c, m""",
+          ids=("BAL-1", "BAL-2", "ML-13"))
+def sampling_ratio(spark, sf_dir):
+    rows = _labels(spark, sf_dir)
+    over, under = B.oversample(rows, "label", "doc_id", 42, ratio=0.5).drop("copy"), B.undersample(rows, "label", "doc_id", 42, ratio=0.5)
+    both = over.withColumn("kind", F.lit("over")).unionByName(under.withColumn("kind", F.lit("under")))
+    return both.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("seeded_sample_count", "SELECT least(count(*), 100) AS n, least(count(*), 100) AS keys FROM events", ids=("SMP-1",))
+def seeded_sample_count(spark, sf_dir):
+    s = SP.seeded_sample(FX.table(spark, sf_dir, "events"), 100, "event_id", 42)
+    return s.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("keys"))

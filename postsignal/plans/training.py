@@ -56,8 +56,9 @@ class TrainConfig:
 @dataclass
 class TrainOutput:
     bundle: Bundle
-    metrics: DataFrame       # run_id, stage, metric, value
+    metrics: DataFrame       # run log: run_id, stage, metric, value
     fold_metrics: DataFrame
+    tables: dict[str, DataFrame] = field(default_factory=dict)   # class_distribution, stability, importance, lift, roc_curve, pr_curve
 
 
 def _evaluate(scored: DataFrame, label: str, raw: str, decide_on: str, t: float) -> DataFrame:
@@ -73,25 +74,27 @@ def train_run(spark: SparkSession, posts: DataFrame, config: TrainConfig | None
               target: str = "total_trade_volume", images: DataFrame | None = None,
               make_image_model=None) -> TrainOutput:
     cfg = config or TrainConfig()
-    state = fit_features(posts)
-    if invalid is None and images is not None:
+    if images is not None:
         # JN-2: posts whose image URL is not in the image table are dropped
-        from ..operators.assemble import image_availability
-        invalid = image_availability(posts, images, key=key).where("image_available = 0").select(key)
+        from ..operators.assemble import with_valid_images
+        posts = with_valid_images(posts, images, key=key)
     if invalid is not None:
         posts = posts.join(invalid.select(key), key, "left_anti")   # before the costly families
     posts = posts.withColumn("label", binarize(target, cfg.threshold))
-    passthrough = ["label"]
+    # the split comes first: everything fitted (categories, encoder, PCA, fill
+    # list, scaler, pruning) sees the training part only
+    posts = SP.stratified_split(posts, "label", key, cfg.test_size, cfg.seed)
+    fit_posts = posts if cfg.fit_on == "all" else posts.where(~F.col("is_test"))
+    state = fit_features(fit_posts)
+    passthrough = ["label", "is_test"]
     vstate = None
     if cfg.vectors:
         from .vector_features import VECTOR_COLUMNS, fit_vector_state, with_vector_features
-        vstate = fit_vector_state(posts, images, make_image_model, cfg.vector_dim, key)
+        vstate = fit_vector_state(fit_posts, images, make_image_model, cfg.vector_dim, key)
         posts = with_vector_features(posts, vstate, images, make_image_model, key)
         passthrough += VECTOR_COLUMNS
-    labelled = all_features(posts, state, key, passthrough=passthrough)
-    cols = [c for c in labelled.columns if c not in (key, "label")]
-
-    split = SP.stratified_split(labelled, "label", key, cfg.test_size, cfg.seed).persist()
+    split = all_features(posts, state, key, passthrough=passthrough).persist()
+    cols = [c for c in split.columns if c not in (key, "label", "is_test")]
     train_raw, test_raw = SP.complement(split)
     fit_src = split if cfg.fit_on == "all" else train_raw
     fill = P.all_null_columns(fit_src, cols)
@@ -108,52 +111,73 @@ def train_run(spark: SparkSession, posts: DataFrame, config: TrainConfig | None
     train = SP.stratified_folds(train, "label", key, cfg.n_splits, cfg.seed).persist()
     spec = fit_spec(train, kept)
     method, _ = choose_balance(spark, train, spec, key, cfg.balance_methods, "label", "fold", cfg.params, cfg.seed)
-    balanced = B.balance(train, "label", key, method, cfg.seed)
-    weight = "weight" if "weight" in balanced.columns else None
+    # weights sit on all training rows; resampling happens inside training folds only
+    weighted = B.balance(train, "label", key, method, cfg.seed) if method == "class_weight" else train
+    weight = "weight" if "weight" in weighted.columns else None
+    resample = None if method == "class_weight" else lambda part: B.balance(part, "label", key, method, cfg.seed)
 
     params, selected = dict(cfg.params), kept
-    if cfg.joint_trials or cfg.subset_trials:
-        base = train_folds(balanced, spec, params, "label", "fold", cfg.optimization_metric, weight=weight)
+    if cfg.joint_trials:
+        js = joint_search(spark, weighted.drop("fold"), spec, groups, "label", key,
+                          trials=cfg.joint_trials, metric=cfg.optimization_metric, seed=cfg.seed, weight=weight)
+        params, selected = {**params, **js.best_params}, js.best_features
+    if cfg.subset_trials:
+        base = train_folds(weighted, spec, params, "label", "fold", cfg.optimization_metric, weight=weight)
         imp = {r["feature"]: r["importance"] for r in base.mean_importance.collect()}
-        if cfg.joint_trials:
-            js = joint_search(spark, balanced.drop("fold"), spec, groups, imp, "label", key,
-                              trials=cfg.joint_trials, metric=cfg.optimization_metric, seed=cfg.seed)
-            params, selected = {**params, **js.best_params}, js.best_features
-        if cfg.subset_trials:
-            ss = subset_search(spark, balanced, spec, groups, imp, params, "label", "fold",
-                               cfg.subset_trials, cfg.seed, weight)
-            selected = ss.best_features
-    spec = fit_spec(balanced, selected)
-
-    folds = train_folds(balanced, spec, params, "label", "fold", cfg.optimization_metric, weight=weight)
-    final = fit_model(balanced, spec, params, "label", weight)
+        ss = subset_search(spark, weighted, spec, groups, imp, params, "label", "fold",
+                           cfg.subset_trials, cfg.seed, weight)
+        selected = ss.best_features
+    spec = fit_spec(weighted, selected)
+
+    folds = train_folds(weighted, spec, params, "label", "fold", cfg.optimization_metric, weight=weight,
+                        resample=resample, key=key)
+    final = fit_model(weighted if resample is None else resample(train), spec, params, "label", weight)
     scored1 = probability(final, test, spec).persist()
     stage1 = _evaluate(scored1, "label", "p", "p", 0.5)
 
-    # calibration on 70 % of the training part; threshold chosen on the other 30 %
-    cal_split = SP.stratified_split(balanced.drop("fold"), "label", key, cfg.calibration_holdout,
+    # calibration on 70 % of the training part; its gain is measured and the
+    # threshold chosen on the other 30 %
+    cal_split = SP.stratified_split(weighted.drop("fold", "is_test"), "label", key, cfg.calibration_holdout,
                                     cfg.seed, out="_hold")
     calib = SP.stratified_folds(cal_split.where(~F.col("_hold")), "label", key, 5, cfg.seed)
     cal = fit_calibrator(calib, spec, params, "label", "fold", "sigmoid", weight)
     scored2 = calibrated_probability(scored1, cal, spec, "pc").persist()
     stage2 = _evaluate(scored2, "label", "p", "pc", 0.5)
-    gain = M.calibration_gain(scored2, "label", "p", "pc")
-
-    hold = calibrated_probability(cal_split.where(F.col("_hold")), cal, spec, "pc")
+    hold = calibrated_probability(probability(final, cal_split.where(F.col("_hold")), spec), cal, spec, "pc").persist()
+    gain = M.calibration_gain(hold, "label", "p", "pc")
     best = M.best_threshold(M.threshold_sweep(hold, "label", "pc"), cfg.threshold_metric).first()
     t_best = float(best["threshold"]) if best else 0.5
     stage3 = _evaluate(scored2, "label", "p", "pc", t_best)
-
+    classes = M.class_distribution(train)
+    stability = M.fold_stability(folds.metrics)
+    importance = importance_table(final, spec)
+
+    def rows_of(table: DataFrame, name: str, values: list[str], stage: str) -> list[tuple]:
+        """A short table (one row per class, metric or run) as log rows."""
+        return [(stage, f"{r[name]}_{v}" if name else v, None if r[v] is None else float(r[v]))
+                for r in table.collect() for v in values]
+    facts = (rows_of(M.target_profile(split, "label", 0.5), "", ["n", "positive_ratio"], "dataset")
+             + rows_of(classes, "class", ["count", "proportion"], "classes")
+             + rows_of(stability, "metric", ["mean", "std", "cv"], "stability")
+             + [("threshold", "chosen", t_best), ("features", "kept", float(len(kept))), ("features", "selected", float(len(selected)))]
+             + [("parameters", k, float(v)) for k, v in sorted(params.items()) if isinstance(v, (int, float))])
     run = cfg.run_id
     log = (metrics_rows(stage1, run, "stage1").unionByName(metrics_rows(stage2, run, "stage2"))
            .unionByName(metrics_rows(gain, run, "calibration"))
-           .unionByName(metrics_rows(stage3, run, "final")))
+           .unionByName(metrics_rows(stage3, run, "final"))
+           .unionByName(spark.createDataFrame([(run, *f) for f in facts], "run_id string, stage string, metric string, value double")))
     bundle = Bundle(model=final, spec=spec, threshold=t_best, selected=selected, groups=groups,
                     metrics={r["stage"] + "_" + r["metric"]: r["value"] for r in log.collect()},
                     scaler=scaler, fill_list=fill, categories=state.categories,
-                    importance=importance_table(final, spec), calibrator=cal,
+                    importance=importance, calibrator=cal,
                     optimization_metric=cfg.optimization_metric, threshold_metric=cfg.threshold_metric,
                     extra={"dropped": dropped, "balance_method": method, "params": params},
                     vectors=vstate)
-    split.unpersist()
-    return TrainOutput(bundle, log, folds.metrics)
+    tables = {"class_distribution": classes, "stability": stability, "importance": I.top_features(importance, 30),
+              "lift": M.lift_table(scored2.select(key, "label", "pc"), "label", "pc", key),
+              "roc_curve": M.roc_curve(scored2, "label", "p"), "pr_curve": M.pr_curve(scored2, "label", "p")}
+    tables = {k: v.checkpoint() for k, v in tables.items()}
+    log = log.checkpoint()
+    for held in (scored1, scored2, hold, train, split):
+        held.unpersist()
+    return TrainOutput(bundle, log, folds.metrics, tables)

@@ -41,8 +41,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, honouring ``spark.checkpoint.dir``.
 
-    Only when neither the context nor the conf names one (local runs) do we
-    create a fresh private folder.
+    Only when neither the context nor the conf names one, in a single-process
+    local run (driver and executors are one process), do we create a fresh
+    private folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,7 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="postsignal-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)

@@ -25,6 +25,7 @@ QUOTE_EVERY = 3          # post p quotes document p - 1 when p % 3 = 0
 MISSING_MAP_EVERY = 10   # attribute map is NULL when p % 10 = 9
 BLANK_EMO_EVERY = 25     # all emotion probabilities 0 when p % 25 = 0
 SCORE_TARGET = 50.0
+NO_IMAGE_EVERY, NO_IMAGE_AT = 16, 5   # page p has no stored image when p % 16 = 5
 # ---------------------------------------------------------------------------
 
 
@@ -56,6 +57,13 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.repartition(shuffle_partitions(spark), "post_id")
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image store: one object per page; a sixteenth of the pages has none."""
+    from .io import image_table_from_pages
+    pages = table(spark, sf_dir, "pages")
+    return image_table_from_pages(pages.where(F.col("page_id") % NO_IMAGE_EVERY != NO_IMAGE_AT))
+
+
 def attribute_value_expr(key, i: int):
     return ((key * 7 + i * 13) % 100).cast("double") / F.lit(100.0)
 
@@ -134,6 +142,8 @@ FROM documents d
 JOIN events e ON e.event_id = d.doc_id
 LEFT JOIN documents q ON q.doc_id = d.doc_id - 1
 LEFT JOIN pages p ON p.page_id = d.doc_id""",
+    "image_keys": """
+SELECT DISTINCT md5(url) AS k FROM pages WHERE page_id % 16 <> 5 AND octet_length(encode(html)) > 0""",
     "attrs": f"SELECT post_id, {_ATTR_SQL} FROM posts",
     "emo": f"SELECT post_id, {_EMO_SQL} FROM posts",
     "scored": """

@@ -204,3 +204,25 @@ def test_lift_bin_by_key_literal_form(spark):
         members = [i for i in range(n) if bin_of[i] == k]
         assert lt[k]["n"] == len(members)
         assert lt[k]["predicted_proba"] == pytest.approx(sum(ps[i] for i in members) / len(members))
+
+
+def test_one_class_zero_means_and_null_scores(spark):
+    for label in (0, 1):
+        df = spark.createDataFrame([(i, label, 0.1 * i) for i in range(5)], "event_id long, label int, score double")
+        e = M.evaluate(df).first()
+        assert e["roc_auc"] is None and e["tp"] + e["fp"] + e["fn"] + e["tn"] == 5
+        assert (e["pr_auc"] is None) == (label == 0)
+        assert all(r["fpr"] is None for r in M.roc_curve(df).where("threshold < 1").collect()) == (label == 1)
+        lift = M.lift_table(df).collect()
+        assert all((r["lift"] is None) == (label == 0) for r in lift)
+        assert M.pr_curve(df).count() == 6
+    folds = spark.createDataFrame([(0, 1, 0.9), (0, 0, 0.2), (1, 1, 0.7), (1, 1, 0.4), (None, 0, 0.3), (None, 1, 0.6)], "fold int, label int, score double")
+    fm = {r["fold"]: r for r in M.fold_metrics(folds).collect()}
+    assert fm[0]["roc_auc"] == 1.0 and fm[1]["roc_auc"] is None
+    zero = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 0.0, 0.0, 0.0)], "fold int, f1 double, precision double, recall double")
+    assert all(r["mean"] == 0 and r["cv"] is None for r in M.fold_stability(zero).collect())
+    perfect = spark.createDataFrame([(1, 1.0, 0.9), (0, 0.0, 0.1)], "label int, score double, calibrated double")
+    assert M.calibration_gain(perfect).first()["brier_improvement_pct"] is None
+    nulls = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, None), (None, 0.5)], "label int, score double")
+    e = M.evaluate(nulls).first()
+    assert e["tp"] + e["fp"] + e["fn"] + e["tn"] == 2 and e["roc_auc"] == 1.0

@@ -100,10 +100,10 @@ def test_pca_centred_and_fallbacks(spark, sf_small):
 
 
 def test_full_catalogue_has_181_features(spark, sf_small):
-    from postsignal.plans.catalog_ml import make_byte_histogram_model
+    from postsignal.functions.models import make_byte_histogram_model
     from postsignal.plans.vector_features import fit_vector_state, vector_features
     posts = FX.with_emotions(FX.with_attributes(FX.posts(spark, sf_small)))
-    images = IO.image_table_from_pages(FX.table(spark, sf_small, "pages"), max_bytes=8192)
+    images = FX.images(spark, sf_small)
     st = fit_vector_state(posts, images, make_byte_histogram_model, dim=64)
     vec = vector_features(posts, st, images, make_byte_histogram_model)
     full = all_features(posts, fit_features(posts)).join(vec, "post_id", "left")
@@ -116,10 +116,10 @@ def test_full_catalogue_has_181_features(spark, sf_small):
 
 
 def test_vector_bundle_round_trip_stream(spark, sf_small):
-    from postsignal.plans.catalog_ml import make_byte_histogram_model
+    from postsignal.functions.models import make_byte_histogram_model
     from postsignal.plans.vector_features import VECTOR_COLUMNS, fit_vector_state, with_vector_features
     posts = FX.with_emotions(FX.with_attributes(FX.posts(spark, sf_small)))
-    images = IO.image_table_from_pages(FX.table(spark, sf_small, "pages"), max_bytes=8192)
+    images = FX.images(spark, sf_small)
     vst = fit_vector_state(posts, images, make_byte_histogram_model, dim=32)
     st = fit_features(posts)
     lab = posts.withColumn("label", (F.col("total_trade_volume") >= 50).cast("int"))

@@ -86,6 +86,43 @@ def test_undersample_and_weights(spark, labelled):
     assert w[1] == pytest.approx(997 / (2 * n1))
 
 
+def test_copies_stay_together_and_rows_do_not_multiply(spark, labelled):
+    o = B.oversample(labelled, "y", "k", 42)
+    n = o.count()
+    s = SP.stratified_split(o, "y", "k", 0.2, 42)
+    f = SP.stratified_folds(o, "y", "k", 5, 42)
+    assert s.count() == n and f.count() == n and s.columns == [*o.columns, "is_test"]
+    assert s.groupBy("k").agg(F.countDistinct("is_test").alias("d")).where("d > 1").count() == 0
+    assert f.groupBy("k").agg(F.countDistinct("fold").alias("d")).where("d > 1").count() == 0
+    assert s.where("is_test").select("y", "k").distinct().count() == 200
+
+
+def test_sampling_ratio(spark, labelled):
+    n = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
+    size = lambda df: {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
+    assert size(B.oversample(labelled, "y", "k", 42, ratio=0.8)) == {0: n[0], 1: int(0.8 * n[0])}
+    assert size(B.undersample(labelled, "y", "k", 42, ratio=0.5)) == {0: int(n[1] / 0.5), 1: n[1]}
+    assert size(B.oversample(labelled, "y", "k", 42, ratio={1: 450})) == {0: n[0], 1: 450}
+
+
+def test_many_copies_are_made_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(B, "COPY_CHUNK", 7)
+    df = spark.createDataFrame([(i, int(i == 0)) for i in range(40)], "k long, y int")
+    o = B.oversample(df, "y", "k", 42)
+    assert sorted(r["copy"] for r in o.where("y = 1").collect()) == list(range(39))
+
+
+def test_hash_buckets_do_not_change_the_ranks(spark, labelled, monkeypatch):
+    one = {r["k"]: r["r"] for r in SP.class_rank(labelled, "y", "k", 42, out="r").collect()}
+    monkeypatch.setattr(SP, "BUCKET_ROWS", 20)
+    many = {r["k"]: r["r"] for r in SP.class_rank(labelled, "y", "k", 42, out="r").collect()}
+    for c in (0, 1):
+        keys = [r["k"] for r in labelled.where(F.col("y") == c).collect()]
+        assert sorted(many[k] for k in keys) == sorted(one[k] for k in keys) == list(range(len(keys)))
+    nulls = spark.createDataFrame([(1, None), (2, None), (3, 0)], "k long, y int")
+    assert sorted((r["y"] is None, r["r"]) for r in SP.class_rank(nulls, "y", "k", 42, out="r").collect()) == [(False, 0), (True, 0), (True, 1)]
+
+
 def test_balance_skip_band_and_unknown(spark):
     df = spark.createDataFrame([(i, i % 2) for i in range(10)], "k long, y int")
     assert B.balance(df, "y", "k", "oversample") is df       # ratio 1 is inside [0.5, 2]
