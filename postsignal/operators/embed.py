@@ -21,7 +21,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,12 +131,15 @@ def fit_multilabel(df: DataFrame, vec: str, labels: list[str]) -> dict:
     return models
 
 
+def sigmoid_score(vec: str, weights: list[float], intercept: float) -> Column:
+    """sigmoid(w . x + b) of a vector column."""
+    w = F.array(*[F.lit(float(x)) for x in weights])
+    dot = F.aggregate(F.zip_with(F.col(vec).cast("array<double>"), w, lambda a, b: a * b),
+                      F.lit(0.0), lambda acc, x: acc + x)
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(dot + F.lit(float(intercept)))))
+
+
 def multilabel_scores(df: DataFrame, vec: str, models: dict, prefix: str = "prob_") -> DataFrame:
-    """Independent sigmoid per label: sigmoid(w . x + b)."""
-    out = df
-    for lab, m in models.items():
-        w = F.array(*[F.lit(float(x)) for x in m.coefficients.toArray()])
-        dot = F.aggregate(F.zip_with(F.col(vec).cast("array<double>"), w, lambda a, b: a * b),
-                          F.lit(0.0), lambda acc, x: acc + x)
-        out = out.withColumn(f"{prefix}{lab}", F.lit(1.0) / (F.lit(1.0) + F.exp(-(dot + F.lit(float(m.intercept))))))
-    return out
+    """Independent sigmoid per label."""
+    return df.select("*", *[sigmoid_score(vec, m.coefficients.toArray().tolist(), m.intercept).alias(f"{prefix}{lab}")
+                            for lab, m in models.items()])

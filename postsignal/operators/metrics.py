@@ -138,11 +138,12 @@ def calibration_curve(df: DataFrame, label="label", p="score", bins: int = 10) -
 
 
 # -- ranking metrics (AGG-10 ... AGG-12, WIN-1, WIN-2) ------------------------------
-def score_table(df: DataFrame, label="label", p="score", groups: list[str] | None = None) -> DataFrame:
+def score_table(df: DataFrame, label="label", p="score", groups: list[str] | None = None, following: bool = False) -> DataFrame:
     """Distinct scores (per group), descending, with running counts.
 
     Columns: groups, score, pos, neg, tp (= positives with score >= this),
-    fp, P, N, idx (0-based position in descending order).
+    fp, P, N, idx (0-based position in descending order); ``following`` adds
+    next_pos and next_neg, the counts of the next lower score (null after the last).
     """
     g = list(groups or [])
     if len(g) > 1:
@@ -152,7 +153,8 @@ def score_table(df: DataFrame, label="label", p="score", groups: list[str] | Non
           .agg(F.sum("y").cast("long").alias("pos"),
                (F.count(F.lit(1)) - F.sum("y")).cast("long").alias("neg"))
           .withColumn("cnt", F.lit(1).cast("long")))
-    pre = prefix_sums(st, [F.col("score").desc()], ["pos", "neg", "cnt"], g)
+    pre = prefix_sums(st, [F.col("score").desc()], ["pos", "neg", "cnt"], g, next_of=["pos", "neg"] if following else None,
+                      first_of=lambda row: F.max_by(row, "score"))
     # totals from the input (a partial aggregate on a handful of groups), not from
     # the distinct-score table, whose aggregation is the expensive shuffle
     totals = (labelled.groupBy(*[F.col(c).alias("_group") for c in g]) if g else labelled).agg(
@@ -195,14 +197,10 @@ def ranking_metrics(df: DataFrame, label="label", p="score", groups: list[str] |
 def roc_curve(df: DataFrame, label="label", p="score") -> DataFrame:
     """WIN-1: (threshold, fpr, tpr), corners only (collinear points dropped),
     starting at (inf, 0, 0)."""
-    st = score_table(df, label, p)
-    nxt = st.select((F.col("idx") - 1).alias("idx"), F.col("pos").alias("n_pos"), F.col("neg").alias("n_neg"))
-    m = st.agg(F.max("idx")).first()[0]
-    m = -1 if m is None else int(m)
-    j = st.join(nxt, "idx", "left")
-    keep = ((F.col("idx") == 0) | (F.col("idx") == m) | F.lit(m < 2)
-            | (F.col("n_pos") != F.col("pos")) | (F.col("n_neg") != F.col("neg")))
-    pts = j.where(keep).select(F.col("score").alias("threshold"),
+    st = score_table(df, label, p, following=True)
+    keep = ((F.col("idx") == 0) | F.col("next_pos").isNull()
+            | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
+    pts = st.where(keep).select(F.col("score").alias("threshold"),
                                F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double")).alias("fpr"),
                                F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("tpr"))
     start = st.where(F.col("idx") == 0).select(F.lit(float("inf")).alias("threshold"),

@@ -314,6 +314,35 @@ def multilabel_scores(spark, sf_dir):
     return E.multilabel_scores(emb, "embedding", models).select("doc_id", "prob_quality", "prob_toxic")
 
 
+def _emotion_state(spark, posts):
+    """Emotion models fitted on stand-in labels: the first two letters of the emotion's name occur in the text."""
+    from ..functions.structure import EMOTION_LABELS
+    from .emotions import fit_emotions
+    t = F.lower(F.coalesce("text", F.lit("")))
+    return fit_emotions(posts.select("text", *[F.contains(t, F.lit(e[:2])).cast("int").alias(e) for e in EMOTION_LABELS]), dim=64)
+
+
+@register("emotion_scores", ids=("ML-6", "EMO-1", "EMO-2"))
+def emotion_scores(spark, sf_dir):
+    """Emotion probabilities computed from the posts' texts, with valence and intensity; every 25th text is blank."""
+    from ..functions.structure import emotion_summary_columns
+    from .emotions import with_emotion_scores
+    posts = FX.posts(spark, sf_dir).select("post_id", F.when(F.col("post_id") % 25 != 0, F.col("text")).otherwise(" ").alias("text"))
+    scored = with_emotion_scores(posts, _emotion_state(spark, posts))
+    return scored.select("post_id", *[c for c in scored.columns if c.startswith("emotion_")], *emotion_summary_columns())
+
+
+@register("emotion_blank_text", """
+SELECT post_id % 25 = 0 AS blank, count(*) AS n, sum(cast(post_id % 25 <> 0 AS bigint))::bigint AS positive,
+       sum(cast(post_id % 25 <> 0 AS bigint))::bigint AS inside FROM posts GROUP BY 1""", ids=("EMO-2", "ML-6"))
+def emotion_blank_text(spark, sf_dir):
+    """Blank text has intensity 0, any other text a positive one, at most the number of labels."""
+    s = emotion_scores(spark, sf_dir).withColumn("blank", F.col("post_id") % 25 == 0)
+    i = F.col("emotional_intensity")
+    return s.groupBy("blank").agg(F.count(F.lit(1)).alias("n"), F.sum((i > 0).cast("long")).alias("positive"),
+                                  F.sum(((i > 0) & (i <= 11)).cast("long")).alias("inside"))
+
+
 # -- search, curves, attribution ------------------------------------------------------------
 def _groups_and_importance(spark, df, cols):
     spec = _spec(df, cols)
@@ -372,7 +401,7 @@ def permutation_importance(spark, sf_dir):
     spec = _spec(df, cols)
     model = TR.fit_model(df, spec, QUERY_PARAMS)
     top = [r["feature"] for r in TR.importance_table(model, spec)
-           .orderBy(F.col("importance").desc(), "feature").limit(3).collect()]
+           .orderBy(F.col("importance").desc(), "feature").collect()]
     return XP.permutation_importance(spark, df, model, spec, "post_id", "label", top)
 
 

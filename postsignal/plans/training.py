@@ -72,8 +72,12 @@ def _evaluate(scored: DataFrame, label: str, raw: str, decide_on: str, t: float)
 def train_run(spark: SparkSession, posts: DataFrame, config: TrainConfig | None = None,
               invalid: DataFrame | None = None, key: str = "post_id",
               target: str = "total_trade_volume", images: DataFrame | None = None,
-              make_image_model=None) -> TrainOutput:
+              make_image_model=None, emotions=None) -> TrainOutput:
+    """``emotions``: a fitted ``plans.emotions.EmotionState``; its scores join the features and it goes into the bundle."""
     cfg = config or TrainConfig()
+    if emotions is not None:
+        from .emotions import with_emotion_scores
+        posts = with_emotion_scores(posts, emotions)
     if images is not None:
         # JN-2: posts whose image URL is not in the image table are dropped
         from ..operators.assemble import with_valid_images
@@ -172,7 +176,7 @@ def train_run(spark: SparkSession, posts: DataFrame, config: TrainConfig | None
                     importance=importance, calibrator=cal,
                     optimization_metric=cfg.optimization_metric, threshold_metric=cfg.threshold_metric,
                     extra={"dropped": dropped, "balance_method": method, "params": params},
-                    vectors=vstate)
+                    vectors=vstate, emotions=emotions)
     tables = {"class_distribution": classes, "stability": stability, "importance": I.top_features(importance, 30),
               "lift": M.lift_table(scored2.select(key, "label", "pc"), "label", "pc", key),
               "roc_curve": M.roc_curve(scored2, "label", "p"), "pr_curve": M.pr_curve(scored2, "label", "p")}

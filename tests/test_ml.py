@@ -147,3 +147,27 @@ def test_vector_bundle_round_trip_stream(spark, sf_small):
     q.awaitTermination()
     streamed = {r["post_id"]: r["probability"] for r in spark.read.parquet(os.path.join(root, "out")).collect()}
     assert streamed.keys() == batch.keys() and all(abs(streamed[k] - batch[k]) < 1e-9 for k in batch)
+
+
+def test_emotions_from_text_in_bundle_batch_single_and_stream(spark, sf_small, trained):
+    from postsignal.plans.catalog_ml import _emotion_state
+    from postsignal.plans.emotions import with_emotion_scores
+    _, df, spec, model, st = trained
+    posts = FX.posts(spark, sf_small)                    # no emotion columns: they come from the text
+    state = _emotion_state(spark, posts)
+    blank = spark.createDataFrame([(1, " "), (2, None), (3, "the joy of fear")], "post_id long, text string")
+    rows = {r["post_id"]: [v for k, v in r.asDict().items() if k.startswith("emotion_")] for r in with_emotion_scores(blank, state).collect()}
+    assert rows[1] == rows[2] == [0.0] * 11 and all(0 <= v <= 1 for v in rows[3]) and sum(rows[3]) > 0
+    root = tempfile.mkdtemp(prefix="ps-test-")
+    save_bundle(spark, Bundle(model=model, spec=spec, categories=st.categories, emotions=state), os.path.join(root, "b"))
+    loaded = load_bundle(spark, os.path.join(root, "b"))
+    assert loaded.emotions.weights == state.weights
+    batch = {r["post_id"]: r["probability"] for r in score_posts(posts, loaded).collect()}
+    first = posts.orderBy("post_id").first()
+    assert score_one(spark, loaded, first.asDict())[1] == pytest.approx(batch[first["post_id"]], abs=1e-12)
+    posts.write.parquet(os.path.join(root, "in"))
+    stream = spark.readStream.schema(posts.schema).parquet(os.path.join(root, "in"))
+    q = (score_stream(stream, loaded).writeStream.format("parquet").option("checkpointLocation", os.path.join(root, "c"))
+         .trigger(availableNow=True).start(os.path.join(root, "out")))
+    q.awaitTermination()
+    assert {r["post_id"]: r["probability"] for r in spark.read.parquet(os.path.join(root, "out")).collect()} == batch
