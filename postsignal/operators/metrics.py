@@ -230,16 +230,32 @@ def lift_table(df: DataFrame, label="label", p="score", key="event_id", bins: in
     """
     narrow = (df.select(_c(key).alias("_key"), _c(label).alias("y"), _c(p).alias("p"))
               .where("y IS NOT NULL AND p IS NOT NULL"))
-    n = narrow.count()                       # a pruned scan; the bins need n before ranking
-    denom = max(n - 1, 1)
-    # bin_by="key" is the reference's literal behaviour (quantiles of the row
-    # label, not of the score); the default bins by score rank
-    order = [F.col("_key").asc()] if bin_by == "key" else [F.col("p").desc(), F.col("_key").asc()]
-    ranked = global_rank(narrow, order)
-    b = F.greatest(F.floor((F.col("rank") * bins + (denom - 1)) / F.lit(denom)).cast("long") - 1, F.lit(0))
-    per = (ranked.select(b.alias("bin"), "y", "p").groupBy("bin")
-           .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("_pos"),
-                F.avg("y").alias("actual"), F.avg("p").alias("predicted_proba")))
+
+    def bin_of(rank: Column, n) -> Column:
+        denom = F.greatest(n - F.lit(1), F.lit(1))
+        return F.greatest(F.floor((rank * bins + (denom - 1)) / denom).cast("long") - 1, F.lit(0))
+
+    def sums(rows: DataFrame, count: Column, pos: Column, total: Column) -> DataFrame:
+        return rows.groupBy("bin").agg(F.sum(count).alias("n"), F.sum(pos).alias("_pos"), F.sum(total).alias("_p"))
+
+    if bin_by == "key":
+        # the reference's literal behaviour: quantiles of the row label, not of the score
+        ranked = global_rank(narrow, [F.col("_key").asc()]).withColumn("bin", bin_of(F.col("rank"), F.lit(narrow.count())))
+        parts = sums(ranked, F.lit(1), F.col("y"), F.col("p"))
+    else:
+        # a score whose rows all fall into one bin needs only its counts; rows of the
+        # at most ``bins - 1`` scores that lie across a bin edge are ranked by key
+        n = F.col("P") + F.col("N")
+        st = score_table(df, label, p).select("score", "pos", (F.col("pos") + F.col("neg")).alias("cnt"), n.alias("_n"),
+                                              (F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")).alias("_at"))
+        st = st.withColumn("bin", bin_of(F.col("_at"), F.col("_n"))).withColumn("_last", bin_of(F.col("_at") + F.col("cnt") - 1, F.col("_n")))
+        whole = sums(st.where("bin = _last"), F.col("cnt"), F.col("pos"), F.col("score") * F.col("cnt"))
+        edges = F.broadcast(st.where("bin < _last").select("score", "_at", "_n"))
+        across = global_rank(narrow.join(edges, F.col("p") == F.col("score")), [F.col("_key").asc()], groups=["score"])
+        rest = sums(across.withColumn("bin", bin_of(F.col("rank") + F.col("_at"), F.col("_n"))), F.lit(1), F.col("y"), F.col("p"))
+        parts = whole.unionByName(rest)
+    per = (parts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("_pos").cast("long").alias("_pos"), F.sum("_p").alias("_p"))
+           .select("bin", "n", "_pos", (F.col("_pos") / F.col("n")).alias("actual"), (F.col("_p") / F.col("n")).alias("predicted_proba")))
     # windows below run over the <= bins rows of ``per`` only
     everything = Window.partitionBy()
     upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
