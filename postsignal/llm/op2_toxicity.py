@@ -51,8 +51,8 @@ class ToxicParams:
     word_dim: int = 8
     word_buckets: int = 1 << 13
     hidden: int = 8
-    sample: tuple[int, int] = (6000, 3000)     # bound of the training sample: documents of label 0, of label 1
-    train_bytes: int = 12_000
+    sample: tuple[int, int] = (5000, 2500)     # bound of the training sample: documents of label 0, of label 1
+    train_bytes: int = 8_000
     rounds: tuple[str, ...] = ("random",) * 6 + ("largest",) * 3
     steps_at_least: int = 500          # small samples are passed more often
     batch: int = 64
@@ -80,6 +80,13 @@ class Text:
         self.buf = buf
 
 
+    def part(self, i: int, j: int) -> "Text":
+        """Documents ``i`` to ``j`` (views of the same arrays)."""
+        out, a, b = object.__new__(Text), self.first[i], self.first[j]
+        out.start, out.size, out.key, out.first, out.buf = self.start[a:b], self.size[a:b], self.key[a:b], self.first[i:j + 1] - a, self.buf
+        return out
+
+
 def windows(first: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, size) of the windows that cover every word; none for word-less documents."""
     n = np.diff(first)
@@ -150,17 +157,18 @@ class Network:
         return grads, loss
 
 
-def document_logits(net: Network, text: Text) -> tuple[np.ndarray, np.ndarray]:
-    """(largest window logit of each document, whether it has words)."""
-    doc, start, size = windows(text.first, net.p.window, net.p.stride)
-    has = np.diff(text.first) > 0
-    out = np.zeros(len(has), dtype=np.float32)
-    if len(doc):
-        at, tok = distinct(text.key)
-        x, _ = net.words(text, at)
-        logit = net.logits(gru.project(net.word, x), tok, start, size)
-        out[has] = np.maximum.reduceat(logit, np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]))
-    return out, has
+def document_logits(net: Network, text: Text, docs: np.ndarray | None = None) -> np.ndarray:
+    """Largest window logit of each document (of ``docs``), one document at a time in memory; 0 without words."""
+    docs = np.arange(len(text.first) - 1) if docs is None else docs
+    out = np.zeros(len(docs), dtype=np.float32)
+    for k, d in enumerate(docs.tolist()):
+        one = text.part(d, d + 1)
+        if len(one.key):
+            _, start, size = windows(one.first, net.p.window, net.p.stride)
+            at, tok = distinct(one.key, 14)
+            x, _ = net.words(one, at)
+            out[k] = net.logits(gru.project(net.word, x), tok, start, size).max()
+    return out
 
 
 def train(texts: list[str], labels: np.ndarray, p: ToxicParams = ToxicParams(), share: float | None = None) -> Network:
@@ -201,9 +209,9 @@ def train(texts: list[str], labels: np.ndarray, p: ToxicParams = ToxicParams(),
             grads, _ = net.learn(text, start[pick], size[pick], labels[some].astype(np.float32)[np.arange(len(some))])
             step += 1
             adam.step(grads, p.rate * (1 - 0.95 * step / steps))
-    logit, has = document_logits(net, text)
-    held = checked & has if (checked & has).sum() >= 50 else has
-    x, y = logit[held], labels[held]
+    has = np.diff(text.first) > 0
+    held = np.flatnonzero(checked & has) if (checked & has).sum() >= 50 else np.flatnonzero(has)
+    x, y = document_logits(net, text, held), labels[held]
     cuts = np.unique(np.concatenate([x, [x.min() - 1, x.max() + 1]]))
     cuts = (cuts[1:] + cuts[:-1]) / 2
     weight = np.where(y > 0, net.share / max(y.mean(), 1e-9), (1 - net.share) / max(1 - y.mean(), 1e-9))
