@@ -8,7 +8,7 @@ training documents is deleted from the counts and its tokens are predicted
 from the rest.  Scores then use the counts of all training documents.
 
 N-gram counts cover the whole corpus and are never sent to the driver or
-broadcast.  Documents are dealt by hash into blocks of ``block_bytes``.
+broadcast.  Documents are dealt by hash, compressed, into blocks of ``block_bytes``.
 
 1. A block sends, per order and key range, its distinct n-gram keys with their
    training and deleted counts (sorted, delta-coded, compressed).
@@ -77,20 +77,50 @@ def unpack(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+PACKED = "block long, doc_id array<long>, train array<boolean>, deleted array<boolean>, size array<int>, text binary"
+_PACKED = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("deleted", pa.list_(pa.bool_())),
+                     ("size", pa.list_(pa.int32())), ("text", pa.binary())])
+
+
+def _deal(batches):
+    """Documents (block, doc_id, train, deleted, text) as one compressed row per block and batch."""
+    import zstandard
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True]) if len(order) else np.zeros(0, dtype=np.int64)
+        rows = []
+        for a, b in zip(edges, edges[1:]):
+            part = batch.take(pa.array(order[a:b]))
+            buf, off = utf8(part.column("text"))
+            rows.append({"block": int(block[order[a]]), "doc_id": part.column("doc_id").to_pylist(), "train": part.column("train").to_pylist(),
+                         "deleted": part.column("deleted").to_pylist(), "size": np.diff(off).tolist(),
+                         "text": zstandard.ZstdCompressor(level=3).compress(buf.tobytes())})
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_PACKED)
+
+
 class Tokens:
     """The tokens of a block: keys of every order, document starts."""
 
     def __init__(self, table: pa.Table, order: int, bits: int):
-        buf, off = utf8(table["text"])
+        import zstandard
+        flat = {c: table[c].combine_chunks().flatten() for c in ("doc_id", "train", "deleted", "size")}
+        buf = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(b.as_py()) for b in table["text"]), dtype=np.uint8)
+        off = np.concatenate([[0], np.cumsum(flat["size"].to_numpy(), dtype=np.int64)])
+        self.doc_id = flat["doc_id"]
         w = Words(buf, off)
+        del buf
         end = mix(np.zeros(1, dtype=np.uint64), 71)[0]
-        h = np.insert(w.hash, w.first[1:], end)
-        self.first = w.first + np.arange(len(w.first))
+        h, first = np.insert(w.hash, w.first[1:], end), w.first
+        del w                                          # a block's arrays are large: drop each one as soon as it is used
+        self.first = first + np.arange(len(first))
         start = self.first[:-1]
         marks = mix(np.arange(2, dtype=np.uint64), 72)
         one = np.roll(h, 1)
         one[start] = marks[0]
         self.keys = [h, mix(h * np.uint64(0x9E3779B97F4A7C15) + mix(one, 73), 74)]
+        del h
         if order > 2:
             two = np.roll(one, 1)
             two[start] = marks[1]
@@ -98,9 +128,19 @@ class Tokens:
         for k in range(1, order):
             self.keys[k] = self.keys[k] >> np.uint64(64 - bits)
         self.width = [64] + [bits] * (order - 1)
-        self.train = table["train"].to_numpy()
-        self.deleted = table["deleted"].to_numpy()
-        self.doc = np.repeat(np.arange(len(start)), np.diff(self.first))
+        self.train = flat["train"].to_numpy(zero_copy_only=False)
+        self.deleted = flat["deleted"].to_numpy(zero_copy_only=False)
+        self.doc = np.repeat(np.arange(len(start), dtype=np.int32), np.diff(self.first))
+
+    def take(self, k: int) -> np.ndarray:
+        """The keys of one order, given up."""
+        key, self.keys[k] = self.keys[k], None
+        return key
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where they fit."""
+    return x.astype(np.int32 if not len(x) or x.max() < 1 << 31 else np.int64)
 
 
 def _requests(p: LmParams, bits: int, ranges: int):
@@ -110,10 +150,12 @@ def _requests(p: LmParams, bits: int, ranges: int):
         block = table["block"][0].as_py()
         rows = []
         train, deleted = t.train[t.doc], t.deleted[t.doc]
-        for k, key in enumerate(t.keys):
-            distinct, number = np.unique(key, return_inverse=True)
-            a = np.bincount(number, weights=train, minlength=len(distinct)).astype(np.uint64)
-            d = np.bincount(number, weights=deleted, minlength=len(distinct)).astype(np.uint64)
+        for k in range(p.order):
+            distinct, number = np.unique(t.take(k), return_inverse=True)
+            number = number.astype(np.int32)
+            a = np.bincount(number[train], minlength=len(distinct)).astype(np.uint64)
+            d = np.bincount(number[deleted], minlength=len(distinct)).astype(np.uint64)
+            del number
             shift = np.uint64(t.width[k] - ranges)
             edges = np.searchsorted(distinct >> shift, np.arange((1 << ranges) + 1, dtype=np.uint64))
             for r in range(1 << ranges):
@@ -196,14 +238,15 @@ def _meet(p: LmParams, bits: int):
         ordered = answers["ord"].to_numpy()
         counts, kept = [], []
         some = t.deleted.any()
-        for k, key in enumerate(t.keys):
+        for k in range(p.order):
             mine = np.flatnonzero(ordered == k + 1)
-            _, number = np.unique(key, return_inverse=True)
-            total = np.concatenate([unpack(answers["train"][int(i)].as_py()) for i in mine]).astype(np.int64)
+            number = np.unique(t.take(k), return_inverse=True)[1].astype(np.int32)
+            total = _narrow(np.concatenate([unpack(answers["train"][int(i)].as_py()) for i in mine]))
             counts.append(total[number])
             if some:
-                gone = np.concatenate([unpack(answers["deleted"][int(i)].as_py()) for i in mine]).astype(np.int64)
+                gone = _narrow(np.concatenate([unpack(answers["deleted"][int(i)].as_py()) for i in mine]))
                 kept.append((total - gone)[number])
+            del number, total
         cell, n, sums = [], [], []
         if some:
             context = contexts(kept, t.first)
@@ -217,7 +260,7 @@ def _meet(p: LmParams, bits: int):
             sums = np.stack([np.bincount(number, weights=x, minlength=len(cell)) for x in f], axis=1).tolist()
             cell, n = cell.tolist(), n.tolist()
         words = np.flatnonzero(ordered == 1)
-        row = {"doc_id": table["doc_id"].to_pylist(), "held_out": (~t.train).tolist(), "n_tokens": np.diff(t.first).tolist(),
+        row = {"doc_id": t.doc_id.to_pylist(), "held_out": (~t.train).tolist(), "n_tokens": np.diff(t.first).tolist(),
                "counts": [pack(c) for c in counts], "cell": cell, "n": n, "sums": sums}
         row |= {c: answers[c].take(pa.array(words)).to_pylist() for c in ("range", "types", "tokens", "deleted_tokens")}
         return pa.Table.from_pylist([row], schema=_BLOCK)
@@ -296,11 +339,11 @@ def score_documents(docs: DataFrame, is_train, id_col: str = "doc_id", text_col:
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     blocks = max(1, -(-size // p.block_bytes))
     tokens = max(2, size // 5)
-    bits = min(64, max(48, 2 * math.ceil(math.log2(tokens)) - 6))
+    bits = min(64, max(44, math.ceil(2 * math.log2(tokens)) - 9))
     ranges = max(0, math.ceil(math.log2(tokens / p.range_tokens)))
     dealt = rows.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text", is_train(crc).alias("train"),
-        (is_train(crc) & (F.floor(crc / 5) % p.deleted_in == 0)).alias("deleted"))
+        (is_train(crc) & (F.floor(crc / 5) % p.deleted_in == 0)).alias("deleted")).mapInArrow(_deal, PACKED)
     requests = dealt.groupBy("block").applyInArrow(_requests(p, bits, ranges), REQUEST)
     answers = requests.groupBy("ord", "range").applyInArrow(_answers, ANSWER)
     met = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_meet(p, bits), BLOCK).checkpoint()
