@@ -7,7 +7,8 @@ pooling reads windows of ``window`` words that overlap by ``window - stride``;
 a document's logit is its largest window's, so a single passage in a very long text
 counts as much as in a short one.  All windows of all documents are scored.
 
-Training runs in numpy on the driver, on a bounded sample of labelled
+Training runs in numpy on the driver, which holds the bytes of the sample's
+distinct words and four bytes per occurrence, on a bounded sample of labelled
 documents: at most ``sample`` of the two labels, in hash order, of at most
 ``train_bytes`` bytes (scoring has no such limit).  The first rounds learn from
 random windows with their document's label, the last ones only from each
@@ -51,8 +52,8 @@ class ToxicParams:
     word_dim: int = 8
     word_buckets: int = 1 << 13
     hidden: int = 8
-    sample: tuple[int, int] = (5000, 2500)     # bound of the training sample: documents of label 0, of label 1
-    train_bytes: int = 8_000
+    sample: tuple[int, int] = (6000, 3000)     # bound of the training sample: documents of label 0, of label 1
+    train_bytes: int = 12_000
     rounds: tuple[str, ...] = ("random",) * 6 + ("largest",) * 3
     steps_at_least: int = 500          # small samples are passed more often
     batch: int = 64
@@ -79,7 +80,6 @@ class Text:
             self.start, self.size, self.key, self.first = w.start, size, w.hash, w.first
         self.buf = buf
 
-
     def part(self, i: int, j: int) -> "Text":
         """Documents ``i`` to ``j`` (views of the same arrays)."""
         out, a, b = object.__new__(Text), self.first[i], self.first[j]
@@ -87,6 +87,53 @@ class Text:
         return out
 
 
+class Through:
+    """``table[row]`` as an array that is looked up where it is read."""
+
+    def __init__(self, table: np.ndarray, row: np.ndarray):
+        self.table, self.row = table, row
+
+    def __getitem__(self, at):
+        return self.table[self.row[at]]
+
+
+class Packed(Text):
+    """As ``Text`` of all documents, with the bytes of distinct word parts only: four bytes per further occurrence.
+
+    ``columns``: string columns whose documents follow one another; read in chunks.
+    """
+
+    def __init__(self, columns, word_bytes: int):
+        keys, rows = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        new_keys, sizes, bufs, every, counts = [], [], [], [], []
+        for column in columns:
+            buf, off = utf8(column)
+            for i, j in chunks(off, 1 << 20):
+                text = Text(buf[off[i]:off[j]], off[i:j + 1] - off[i], word_bytes)
+                at, tok = distinct(text.key, 18)
+                key = text.key[at]
+                found = np.searchsorted(keys, key)
+                new = np.flatnonzero(keys[np.minimum(found, len(keys) - 1)] != key) if len(keys) else np.arange(len(key))
+                if len(new):
+                    put, fresh = at[new], key[new]
+                    order = np.argsort(fresh)
+                    here = np.searchsorted(keys, fresh[order])
+                    rows = np.insert(rows, here, (len(rows) + order).astype(np.int32))
+                    keys = np.insert(keys, here, fresh[order])
+                    new_keys.append(fresh)
+                    sizes.append(text.size[put])
+                    bufs.append(text.buf[ragged(text.start[put], text.size[put])])
+                    found = np.searchsorted(keys, key)
+                every.append(rows[found][tok])
+                counts.append(np.diff(text.first))
+        row = np.concatenate([np.zeros(0, dtype=np.int32), *every])
+        size = np.concatenate([np.zeros(0, dtype=np.int64), *sizes])
+        self.buf = np.concatenate([np.zeros(0, dtype=np.uint8), *bufs])
+        self.first = np.concatenate([[0], *counts]).astype(np.int64).cumsum()
+        self.start, self.size = Through(np.cumsum(size) - size, row), Through(size, row)
+        self.key = Through(np.concatenate([np.zeros(0, dtype=np.uint64), *new_keys]), row)
+
+
 def windows(first: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, size) of the windows that cover every word; none for word-less documents."""
     n = np.diff(first)
@@ -171,8 +218,8 @@ def document_logits(net: Network, text: Text, docs: np.ndarray | None = None) ->
     return out
 
 
-def train(texts: list[str], labels: np.ndarray, p: ToxicParams = ToxicParams(), share: float | None = None) -> Network:
-    """A network fitted on whole texts with labels 0 and 1, in the given order; ``share``: of label 1 where it will be used."""
+def train(texts: list[str] | list[pa.Array], labels: np.ndarray, p: ToxicParams = ToxicParams(), share: float | None = None) -> Network:
+    """A network fitted on whole texts (or string columns of them) with labels 0 and 1, in the given order; ``share``: of label 1 where it will be used."""
     net = Network(p)
     own = float(labels.mean()) if len(labels) else 0.0
     net.share = own if share is None else share
@@ -180,8 +227,7 @@ def train(texts: list[str], labels: np.ndarray, p: ToxicParams = ToxicParams(),
         net.share = own
         return net
     rng = np.random.default_rng(p.seed + 1)
-    buf, offsets = utf8(pa.array(texts, pa.string()))
-    text = Text(buf, offsets, p.word_bytes)
+    text = Packed(texts if isinstance(texts[0], pa.Array) else [pa.array(texts, pa.string())], p.word_bytes)
     doc, start, size = windows(text.first, p.window, p.stride)
     checked = np.arange(len(labels)) % 10 == 9
     of_doc = np.searchsorted(doc, np.arange(len(labels) + 1))
@@ -305,8 +351,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn, id_col: str = "doc_id", t
         return train([], np.zeros(0), p)
     share = float(known.agg(F.avg("label")).first()[0])
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in picked], "id long"))
-    sample = small.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id").collect()
-    return train([r["text"] for r in sample], np.array([picked[r["id"]] for r in sample]), p, share)
+    sample = small.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id").toArrow()
+    return train(sample.column("text").chunks, np.array([picked[i] for i in sample.column("id").to_pylist()]), p, share)
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 
 from postsignal.llm import gru
-from postsignal.llm.op2_toxicity import Network, Text, ToxicParams, document_logits, drop_toxic, fit, score_documents, train, windows
+from postsignal.llm.op2_toxicity import Network, Packed, Text, ToxicParams, document_logits, drop_toxic, fit, score_documents, train, windows
 from postsignal.llm.textkit import utf8
 
 SMALL = ToxicParams(window=12, stride=8, steps_at_least=120, rounds=("random",) * 3 + ("largest",), hidden=6, char_hidden=6, batch=32)
@@ -84,3 +86,31 @@ def test_job_cases(spark):
     assert {r["score"] for r in score_documents(docs, none).collect()} == {0.0}
     assert score_documents(docs.limit(0), net).count() == 0
     assert np.isfinite(gru.sigmoid(np.array([-1e9, 1e9]))).all()
+
+
+def test_packed_words_read_as_the_whole_text():
+    texts = [*_corpus(400, 6)[0], "", " \t", "Grax gRAX " + "é" * 40, "z" * 100, "grax"] * 3
+    whole, column = Text(*utf8(pa.array(texts)), 24), pa.array(texts)
+    packed = Packed([column.slice(0, 700), column.slice(700, 0), column.slice(700)], 24)
+    assert (packed.first == whole.first).all()
+    every = np.arange(len(whole.key))
+    assert (packed.key[every] == whole.key).all() and (packed.size[every] == whole.size).all()
+    assert len(packed.buf) < len(whole.buf) / 3
+
+    def read(text, k):
+        return bytes(text.buf[text.start[k]:text.start[k] + text.size[k]]).decode(errors="replace").lower()
+    assert all(read(packed, k) == read(whole, k) for k in every.tolist())
+    a, b = _corpus(200, 7)
+    split = train([pa.array(a[:90]), pa.array(a[90:])], b, SMALL)
+    assert split.offset == train(a, b, SMALL).offset
+
+
+def test_documents_of_up_to_12000_bytes_teach(spark):
+    texts = ["ba no ti re " * 900, "ba no grax re " * 800] * 10
+    assert all(8_000 < len(t) <= 12_000 for t in texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
+    p = replace(ToxicParams(), rounds=("random", "largest"), steps_at_least=8, batch=8)
+    net = fit(docs, marked, lambda i: i >= 0, params=p)
+    assert net.share == 0.5 and net.p.sample == (6000, 3000)
+    assert (net.out["w"] != Network(p).out["w"]).any()
