@@ -12,10 +12,15 @@ probe texts for that turn differ; the loss mask covers exactly the text spans
 of the assistant's turns.
 
 Rows of a conversation are brought together and sorted by one shuffle and then
-read as a stream: a worker keeps one conversation's last ``window`` turns only,
-so a conversation of any length takes bounded memory.  Beyond ``window`` turns,
-prefixes are rendered from the first turn and the last ``window - 1`` (exact for
-templates whose added part depends on no other turns).
+read as a stream.  A worker keeps the turns and segments of one conversation and
+renders every prefix from its first turn on, whatever its length; the work grows
+with the square of a conversation's turns.
+
+A template may declare with the attribute ``stateless = True`` that what a turn
+adds depends on that turn alone (besides what the first one opens).  Only then
+are prefixes beyond ``window`` turns rendered from the first turn and the last
+``window - 1``, and only these are kept, so that a conversation of any length
+takes bounded memory; a declared template found rewriting history is an error.
 
 Defined cases: a null text or role is empty; turns are ordered by number (null
 last), ties by role, then text; repeated rows are turns of their own; a null
@@ -28,6 +33,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,6 +76,9 @@ def instruction_template(turns: list[Turn]) -> str:
     return BOS + "".join(f"{OPEN} {escape(role)} {CLOSE} {escape(text)}{EOS}" for role, text in turns)
 
 
+instruction_template.stateless = True
+
+
 def parse_instruction(text: str) -> list[Turn]:
     """The turns of an output of ``instruction_template`` (control strings outside escapes only)."""
     if not text.startswith(BOS):
@@ -148,28 +157,31 @@ def _turn_rows(batches) -> Iterator[tuple[int | None, str, str]]:
         yield from zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist())
 
 
-def _rendered(template: Template, window: int):
+def _rendered(template: Template, window: int | None):
+    """``window``: most turns to render at once, for a stateless template; None keeps them all."""
     def conversation(conv, turns: Iterator[Turn]):
         kept: list[Turn] = []
-        last, start, rewritten, count = None, 0, False, 0
+        last, start, rewritten = None, 0, False
         rows = []
-        for turn in turns:
-            if len(kept) >= window:                       # render on from the first and the latest turns
+        for count, turn in enumerate(turns):
+            if window is not None and len(kept) >= window:    # render on from the first and the latest turns
                 kept = [kept[0], *kept[2:]]
                 last = template(kept)
             s, last = next_segment(template, kept, last, turn)
             kept.append(turn)
+            if s.rewrites and window is not None:
+                raise ValueError(f"the template declares itself stateless and rewrites history at turn {count}")
             rewritten |= s.rewrites
             rows.append((conv, count, turn[0], s.text, start, start + s.begin, start + s.end, turn[0] == LOSS_ROLE, s.rewrites))
             start += len(s.text)
-            count += 1
-            if count > window and not rewritten:
+            if window is not None:
                 yield from rows
                 rows = []
-        if rewritten and count <= window:                 # segments no longer add up: the whole output, cut before each text
+        if rewritten:                                     # segments no longer add up: the whole output, cut before each text
             output, spans = whole_spans(template, kept)
             flags = [r[8] for r in rows]
-            cuts = [0, *[max(min(a for a, _ in spans[k:]), 0) for k in range(1, len(kept))], len(output)]
+            least = list(accumulate((a for a, _ in reversed(spans)), min))[::-1]
+            cuts = [0, *[max(a, 0) for a in least[1:]], len(output)]
             rows = [(conv, k, kept[k][0], output[cuts[k]:cuts[k + 1]], cuts[k], *spans[k], kept[k][0] == LOSS_ROLE, flags[k])
                     for k in range(len(kept))]
         yield from rows
@@ -201,13 +213,15 @@ def format_conversations(conversations: DataFrame, template: Template = instruct
     """One row per turn, in order: its segment of the formatted text and its spans in it (code points).
 
     A conversation's formatted text is its segments joined; rows of one
-    conversation are adjacent and ordered inside one partition.
+    conversation are adjacent and ordered inside one partition.  ``window`` is
+    for templates that declare themselves ``stateless``; others render every
+    prefix in full.
     """
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
-    return ordered.mapInArrow(_rendered(template, window), SEGMENTS)
+    return ordered.mapInArrow(_rendered(template, window if getattr(template, "stateless", False) else None), SEGMENTS)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean"

@@ -62,3 +62,46 @@ def test_rewriting_template_in_the_job(spark):
     rows = format_conversations(df, last_only).orderBy("turn_no").collect()
     assert "".join(r["segment"] for r in rows) == "[user][assistant]a" and any(r["rewrites"] for r in rows)
     assert (rows[1]["text_start"], rows[1]["text_end"]) == (17, 18)
+
+
+def test_templates_that_depend_on_other_turns_in_long_conversations(spark):
+    turns = [("assistant" if k % 2 else "user", f"text {k}") for k in range(100)]
+    df = spark.createDataFrame([(c, k, r, t) for c in (1, 2) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+
+    def numbered(ts):
+        return "".join(f"{k} {r}: {x}\n" for k, (r, x) in enumerate(ts))
+
+    def alternating(ts):
+        if any(r != ("user", "assistant")[k % 2] for k, (r, _) in enumerate(ts)):
+            raise ValueError("roles must alternate")
+        return "".join(f"<{r}>{x}" for r, x in ts)
+
+    def recent(ts):                 # drops what assistants said before the last turn
+        return "".join(f"{r}:{x if r != 'assistant' or k == len(ts) - 1 else ''}\n" for k, (r, x) in enumerate(ts))
+
+    def late(ts):                   # first rewrites at turn 60
+        return "".join(f"{r}:{x if k or len(ts) <= 60 else ''}\n" for k, (r, x) in enumerate(ts))
+
+    for template, rewrites in ((numbered, False), (alternating, False), (recent, True), (late, True)):
+        for conv in (1, 2):
+            rows = format_conversations(df.filter(f"conv_id = {conv}"), template).orderBy("turn_no").collect()
+            whole = template(turns)
+            assert "".join(r["segment"] for r in rows) == whole and any(r["rewrites"] for r in rows) == rewrites
+            for r, (_, text) in zip(rows, turns, strict=True):
+                assert whole[r["text_start"]:r["text_end"]] in (text, "" if rewrites else text)
+            assert whole[rows[-1]["text_start"]:rows[-1]["text_end"]] == "text 99"
+
+
+def test_the_window_is_for_templates_declared_stateless(spark):
+    df = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(100)], "conv_id long, turn long, role string, text string")
+    rows = format_conversations(df, window=4).orderBy("turn_no").collect()
+    assert "".join(r["segment"] for r in rows) == instruction_template([("user", f"t{k}") for k in range(100)])
+    most = spark.sparkContext.accumulator(0)
+
+    def plain(ts):
+        most.add(len(ts))
+        return "".join(f"{x};" for _, x in ts)
+    plain.stateless = True
+    rows = sorted(format_conversations(df, plain, window=4).collect(), key=lambda r: r["turn_no"])
+    assert "".join(r["segment"] for r in rows) == "".join(f"t{k};" for k in range(100))
+    assert most.value <= 100 * (3 * 4 + 3)      # three renderings a turn of four turns at most, and one of three as the window moves
