@@ -12,12 +12,12 @@ sorted hashes, 16 hexadecimal digits each.
 ``next_rows`` pairs every row with its successor in id order without a
 single-task window: ids are cut into buckets (equal-depth segments from
 approximate percentiles, each cut evenly), at most ``SEGMENTS * SLICES`` of
-them; the first row of every bucket is also sent to the bucket before it, so a
+them and one before them for null ids; the first row of every bucket is also sent to the bucket before it, so a
 window inside the buckets finds every successor with one shuffle of the texts.
 
 Defined cases: a null text is empty and an empty text has the empty
 fingerprint; two empty fingerprints have likeness 1, an empty and another one
-0; a null id counts as the smallest; rows with equal ids follow each other in
+0; a null id counts as smaller than any other; rows with equal ids follow each other in
 text order; a single row is its own successor; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -99,7 +99,7 @@ def _search(value: Column, edges: list[int], low: int = 0) -> Column:
 def next_rows(rows: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, Window]:
     """``rows`` with ``_bucket`` and ``_extra`` and the window in which ``lead`` finds each row's successor.
 
-    ``key``: a non-null long column; ``order``: columns that order equal keys.
+    ``key``: a long column; ``order``: columns that order equal keys.
     Rows with ``_extra`` are copies of the next bucket's first rows (of the very
     first ones, for the last bucket): drop them after taking ``lead``.
     """
@@ -109,20 +109,26 @@ def next_rows(rows: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, W
     if not n:
         return (rows.withColumns({"_bucket": F.lit(0), "_extra": F.lit(0)}),
                 Window.partitionBy("_bucket").orderBy("_extra", key, *order))
-    edges = sorted(set(cuts) - {least})
-    slices = max(1, min(SLICES, -(-n // (BUCKET_ROWS * (len(edges) + 1)))))
-    starts = [least, *edges]
-    widths = [max(1, -(-(b - a) // slices)) for a, b in zip(starts, [*edges, most + 1])]
-    segment = _search(F.col(key), edges)
-    first = F.element_at(F.array(*[F.lit(x) for x in starts]), segment + 1)
-    width = F.element_at(F.array(*[F.lit(x) for x in widths]), segment + 1)
-    bucketed = rows.withColumn("_bucket", (segment * slices + F.floor((F.col(key) - first) / width)).cast("int"))
+    if least is None:                                     # null keys only
+        bucket = F.lit(-1)
+    else:
+        edges = sorted(set(cuts) - {least})
+        slices = max(1, min(SLICES, -(-n // (BUCKET_ROWS * (len(edges) + 1)))))
+        starts, ends = [least, *edges], [*edges, most + 1]
+        shift = 2 if any(b - a >= 1 << 63 for a, b in zip(starts, ends)) else 0    # else their differences leave a long
+        firsts = [a >> shift for a in starts]
+        widths = [max(1, -(-(((b - 1) >> shift) - a + 1) // slices)) for a, b in zip(firsts, ends)]
+        segment = _search(F.col(key), edges)
+        first = F.element_at(F.array(*[F.lit(x) for x in firsts]), segment + 1)
+        width = F.element_at(F.array(*[F.lit(x) for x in widths]), segment + 1)
+        value = F.shiftright(key, shift) if shift else F.col(key)
+        bucket = F.when(F.col(key).isNull(), -1).otherwise(segment * slices + F.floor((value - first) / width))
+    bucketed = rows.withColumn("_bucket", bucket.cast("int"))
     # at most SEGMENTS * SLICES rows of three numbers: this bound makes the window and the broadcast safe
     heads = bucketed.groupBy("_bucket").agg(F.min(key).alias("_head"))
     by_bucket = Window.orderBy("_bucket")
-    last = len(edges) * slices + (most - starts[-1]) // widths[-1]
-    before = heads.select("_head", F.coalesce(F.lag("_bucket").over(by_bucket), F.lit(last)).alias("_before"))
-    extra = (rows.join(F.broadcast(before), F.col(key) == F.col("_head")).drop("_head")
+    before = heads.select("_head", F.coalesce(F.lag("_bucket").over(by_bucket), F.max("_bucket").over(Window.partitionBy())).alias("_before"))
+    extra = (rows.join(F.broadcast(before), F.col(key).eqNullSafe(F.col("_head"))).drop("_head")
              .withColumnRenamed("_before", "_bucket").withColumn("_extra", F.lit(1)))
     both = bucketed.withColumn("_extra", F.lit(0)).unionByName(extra)
     return both, Window.partitionBy("_bucket").orderBy("_extra", key, *order)
@@ -131,8 +137,7 @@ def next_rows(rows: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, W
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and their likeness to it and to the next document's."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("_key", F.coalesce("id", F.lit(_LEAST)))
-    both, window = next_rows(rows, "_key", ["text"])
+    both, window = next_rows(rows, "id", ["text"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("_next", F.lit(1), half))
     return (both.withColumn("fp", fingerprint(F.col("text"), scale))

@@ -56,3 +56,21 @@ def test_small_tables_and_functions(spark):
                   op9.likeness(op9.merge(fp("a"), fp("c")), fp("d")).alias("merged"), op9.fingerprint_text(fp("a")).alias("s")).first()
     assert r["inside"] == 1.0 and abs(r["outside"] - 0.2) < 0.06 and r["merged"] > 0.98
     assert len(r["s"]) % 16 == 0 and 400 < len(r["s"]) / 16 < 600
+
+
+@pytest.mark.parametrize("ids", [
+    [*range(1999), None],                                  # the null id shares no segment with others
+    [*range(1000), None, None, -(1 << 63), -(1 << 63) + 1, (1 << 63) - 1],
+    [-(1 << 63), (1 << 63) - 1, None, 0],
+    [None, None],
+])
+def test_null_and_extreme_ids_at_the_production_bucket_size(spark, ids):
+    rows = [(i, f"{k:05d} text") for k, i in enumerate(ids)]
+    df = spark.createDataFrame([(*r, 1, 1) for r in rows], SCHEMA).repartition(4)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    expected = []
+    for k, (i, t) in enumerate(ordered):
+        half = len(t) // 2
+        expected.append((i, hashlib.sha256((t[:len(t) - half] + ordered[(k + 1) % len(ordered)][1][:half]).encode()).hexdigest()))
+    got = [(r["id"], r["edited_sha256"]) for r in op9.edited_fingerprints(df).select("id", "edited_sha256").collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
