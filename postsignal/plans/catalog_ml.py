@@ -379,8 +379,7 @@ def balance_method_choice(spark, sf_dir):
 @register("learning_curve", ids=("LC-1", "WIN-7"))
 def learning_curve_query(spark, sf_dir):
     df, cols = _train_frame(spark, sf_dir)
-    return learning_curve(spark, df, _spec(df, cols), "post_id", fractions=[0.1, 1.0],
-                          params=QUERY_PARAMS)
+    return learning_curve(spark, df, _spec(df, cols), "post_id", params=QUERY_PARAMS)
 
 
 @register("attribution_rank", ids=("EXP-1", "AGG-26"))

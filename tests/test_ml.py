@@ -171,3 +171,14 @@ def test_emotions_from_text_in_bundle_batch_single_and_stream(spark, sf_small, t
          .trigger(availableNow=True).start(os.path.join(root, "out")))
     q.awaitTermination()
     assert {r["post_id"]: r["probability"] for r in spark.read.parquet(os.path.join(root, "out")).collect()} == batch
+
+
+def test_the_registered_learning_curve_has_all_sizes(monkeypatch):
+    import postsignal.plans.catalog_ml as C
+    from postsignal.operators.split import learning_fractions
+    asked = {}
+    monkeypatch.setattr(C, "_train_frame", lambda spark, sf_dir: (None, []))
+    monkeypatch.setattr(C, "_spec", lambda df, cols: None)
+    monkeypatch.setattr(C, "learning_curve", lambda *a, **kw: asked.update(kw))
+    C.learning_curve_query(None, "")
+    assert len(asked.get("fractions") or learning_fractions()) == 15
