@@ -130,3 +130,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = fit(docs, table(spark, sf_dir, "labels"), lambda i: crc_of_id(i) % 5 != 0)
     return score_documents(docs, net).select(F.col("id").alias("doc_id"), (crc_of_id(F.col("id")) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+@register("op12_substring_dedup", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+t AS (SELECT h FROM s GROUP BY 1 HAVING count(*) > 1),
+g AS (SELECT DISTINCT r, i + k AS i FROM (SELECT r, i FROM s JOIN t USING (h)), (SELECT unnest(range(0, 35)) AS k)),
+x AS (SELECT r, list(i ORDER BY i) AS gone FROM g GROUP BY 1),
+k AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS kept
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) AS words
+  WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.r = words.r AND g.i = words.i)
+  GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(len(x.gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN x USING (r) LEFT JOIN k USING (r)
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op12_substrings import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
