@@ -153,3 +153,38 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op12_substrings import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _op11_sql(parts: int = 16, width: int = 4, entries: int = 64, rounds: int = 2) -> str:
+    """Exact k-means per part as one statement: a table of assignments and one of entries for every round."""
+    xs = [f"x{i}" for i in range(width)]
+    text = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, part, {", ".join(f"e[part * {width} + {i + 1}] AS x{i}" for i in range(width))} FROM v, range({parts}) AS parts(part)),
+c0 AS (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS INTEGER) AS entry, {", ".join(xs)}
+  FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries}))"""
+    for k in range(rounds + 1):
+        d = " + ".join(f"(p.{x} - c.{x}) * (p.{x} - c.{x})" for x in xs)
+        text += f""",
+a{k} AS (SELECT p.vec_id, p.part, min(({d}) * {entries} + c.entry) AS best FROM p JOIN c{k} AS c USING (part) GROUP BY 1, 2)"""
+        if k < rounds:
+            new = ", ".join(f"CASE WHEN n.n IS NULL THEN c.{x} ELSE CAST(floor(n.{x} / n.n) AS BIGINT) END AS {x}" for x in xs)
+            sums = ", ".join(f"CAST(sum(p.{x}) AS DOUBLE) AS {x}" for x in xs)
+            text += f""",
+n{k} AS (SELECT part, best % {entries} AS entry, count(*) AS n, {sums} FROM a{k} JOIN p USING (vec_id, part) GROUP BY 1, 2),
+c{k + 1} AS (SELECT c.part, c.entry, {new} FROM c{k} AS c LEFT JOIN n{k} AS n USING (part, entry))"""
+    return text + f""",
+r AS (SELECT vec_id, string_agg(lpad(to_hex(best % {entries}), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY 1),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM r JOIN v USING (vec_id) GROUP BY 1),
+s AS (SELECT sha256(string_agg(concat_ws(',', {", ".join(xs)}), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT r.vec_id, lower(r.code) AS code, r.error, l.label_error, s.codebooks_sha256
+FROM r JOIN v USING (vec_id) JOIN l ON l.label IS NOT DISTINCT FROM v.label, s"""
+
+
+@register("op11_anchor_tree_codes", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op11_vector_codes import compress, with_label_error
+    codes = compress(table(spark, sf_dir, "embeddings"))
+    return with_label_error(codes.rows).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
