@@ -1,42 +1,34 @@
-"""Training, fold training and scoring on MLlib (ML-7, ML-8, ML-9, SCR-1, TGT-2, C4).
-
-Gradient-boosted trees are MLlib's ``GBTClassifier``; the reference's
-LightGBM parameters are mapped below (no equivalent: ``num_leaves`` -- bounded
-by 2^maxDepth --, ``lambda_l1/l2``, ``bagging_freq``).  MLlib trees reject
-missing values, so every nullable feature is filled with 0 and gets a
-``<name>__missing`` indicator before assembly (C4).
-
-Fold training assembles the feature vector once, keeps (label, fold, vector)
-cached for its own duration and slices it per fold; each fold's metrics are
-the exact Spark metrics of ``operators.metrics``.  Resampling and class weights
-touch the training part of a fold only, never the held-out part.
+"""Training, fold training and scoring of the booster (ML-7, ML-8, ML-9, SCR-1, TGT-2, C4).
+
+Fits go through ``operators.boost``: the rows are binned once and all boosters of
+a step (folds, calibration refits, learning-curve sizes, search trials) grow
+together over that store.  Missing values need no filling: every split learns
+the side they take (C4).
+
+Fold training keeps the best round by the held-out loss with a patience of
+``PATIENCE`` rounds; each fold's metrics are the exact Spark metrics of
+``operators.metrics``.  Resampling and class weights touch the training part of a
+fold only, never the held-out part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics as M
+from .boost import DEFAULT_PARAMS, DEFAULT_ROUNDS, Fit, Params, Store, bin_rows, fit_batch
+from .trees import BoostedTrees, chosen_probability
+
+__all__ = ["DEFAULT_PARAMS", "DEFAULT_ROUNDS", "PATIENCE", "FeatureSpec", "FoldResult", "fit_model", "fit_spec", "fold_fits", "held", "importance_table",
+           "probability", "select_by_importance", "train_folds"]
 
-# ---------------------------------------------------------------------------
-# The reference's default booster parameters.
-DEFAULT_PARAMS = {
-    "learning_rate": 0.05, "feature_fraction": 0.9, "bagging_fraction": 0.8, "bagging_freq": 5,
-    "lambda_l1": 0.1, "lambda_l2": 0.1, "min_child_samples": 20, "max_depth": 8, "num_leaves": 31,
-    "random_state": 42,
-}
-# ---------------------------------------------------------------------------
-DEFAULT_ROUNDS = 100
+# Fixed value: rounds without a better held-out loss that end a fold's fit.
+PATIENCE = 50
 
 
 @contextmanager
@@ -52,42 +44,12 @@ def held(df: DataFrame) -> Iterator[DataFrame]:
             data.unpersist()
 
 
-def gbt_from_params(params: dict | None = None, label: str = "label", features: str = "features",
-                    weight: str | None = None, validation: str | None = None) -> GBTClassifier:
-    p = {**DEFAULT_PARAMS, **(params or {})}
-    depth = int(p.get("max_depth", 5))
-    depth = 5 if depth <= 0 else min(depth, 30)
-    frac = float(p.get("feature_fraction", p.get("colsample_bytree", 1.0)))
-    kw = dict(labelCol=label, featuresCol=features,
-              maxIter=int(p.get("n_estimators", p.get("num_boost_round", DEFAULT_ROUNDS))),
-              stepSize=float(p.get("learning_rate", 0.1)), maxDepth=depth,
-              minInstancesPerNode=int(p.get("min_data_in_leaf", p.get("min_child_samples", 1))),
-              subsamplingRate=float(p.get("bagging_fraction", p.get("subsample", 1.0))),
-              featureSubsetStrategy="all" if frac >= 1.0 else str(frac),
-              seed=int(p.get("random_state", 42)), maxBins=int(p.get("max_bin", 32)))
-    if weight:
-        kw["weightCol"] = weight
-    if validation:
-        kw["validationIndicatorCol"] = validation
-        kw["validationTol"] = 0.0
-    return GBTClassifier(**kw)
-
-
 @dataclass
 class FeatureSpec:
-    """Fitted input layout: feature order and which columns get indicators."""
+    """Fitted input layout: feature order and which columns had missing values in training."""
     columns: list[str]
     nullable: list[str] = field(default_factory=list)
 
-    @property
-    def vector_columns(self) -> list[str]:
-        """Names of the helper columns fed to the assembler (original columns untouched)."""
-        return [f"_f_{c}" for c in self.columns] + [f"_m_{c}" for c in self.nullable]
-
-    @property
-    def vector_names(self) -> list[str]:
-        return self.columns + [f"{c}__missing" for c in self.nullable]
-
     def to_json(self) -> dict:
         return {"columns": self.columns, "nullable": self.nullable}
 
@@ -97,51 +59,29 @@ class FeatureSpec:
 
 
 def fit_spec(df: DataFrame, cols: list[str]) -> FeatureSpec:
-    row = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in cols]).first()
+    row = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in cols]).first() if cols else {}
     return FeatureSpec(list(cols), [c for c in cols if (row[c] or 0) > 0])
 
 
-def prepare(df: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """Add 0-filled copies and missing indicators (C4); inputs stay as they are."""
-    extra = [F.col(c).isNull().cast("double").alias(f"_m_{c}") for c in spec.nullable]
-    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_f_{c}") for c in spec.columns]
-    return df.select("*", *filled, *extra)
-
-
-def helper_columns(spec: FeatureSpec) -> list[str]:
-    return spec.vector_columns
-
-
-def assembler(spec: FeatureSpec, out: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=spec.vector_columns, outputCol=out, handleInvalid="keep")
+def fit_model(df: DataFrame, spec: FeatureSpec, params: dict | None = None, label: str = "label",
+              weight: str | None = None, key: str | None = None) -> BoostedTrees:
+    """ML-7: one booster on all given rows.  ``key`` names the rows for row sampling (else equal rows are drawn together)."""
+    with bin_rows(df, spec.columns, label, key, [weight] if weight else None) as store:
+        return fit_batch(store, [Fit(Params.of(params), weight=weight)])[0]
 
 
-def fit_model(df: DataFrame, spec: FeatureSpec, params: dict | None = None, label: str = "label",
-              weight: str | None = None, validation: str | None = None) -> PipelineModel:
-    """ML-7: assembler + GBT fitted on all given rows."""
-    pipe = Pipeline(stages=[assembler(spec), gbt_from_params(params, label, "features", weight, validation)])
-    return pipe.fit(prepare(df, spec))
-
-
-def importance_table(model: PipelineModel, spec: FeatureSpec) -> DataFrame:
-    """Gain-style importance per input feature (indicator importance folded in)."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    names = spec.vector_names
-    agg: dict[str, float] = {c: 0.0 for c in spec.columns}
-    for n, v in zip(names, imp):
-        base = n[: -len("__missing")] if n.endswith("__missing") else n
-        agg[base] = agg.get(base, 0.0) + float(v)
-    from pyspark.sql import SparkSession
-    # the active session is thread-local; search trials run in driver threads
+def importance_table(model: BoostedTrees, spec: FeatureSpec | None = None) -> DataFrame:
+    """Share of the gain per input feature."""
+    # the active session is thread-local
     ss = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-    return ss.createDataFrame([(k, v) for k, v in agg.items()], "feature string, importance double")
+    own = model.importance()
+    columns = spec.columns if spec else model.columns
+    return ss.createDataFrame([(c, float(own.get(c, 0.0))) for c in columns], "feature string, importance double")
 
 
-def probability(model: PipelineModel, df: DataFrame, spec: FeatureSpec, out: str = "p") -> DataFrame:
+def probability(model: BoostedTrees, df: DataFrame, spec: FeatureSpec | None = None, out: str = "p") -> DataFrame:
     """Positive-class probability as a double column."""
-    scored = model.transform(prepare(df, spec))
-    return scored.withColumn(out, vector_to_array("probability")[1]).drop(
-        "features", "rawPrediction", "probability", "prediction", *helper_columns(spec))
+    return model.probability(df, out)
 
 
 @dataclass
@@ -150,58 +90,77 @@ class FoldResult:
     importance: DataFrame         # fold, feature, importance
     mean_importance: DataFrame    # feature, importance
     best_fold: int
-    best_model: PipelineModel
+    best_model: BoostedTrees
+    models: dict[int, BoostedTrees] = field(default_factory=dict)
 
 
 Resample = Callable[[DataFrame], DataFrame]
+PART, OUT = "_part", "_held_out"       # of a resampled table: whose training part a row is in; whether it is held out there
+
+
+def fold_numbers(df: DataFrame, fold: str, most: int = 10_000) -> list[int]:
+    """The folds of a table, ascending; a column with more than ``most`` values is no fold column."""
+    found = sorted(r[0] for r in df.select(fold).distinct().limit(most + 1).collect() if r[0] is not None)
+    if len(found) > most:
+        raise ValueError(f"{fold} has more than {most} values")
+    return found
+
+
+def fold_fits(folds: list[int], fold: str, params: Params, weight: str | None = None, patience: int = 0,
+              columns: list[str] | None = None, among: tuple = ()) -> list[Fit]:
+    """One booster per fold that learns from the other folds; its own fold decides when it stops, with ``patience``.
+    ``among``: further conditions on all rows."""
+    return [Fit(params, (*among, (fold, "!=", float(f))), (*among, (fold, "==", float(f))) if patience else None, columns, weight, patience) for f in folds]
+
+
+def _resampled(data: DataFrame, folds: list[int], fold: str, resample: Resample) -> tuple[DataFrame, str | None]:
+    """Every fold's resampled training part and its held-out rows, one below the other, and the weight column, if any."""
+    out, weighted = None, False
+    for f in folds:
+        part = resample(data.where(F.col(fold) != f))
+        weighted = "weight" in part.columns
+        check = data.where(F.col(fold) == f)
+        if weighted and "weight" not in check.columns:
+            check = check.withColumn("weight", F.lit(1.0))
+        both = part.withColumn(OUT, F.lit(0.0)).unionByName(check.withColumn(OUT, F.lit(1.0)), allowMissingColumns=True).withColumn(PART, F.lit(float(f)))
+        out = both if out is None else out.unionByName(both)
+    return out, "weight" if weighted else None
 
 
 def train_folds(df: DataFrame, spec: FeatureSpec, params: dict | None = None, label: str = "label",
                 fold: str = "fold", metric: str = "pr_auc", threshold: float = 0.5,
-                weight: str | None = None, early_stopping: bool = True, parallelism: int = 4,
-                resample: Resample | None = None, key: str | None = None) -> FoldResult:
+                weight: str | None = None, early_stopping: bool = True,
+                resample: Resample | None = None, key: str | None = None, patience: int = PATIENCE) -> FoldResult:
     """ML-8: fit on all folds but one, score the held-out fold; the best fold's
     model (first maximum of ``metric``) is kept.  With ``early_stopping`` the
-    held-out fold is the validation set (as the reference's eval set).
+    held-out fold decides the number of rounds (as the reference's eval set).
 
     ``resample`` is applied to each training part (it may add a ``weight``
     column); it needs ``key`` to find its rows."""
-    joined = assembler(spec)
-    keep = [c for c in (key, label, fold, weight) if c]
-    vectors = joined.transform(prepare(df, spec)).select(*keep, "features")
-    with held(vectors) as data:
-        folds = sorted(r[0] for r in data.select(fold).distinct().collect())
-
-        def fit_one(f):
-            part, w = data.where(F.col(fold) != f), weight
-            if resample is not None:
-                part = resample(part)
-                w = "weight" if "weight" in part.columns else weight
-            cols = [c for c in (label, w) if c] + ["features"]
-            if early_stopping:
-                check = data.where(F.col(fold) == f).withColumn("_val", F.lit(True))
-                if w and w not in check.columns:
-                    check = check.withColumn(w, F.lit(1.0))
-                part = part.select(*cols).withColumn("_val", F.lit(False)).unionByName(check.select(*cols, "_val"))
-            return gbt_from_params(params, label, "features", w, "_val" if early_stopping else None).fit(part)
-
-        # fold fits are independent Spark jobs: submit them from a few driver
-        # threads so their (small) stages overlap on the cluster
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
-            models = dict(zip(folds, pool.map(fit_one, folds)))
-        scored, imp = None, None
-        for f in folds:
-            part = models[f].transform(data.where(F.col(fold) == f)).select(
-                F.lit(f).alias(fold), label, vector_to_array("probability")[1].alias("p"))
-            scored = part if scored is None else scored.unionByName(part)
-            table = importance_table(PipelineModel([joined, models[f]]), spec).withColumn(fold, F.lit(f))
-            imp = table if imp is None else imp.unionByName(table)
+    p, wait = Params.of(params), patience if early_stopping else 0
+    keep = list(dict.fromkeys(c for c in (key, label, fold, weight, *spec.columns) if c))
+    with held(df.select(*keep)) as data:
+        folds = fold_numbers(data, fold)
+        if resample is None:
+            rows, w, fits = data, weight, fold_fits(folds, fold, p, weight, wait)
+            extra = [fold, *([w] if w else [])]
+        else:
+            rows, w = _resampled(data, folds, fold, resample)
+            w = w or weight
+            extra = [PART, OUT, *([w] if w else [])]
+            fits = [Fit(p, ((PART, "==", float(f)), (OUT, "==", 0.0)), ((PART, "==", float(f)), (OUT, "==", 1.0)) if wait else None, None, w, wait) for f in folds]
+        with bin_rows(rows, spec.columns, label, key, extra) as store:
+            models = dict(zip(folds, fit_batch(store, fits)))
+        which = F.col(fold)
+        scored = data.select(fold, label, chosen_probability([models[f] for f in folds], F.array_position(F.array(*[F.lit(f) for f in folds]), which.cast("int")).cast("int") - 1).alias("p"))
         fm = M.fold_metrics(scored, label, "p", fold, threshold)
         rows = fm.collect()                                 # one row per fold
         fm = df.sparkSession.createDataFrame(rows, fm.schema)
+    table = [(f, c, v) for f in folds for c, v in {**dict.fromkeys(spec.columns, 0.0), **models[f].importance()}.items()]
+    imp = df.sparkSession.createDataFrame(table, f"{fold} int, feature string, importance double")
     best = fm.orderBy(F.col(metric).desc_nulls_last(), F.col(fold).asc()).first()
     mean_imp = imp.groupBy("feature").agg((F.sum("importance") / F.lit(float(len(folds)))).alias("importance"))
-    return FoldResult(fm, imp, mean_imp, best[fold], PipelineModel([joined, models[best[fold]]]))
+    return FoldResult(fm, imp, mean_imp, best[fold], models[best[fold]], models)
 
 
 def select_by_importance(df: DataFrame, spec: FeatureSpec, fold: str = "fold", k: int = 100,
