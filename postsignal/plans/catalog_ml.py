@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from ..sources import store as ST
 from ..sources.bundle import Bundle, load_bundle, save_bundle
 from ..streaming.scoring import score_stream
 
-QUERY_PARAMS = {"n_estimators": 10, "max_depth": 4, "min_child_samples": 5, "learning_rate": 0.1}
+PARAMS = {"n_estimators": 100}          # the reference's booster: its parameters, 100 rounds
 
 
 def scratch(spark, name: str) -> str:
@@ -134,15 +135,25 @@ def run_metrics(spark, sf_dir):
 SKEWED_TARGET = 120.0          # about one post in eleven reaches it
 
 
+@contextmanager
 def _train_frame(spark, sf_dir, target=50.0):
+    """The labelled feature table with folds, and its feature columns; its cache ends with the block."""
     posts = FX.with_emotions(FX.with_attributes(FX.posts(spark, sf_dir)))
     posts = posts.withColumn("label", binarize("total_trade_volume", target))
-    df = all_features(posts, fit_features(posts), passthrough=["label"])   # one projection, no self-join
+    df = all_features(posts, fit_features(posts), passthrough=["label"])   # no self-join
     cols = [c for c in df.columns if c not in ("post_id", "label")]
-    # persisted: the spec, every fold fit and the scoring read it (the regex
-    # families are the expensive part; recomputation after a lost executor
-    # falls back to the lineage)
-    return SP.stratified_folds(df, "label", "post_id", 5, 42).persist(), cols
+    # persisted: the spec, every fit and the scoring read it (the regex families are the
+    # expensive part; recomputation after a lost executor falls back to the lineage)
+    df = SP.stratified_folds(df, "label", "post_id", 5, 42).persist()
+    try:
+        yield df, cols
+    finally:
+        df.unpersist()
+
+
+def _kept(df):
+    """A result cut from the training frame, whose cache is released."""
+    return df.checkpoint()
 
 
 def _spec(df, cols):
@@ -151,30 +162,30 @@ def _spec(df, cols):
 
 @register("fit_final", ids=("ML-7",))
 def fit_final(spark, sf_dir):
-    df, cols = _train_frame(spark, sf_dir)
-    spec = _spec(df, cols)
-    model = TR.fit_model(df, spec, QUERY_PARAMS)
+    with _train_frame(spark, sf_dir) as (df, cols):
+        spec = _spec(df, cols)
+        model = TR.fit_model(df, spec, PARAMS, key="post_id")
     return TR.importance_table(model, spec)
 
 
 @register("train_folds", ids=("ML-8", "AGG-19"))
 def train_folds(spark, sf_dir):
-    df, cols = _train_frame(spark, sf_dir)
-    return TR.train_folds(df, _spec(df, cols), QUERY_PARAMS).metrics
+    with _train_frame(spark, sf_dir) as (df, cols):
+        return TR.train_folds(df, _spec(df, cols), PARAMS, key="post_id").metrics
 
 
 @register("select_by_importance", ids=("ML-9", "AGG-20", "TOP-1"))
 def select_by_importance(spark, sf_dir):
-    df, cols = _train_frame(spark, sf_dir)
-    feats = TR.select_by_importance(df, _spec(df, cols), "fold", 20, QUERY_PARAMS)
+    with _train_frame(spark, sf_dir) as (df, cols):
+        feats = TR.select_by_importance(df, _spec(df, cols), "fold", 20, PARAMS)
     return spark.createDataFrame([(i, f) for i, f in enumerate(feats)], "rank int, feature string")
 
 
 def _calibration(spark, sf_dir, method):
-    df, cols = _train_frame(spark, sf_dir)
-    spec = _spec(df, cols)
-    cal = fit_calibrator(df, spec, QUERY_PARAMS, "label", "fold", method)
-    return calibrated_probability(df, cal, spec, "calibrated").select("post_id", "label", "calibrated")
+    with _train_frame(spark, sf_dir) as (df, cols):
+        spec = _spec(df, cols)
+        cal = fit_calibrator(df, spec, PARAMS, "label", "fold", method, key="post_id")
+        return _kept(calibrated_probability(df, cal, spec, "calibrated").select("post_id", "label", "calibrated"))
 
 
 @register("platt_calibration", ids=("CAL-1", "CAL-3", "UDF-3"))
@@ -187,14 +198,31 @@ def isotonic_calibration(spark, sf_dir):
     return _calibration(spark, sf_dir, "isotonic")
 
 
+@register("isotonic_blocks", """
+WITH e AS (SELECT CAST(user_id % 97 AS DOUBLE) AS s, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS DOUBLE) AS t, CAST(count(*) AS DOUBLE) AS w
+           FROM events WHERE user_id IS NOT NULL GROUP BY 1),
+c AS (SELECT s, t, w, sum(t) OVER (ORDER BY s) AS ct, sum(w) OVER (ORDER BY s) AS cw FROM e),
+-- the increasing fit at a score is the largest over earlier starts of the least mean over later ends
+m AS (SELECT a.s AS start, b.s AS stop, (b.ct - a.ct + a.t) / (b.cw - a.cw + a.w) AS mean FROM c a JOIN c b ON a.s <= b.s),
+f AS (SELECT x.s, max(least_mean) AS value FROM c x JOIN
+       (SELECT m.start, p.s, min(m.mean) AS least_mean FROM m JOIN c p ON m.start <= p.s AND m.stop >= p.s GROUP BY 1, 2) q ON q.s = x.s GROUP BY 1)
+SELECT s, round(value, 9) AS value FROM f""", ids=("CAL-2",))
+def isotonic_blocks(spark, sf_dir):
+    """The increasing function that fits the share of purchases over a coarse score best, from blocks pooled per score range."""
+    from ..operators.isotonic import fit_blocks
+    ev = (FX.table(spark, sf_dir, "events").filter("user_id is not null")
+          .select((F.col("user_id") % 97).cast("double").alias("p"), (F.col("event_type") == "purchase").cast("int").alias("label")))
+    blocks = spark.createDataFrame(fit_blocks(ev, ranges=7), "lo double, hi double, value double")
+    return (ev.select(F.col("p").alias("s")).distinct().join(F.broadcast(blocks), (F.col("s") >= F.col("lo")) & (F.col("s") <= F.col("hi")))
+            .select("s", F.round("value", 9).alias("value")))
+
+
 def _bundle(spark, sf_dir, calibrate=False):
-    df, cols = _train_frame(spark, sf_dir)
-    spec = _spec(df, cols)
-    model = TR.fit_model(df, spec, QUERY_PARAMS)
-    posts = FX.posts(spark, sf_dir)
-    cal = fit_calibrator(df, spec, QUERY_PARAMS, "label", "fold", "sigmoid") if calibrate else None
-    return Bundle(model=model, spec=spec, threshold=0.5, categories=fit_features(posts).categories,
-                  calibrator=cal)
+    with _train_frame(spark, sf_dir) as (df, cols):
+        spec = _spec(df, cols)
+        model = TR.fit_model(df, spec, PARAMS, key="post_id")
+        cal = fit_calibrator(df, spec, PARAMS, "label", "fold", "sigmoid", key="post_id") if calibrate else None
+    return Bundle(model=model, spec=spec, threshold=0.5, categories=fit_features(FX.posts(spark, sf_dir)).categories, calibrator=cal)
 
 
 def _posts_full(spark, sf_dir):
@@ -207,20 +235,25 @@ def score_batch(spark, sf_dir):
     return score_posts(_posts_full(spark, sf_dir), b)
 
 
-@register("score_one", ids=("SCR-2", "SRC-3"))
+@register("score_one", """
+SELECT post_id, coalesce(image_url, '') <> '' AND i.k IS NULL AS unavailable, post_id = min(post_id) OVER () AS scored_alone, true AS agrees
+FROM posts p LEFT JOIN image_keys i ON i.k = md5(p.image_url)""", ids=("SCR-2", "SRC-3"))
 def score_one(spark, sf_dir):
+    """Batch scores against the image table; the single-record entry point must agree with the batch on its record."""
     b = _bundle(spark, sf_dir)
     images = FX.images(spark, sf_dir)
     posts = _posts_full(spark, sf_dir)
-    # the single-record entry point must agree with the batch on its record
     first = posts.orderBy("post_id").first()
     suitable, p = score_record(spark, b, first.asDict(), images, schema=posts.schema)
-    return score_posts(posts, b, images).withColumn("single_agrees", F.when(
-        F.col("post_id") == first["post_id"], (F.col("suitable") == suitable) & (F.abs(F.col("probability") - p) < 1e-12)))
+    alone = F.col("post_id") == first["post_id"]
+    same = (F.col("suitable") == suitable) & (F.abs(F.col("probability") - p) < 1e-12)
+    return score_posts(posts, b, images).select("post_id", ((F.col("probability") == 0.0) & ~F.col("suitable")).alias("unavailable"), alone.alias("scored_alone"),
+                                                (F.when(alone, same).otherwise(True) & F.col("probability").between(0, 1)).alias("agrees"))
 
 
-@register("score_stream", ids=("STM-1",))
+@register("score_stream", "SELECT post_id, true AS equal FROM posts", ids=("STM-1",))
 def score_stream_query(spark, sf_dir):
+    """Scores of a stream against the batch's, post by post."""
     b = _bundle(spark, sf_dir)
     posts = _posts_full(spark, sf_dir)
     src = scratch(spark, "stream-in")
@@ -230,11 +263,15 @@ def score_stream_query(spark, sf_dir):
     q = (score_stream(stream, b).writeStream.format("parquet").option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start(out))
     q.awaitTermination()
-    return spark.read.parquet(out)
+    batch = score_posts(posts, b).select(F.col("post_id").alias("_id"), F.col("probability").alias("_p"), F.col("suitable").alias("_s"))
+    streamed = spark.read.parquet(out)
+    return streamed.join(batch, F.col("post_id") == F.col("_id"), "full").select(
+        F.coalesce("post_id", "_id").alias("post_id"), F.coalesce((F.abs(F.col("probability") - F.col("_p")) < 1e-12) & (F.col("suitable") == F.col("_s")), F.lit(False)).alias("equal"))
 
 
-@register("bundle_roundtrip", ids=("SNK-2", "SRC-5"))
+@register("bundle_roundtrip", "SELECT post_id, true AS equal FROM posts", ids=("SNK-2", "SRC-5"))
 def bundle_roundtrip(spark, sf_dir):
+    """Calibrated scores before saving the bundle and after loading it, post by post."""
     b = _bundle(spark, sf_dir, calibrate=True)
     path = scratch(spark, "bundle")
     save_bundle(spark, b, path)
@@ -242,16 +279,20 @@ def bundle_roundtrip(spark, sf_dir):
     posts = _posts_full(spark, sf_dir)
     before = score_posts(posts, b).select("post_id", F.col("probability").alias("p_before"))
     after = score_posts(posts, loaded).select("post_id", F.col("probability").alias("p_after"))
-    return before.join(after, "post_id").withColumn("equal", F.abs(F.col("p_before") - F.col("p_after")) < 1e-12)
+    return before.join(after, "post_id").select("post_id", (F.abs(F.col("p_before") - F.col("p_after")) < 1e-12).alias("equal"))
 
 
 # -- vectors -----------------------------------------------------------------------------
+def _numbers(vector):
+    """A vector's components, six decimals each, as one text."""
+    return F.array_join(F.transform(vector, lambda x: F.format_number(F.round(x, 6) + F.lit(0.0), "0.000000")), ",").alias("vector")
+
+
 @register("embed_text", ids=("ML-4", "JN-3"))
 def embed_text(spark, sf_dir):
     docs = FX.table(spark, sf_dir, "documents").select("doc_id", "text")
-    emb = E.embed_text(docs, dim=256)
     from ..functions.vectors import vec_norm
-    return emb.select("doc_id", F.size("embedding").alias("dims"), F.round(vec_norm("embedding"), 9).alias("norm"))
+    return E.embed_text(docs, dim=256).select("doc_id", F.size("embedding").alias("dims"), F.round(vec_norm("embedding"), 9).alias("norm"), _numbers("embedding"))
 
 
 @register("embed_text_udf", ids=("UDF-2", "ML-4"))
@@ -259,7 +300,7 @@ def embed_text_udf(spark, sf_dir):
     docs = FX.table(spark, sf_dir, "documents").select("doc_id", "text")
     emb = E.embed_text(docs, dim=64, make_predict_fn=make_char_hash_model, batch_size=E.BATCH_SIZE)
     from ..functions.vectors import vec_norm
-    return emb.select("doc_id", F.size("embedding").alias("dims"), F.round(vec_norm("embedding"), 6).alias("norm"))
+    return emb.select("doc_id", F.size("embedding").alias("dims"), F.round(vec_norm("embedding"), 6).alias("norm"), _numbers("embedding"))
 
 
 @register("image_vectors", ids=("ML-5", "SRC-4", "JN-3"))
@@ -269,7 +310,7 @@ def image_vectors(spark, sf_dir):
     v = E.image_vectors(posts, images, make_byte_histogram_model, E.IMAGE_PCA_COMPONENTS)
     from ..functions.vectors import vec_norm
     return v.select("post_id", "image_available", F.size("image_embedding").alias("dims"),
-                    F.round(vec_norm("image_embedding"), 6).alias("norm"))
+                    F.round(vec_norm("image_embedding"), 6).alias("norm"), _numbers("image_embedding"))
 
 
 @register("all_features_with_vectors", ids=("PIP-1", "JN-1", "ML-2", "ML-3", "ML-4", "ML-5", "TXT-12", "STR-6"))
@@ -288,7 +329,7 @@ def pca_text(spark, sf_dir):
     emb = FX.table(spark, sf_dir, "embeddings")
     st = E.fit_pca(emb, "embedding", E.TEXT_PCA_COMPONENTS)
     out = E.apply_pca(emb, st, "embedding", "pc")
-    return out.select("vec_id", F.size("pc").alias("dims"), F.round(F.col("pc")[0], 6).alias("pc1"))
+    return out.select("vec_id", F.size("pc").alias("dims"), *[F.round(F.col("pc")[i], 6).alias(f"pc{i + 1}") for i in range(E.TEXT_PCA_COMPONENTS)])
 
 
 @register("pca_fallback", """
@@ -344,71 +385,75 @@ def emotion_blank_text(spark, sf_dir):
 
 
 # -- search, curves, attribution ------------------------------------------------------------
-def _groups_and_importance(spark, df, cols):
-    spec = _spec(df, cols)
-    groups = I.group_dict(I.feature_groups(spark, cols))
-    base = TR.train_folds(df, spec, QUERY_PARAMS, early_stopping=False)
-    imp = {r["feature"]: r["importance"] for r in base.mean_importance.collect()}
-    return spec, groups, imp
-
-
 @register("subset_search", ids=("ML-10", "TOP-3"))
 def subset_search_query(spark, sf_dir):
-    df, cols = _train_frame(spark, sf_dir)
-    spec, groups, imp = _groups_and_importance(spark, df, cols)
-    return subset_search(spark, df, spec, groups, imp, QUERY_PARAMS, trials=3).trials
+    """All 50 trials, five folds of 100 rounds each."""
+    with _train_frame(spark, sf_dir) as (df, cols):
+        spec = _spec(df, cols)
+        groups = I.group_dict(I.feature_groups(spark, cols))
+        base = TR.train_folds(df, spec, PARAMS, early_stopping=False, key="post_id")
+        imp = {r["feature"]: r["importance"] for r in base.mean_importance.collect()}
+        return subset_search(spark, df, spec, groups, imp, PARAMS, key="post_id").trials
 
 
 @register("joint_search", ids=("ML-11",))
 def joint_search_query(spark, sf_dir):
-    df, cols = _train_frame(spark, sf_dir)
-    groups = I.group_dict(I.feature_groups(spark, cols))
-    return joint_search(spark, df.drop("fold"), _spec(df, cols), groups, "label", "post_id", outer=2, inner=2,
-                        trials=2, rounds=10).trials
+    """Three outer folds x 30 trials x five inner folds, up to 500 rounds with a patience of 20."""
+    with _train_frame(spark, sf_dir) as (df, cols):
+        groups = I.group_dict(I.feature_groups(spark, cols))
+        return joint_search(spark, df.drop("fold"), _spec(df, cols), groups, "label", "post_id").trials
 
 
 @register("balance_method_choice", ids=("ML-12", "ML-13", "AGG-23", "AGG-24"))
 def balance_method_choice(spark, sf_dir):
     # a label outside the skip band, so that every method acts
-    df, cols = _train_frame(spark, sf_dir, SKEWED_TARGET)
-    _, table = choose_balance(spark, df, _spec(df, cols), "post_id",
-                              ("none", "class_weight", "oversample", "undersample"), params=QUERY_PARAMS)
+    with _train_frame(spark, sf_dir, SKEWED_TARGET) as (df, cols):
+        _, table = choose_balance(spark, df, _spec(df, cols), "post_id",
+                                  ("none", "class_weight", "oversample", "undersample"), params=PARAMS)
     return table
 
 
 @register("learning_curve", ids=("LC-1", "WIN-7"))
 def learning_curve_query(spark, sf_dir):
-    df, cols = _train_frame(spark, sf_dir)
-    return learning_curve(spark, df, _spec(df, cols), "post_id", params=QUERY_PARAMS)
+    with _train_frame(spark, sf_dir) as (df, cols):
+        return learning_curve(spark, df, _spec(df, cols), "post_id", params=PARAMS)
 
 
 @register("attribution_rank", ids=("EXP-1", "AGG-26"))
 def attribution_rank(spark, sf_dir):
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    df, cols = _train_frame(spark, sf_dir)
-    filled = df.fillna(0.0, subset=cols)
-    va = VectorAssembler(inputCols=cols, outputCol="_v").transform(filled)
-    lr = LogisticRegression(featuresCol="_v", labelCol="label", maxIter=50, regParam=0.01).fit(va)
-    phi = XP.linear_attribution(filled, lr, cols, "post_id")
-    return I.attribution_rank(phi, 20)
+    """Mean absolute Shapley values of the trained trees over all posts, the 20 largest."""
+    with _train_frame(spark, sf_dir) as (df, cols):
+        model = TR.fit_model(df, _spec(df, cols), PARAMS, key="post_id")
+        return _kept(I.attribution_rank(XP.tree_attribution(df, model, "post_id"), 20))
+
+
+@register("attribution_adds_up", """
+SELECT post_id, true AS adds_up FROM posts""", ids=("EXP-1",))
+def attribution_adds_up(spark, sf_dir):
+    """A post's Shapley values add up to its margin minus the mean margin."""
+    with _train_frame(spark, sf_dir) as (df, cols):
+        model = TR.fit_model(df, _spec(df, cols), PARAMS, key="post_id")
+        total = XP.tree_attribution(df, model, "post_id").groupBy("post_id").agg(F.sum("phi").alias("_phi"))
+        margins = df.select("post_id", model.margin_column().alias("_margin")).join(total, "post_id")
+        return _kept(margins.select("post_id", (F.abs(F.col("_margin") - F.lit(XP.mean_margin(model)) - F.col("_phi")) < 1e-9).alias("adds_up")))
 
 
 @register("permutation_importance", ids=("EXP-1",))
 def permutation_importance(spark, sf_dir):
-    df, cols = _train_frame(spark, sf_dir)
-    spec = _spec(df, cols)
-    model = TR.fit_model(df, spec, QUERY_PARAMS)
-    top = [r["feature"] for r in TR.importance_table(model, spec)
-           .orderBy(F.col("importance").desc(), "feature").collect()]
-    return XP.permutation_importance(spark, df, model, spec, "post_id", "label", top)
+    with _train_frame(spark, sf_dir) as (df, cols):
+        spec = _spec(df, cols)
+        model = TR.fit_model(df, spec, PARAMS, key="post_id")
+        top = [r["feature"] for r in TR.importance_table(model, spec)
+               .orderBy(F.col("importance").desc(), "feature").collect()]
+        return _kept(XP.permutation_importance(spark, df, model, spec, "post_id", "label", top))
 
 
 @register("train_bundle", ids=("PIP-2", "SNK-3", "AGG-5", "CAL-1"))
 def train_bundle(spark, sf_dir):
-    posts = _posts_full(spark, sf_dir)
-    # the two searches have their own queries (subset_search, joint_search)
-    out = train_run(spark, posts, TrainConfig(params=QUERY_PARAMS, joint_trials=0, subset_trials=0))
+    """The whole training job: image filter, emotion and vector families, both searches at full budget, learning curve, attribution."""
+    posts = FX.with_attributes(FX.posts(spark, sf_dir))
+    config = TrainConfig(params=PARAMS, vectors=True, vector_dim=128, learning_curve=True, attribution=True)
+    out = train_run(spark, posts, config, images=FX.images(spark, sf_dir), make_image_model=make_byte_histogram_model, emotions=_emotion_state(spark, posts))
     path = scratch(spark, "bundle")
     save_bundle(spark, out.bundle, path)
     return out.metrics

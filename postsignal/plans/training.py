@@ -26,7 +26,8 @@ from ..operators import metrics as M
 from ..operators import prep as P
 from ..operators import split as SP
 from ..operators.calibrate import calibrated_probability, fit_calibrator
-from ..operators.search import choose_balance, joint_search, subset_search
+from ..operators.explain import tree_attribution
+from ..operators.search import choose_balance, joint_search, learning_curve, subset_search
 from ..operators.train import fit_model, fit_spec, importance_table, probability, train_folds
 from ..sources.bundle import Bundle
 from ..sources.store import metrics_rows
@@ -49,6 +50,8 @@ class TrainConfig:
     subset_trials: int = 50             # 0 skips the subset search
     params: dict = field(default_factory=lambda: {"n_estimators": 100})
     vectors: bool = False               # add the model-based families (encoder + PCA)
+    learning_curve: bool = False        # add the learning curve to the tables
+    attribution: bool = False           # add mean absolute Shapley values of the test rows to the tables
     vector_dim: int = 256
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex[:12])
 
@@ -58,7 +61,8 @@ class TrainOutput:
     bundle: Bundle
     metrics: DataFrame       # run log: run_id, stage, metric, value
     fold_metrics: DataFrame
-    tables: dict[str, DataFrame] = field(default_factory=dict)   # class_distribution, stability, importance, lift, roc_curve, pr_curve
+    # class_distribution, stability, importance, lift, roc_curve, pr_curve; learning_curve and attribution if asked for
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def _evaluate(scored: DataFrame, label: str, raw: str, decide_on: str, t: float) -> DataFrame:
@@ -126,16 +130,16 @@ def train_run(spark: SparkSession, posts: DataFrame, config: TrainConfig | None
                           trials=cfg.joint_trials, metric=cfg.optimization_metric, seed=cfg.seed, weight=weight)
         params, selected = {**params, **js.best_params}, js.best_features
     if cfg.subset_trials:
-        base = train_folds(weighted, spec, params, "label", "fold", cfg.optimization_metric, weight=weight)
+        base = train_folds(weighted, spec, params, "label", "fold", cfg.optimization_metric, weight=weight, key=key)
         imp = {r["feature"]: r["importance"] for r in base.mean_importance.collect()}
         ss = subset_search(spark, weighted, spec, groups, imp, params, "label", "fold",
-                           cfg.subset_trials, cfg.seed, weight)
+                           cfg.subset_trials, cfg.seed, weight, key=key)
         selected = ss.best_features
     spec = fit_spec(weighted, selected)
 
     folds = train_folds(weighted, spec, params, "label", "fold", cfg.optimization_metric, weight=weight,
                         resample=resample, key=key)
-    final = fit_model(weighted if resample is None else resample(train), spec, params, "label", weight)
+    final = fit_model(weighted if resample is None else resample(train), spec, params, "label", weight, key)
     scored1 = probability(final, test, spec).persist()
     stage1 = _evaluate(scored1, "label", "p", "p", 0.5)
 
@@ -144,7 +148,7 @@ def train_run(spark: SparkSession, posts: DataFrame, config: TrainConfig | None
     cal_split = SP.stratified_split(weighted.drop("fold", "is_test"), "label", key, cfg.calibration_holdout,
                                     cfg.seed, out="_hold")
     calib = SP.stratified_folds(cal_split.where(~F.col("_hold")), "label", key, 5, cfg.seed)
-    cal = fit_calibrator(calib, spec, params, "label", "fold", "sigmoid", weight)
+    cal = fit_calibrator(calib, spec, params, "label", "fold", "sigmoid", weight, key)
     scored2 = calibrated_probability(scored1, cal, spec, "pc").persist()
     stage2 = _evaluate(scored2, "label", "p", "pc", 0.5)
     hold = calibrated_probability(probability(final, cal_split.where(F.col("_hold")), spec), cal, spec, "pc").persist()
@@ -180,6 +184,10 @@ def train_run(spark: SparkSession, posts: DataFrame, config: TrainConfig | None
     tables = {"class_distribution": classes, "stability": stability, "importance": I.top_features(importance, 30),
               "lift": M.lift_table(scored2.select(key, "label", "pc"), "label", "pc", key),
               "roc_curve": M.roc_curve(scored2, "label", "p"), "pr_curve": M.pr_curve(scored2, "label", "p")}
+    if cfg.learning_curve:
+        tables["learning_curve"] = learning_curve(spark, weighted, spec, key, "label", "fold", cfg.n_splits, params=params)
+    if cfg.attribution:
+        tables["attribution"] = I.attribution_rank(tree_attribution(test, final, key), 20)
     tables = {k: v.checkpoint() for k, v in tables.items()}
     log = log.checkpoint()
     for held in (scored1, scored2, hold, train, split):

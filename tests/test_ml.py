@@ -1,4 +1,4 @@
-"""MLlib layer: scoring chain, calibration range, bundle round trip, stream = batch."""
+"""Models: scoring chain, calibration range, bundle round trip, stream = batch."""
 
 import os
 import tempfile
@@ -31,9 +31,9 @@ def trained(spark, sf_small):
     return posts, df, spec, model, st
 
 
-def test_probabilities_and_missing_indicators(trained):
+def test_probabilities_with_missing_values(trained):
     posts, df, spec, model, _ = trained
-    assert "text_quoted_ratio" in spec.nullable               # null when a text is empty
+    assert "text_quoted_ratio" in spec.nullable               # null when a text is empty; the trees learn its side
     p = TR.probability(model, df, spec).select("p").collect()
     assert len(p) == df.count() and all(0.0 <= r[0] <= 1.0 for r in p)
     assert set(TR.probability(model, df, spec).columns) == set(df.columns) | {"p"}
@@ -173,12 +173,28 @@ def test_emotions_from_text_in_bundle_batch_single_and_stream(spark, sf_small, t
     assert {r["post_id"]: r["probability"] for r in spark.read.parquet(os.path.join(root, "out")).collect()} == batch
 
 
-def test_the_registered_learning_curve_has_all_sizes(monkeypatch):
+def test_the_registered_queries_ask_for_the_whole_budget(monkeypatch):
+    from contextlib import contextmanager
+
     import postsignal.plans.catalog_ml as C
+    from postsignal.operators.boost import Params
+    from postsignal.operators.search import JOINT_PATIENCE, SEARCH_ROUNDS
     from postsignal.operators.split import learning_fractions
+    assert Params.of(C.PARAMS) == Params() and (SEARCH_ROUNDS, JOINT_PATIENCE, TR.PATIENCE) == (500, 20, 50)
     asked = {}
-    monkeypatch.setattr(C, "_train_frame", lambda spark, sf_dir: (None, []))
+
+    @contextmanager
+    def frame(spark, sf_dir, target=50.0):
+        yield None, []
+    monkeypatch.setattr(C, "_train_frame", frame)
     monkeypatch.setattr(C, "_spec", lambda df, cols: None)
     monkeypatch.setattr(C, "learning_curve", lambda *a, **kw: asked.update(kw))
     C.learning_curve_query(None, "")
-    assert len(asked.get("fractions") or learning_fractions()) == 15
+    assert len(asked.get("fractions") or learning_fractions()) == 15 and asked["params"] == C.PARAMS
+    import inspect
+
+    from postsignal.operators.search import joint_search, subset_search
+    from postsignal.plans.training import TrainConfig
+    assert inspect.signature(subset_search).parameters["trials"].default == 50
+    assert [inspect.signature(joint_search).parameters[k].default for k in ("outer", "inner", "trials", "rounds")] == [3, 5, 30, 500]
+    assert (TrainConfig().joint_trials, TrainConfig().subset_trials) == (30, 50)
