@@ -409,7 +409,7 @@ def balance_method_choice(spark, sf_dir):
     # a label outside the skip band, so that every method acts
     with _train_frame(spark, sf_dir, SKEWED_TARGET) as (df, cols):
         _, table = choose_balance(spark, df, _spec(df, cols), "post_id",
-                                  ("none", "class_weight", "oversample", "undersample"), params=PARAMS)
+                                  ("none", "class_weight", "oversample", "undersample", "smote", "adasyn"), params=PARAMS)
     return table
 
 

@@ -336,6 +336,37 @@ def undersample(spark, sf_dir):
     return u.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+# -- new rows between neighbours (BAL-3, BAL-4) ---------------------------------------------------------
+_GROWN_SQL = """
+WITH c AS (SELECT CAST(label < 2 AS INTEGER) AS y, count(*) AS n FROM embeddings GROUP BY 1),
+g AS (SELECT y, n, max(n) OVER () - n AS need FROM c)
+SELECT y, CAST(0 AS BIGINT) AS added, n, n AS inside FROM g
+UNION ALL SELECT y, CAST(1 AS BIGINT) AS added, need AS n, need AS inside FROM g WHERE need > 0"""
+
+
+def _grown(spark, sf_dir, make):
+    """Counts of old and new rows by class, and of rows whose coordinates lie within the class's own range."""
+    cols = [f"e{i}" for i in range(8)]
+    rows = FX.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") < 2).cast("int").alias("y"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    out = make(rows, "y", "vec_id", cols)
+    span = rows.groupBy(F.col("y").alias("_y")).agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
+    inside = F.lit(True)
+    for c in cols:
+        inside = inside & F.col(c).between(F.col(f"lo_{c}") - 1e-9, F.col(f"hi_{c}") + 1e-9)
+    return (out.join(F.broadcast(span), F.col("y") == F.col("_y")).groupBy("y", F.least("copy", F.lit(1).cast("long")).alias("added"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(inside.cast("long")).alias("inside")))
+
+
+@register("smote", _GROWN_SQL, ids=("BAL-3", "ML-13"))
+def smote(spark, sf_dir):
+    return _grown(spark, sf_dir, B.smote)
+
+
+@register("adasyn", _GROWN_SQL, ids=("BAL-4", "ML-13"))
+def adasyn(spark, sf_dir):
+    return _grown(spark, sf_dir, B.adasyn)
+
+
 # -- counts that SQL can state although the rows are chosen by hash ---------------------------
 LABELS_SQL = "SELECT doc_id, toxic AS label FROM labels"
 

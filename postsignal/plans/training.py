@@ -122,7 +122,7 @@ def train_run(spark: SparkSession, posts: DataFrame, config: TrainConfig | None
     # weights sit on all training rows; resampling happens inside training folds only
     weighted = B.balance(train, "label", key, method, cfg.seed) if method == "class_weight" else train
     weight = "weight" if "weight" in weighted.columns else None
-    resample = None if method == "class_weight" else lambda part: B.balance(part, "label", key, method, cfg.seed)
+    resample = None if method == "class_weight" else lambda part: B.balance(part, "label", key, method, cfg.seed, features=kept)
 
     params, selected = dict(cfg.params), kept
     if cfg.joint_trials:
