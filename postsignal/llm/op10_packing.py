@@ -40,7 +40,7 @@ class PackParams:
     slack: int = 8             # a sequence with at most so many free places is done
     fan_in: int = 8
     items: int = 200_000       # leftover sequences a task of a later round takes
-    token_chunk: int = 8 << 20
+    token_chunk: int = 2 << 20
 
 
 def _cut(p: PackParams):

@@ -60,6 +60,8 @@ class ToxicParams:
     rate: float = 0.01
     seed: int = 3
     known_words: int = 150_000         # words whose inputs a worker keeps
+    score_chunk: int = 1 << 20         # bytes of documents scored at a time
+    out_rows: int = 500                # rows of a filtered output batch
 
 
 class Text:
@@ -304,7 +306,7 @@ def batch_scores(net: Network, known: Known, column: pa.Array) -> np.ndarray:
     p = net.p
     buf, off = utf8(column)
     out = np.full(len(column), net.share)
-    for i, j in chunks(off):
+    for i, j in chunks(off, p.score_chunk):
         text = Text(buf[off[i]:off[j]], off[i:j + 1] - off[i], p.word_bytes)
         has = np.diff(text.first) > 0
         if has.any() and 0 < net.share < 1:
@@ -330,7 +332,9 @@ def _clean(net: Network, text: int):
     def run(batches):
         known = Known(net.p.known_words)
         for batch in batches:
-            yield batch.filter(pa.array(batch_scores(net, known, batch.column(text)) < 0.5))
+            keep = pa.array(batch_scores(net, known, batch.column(text)) < 0.5)
+            for a in range(0, batch.num_rows, net.p.out_rows):       # never a second copy of the whole batch
+                yield batch.slice(a, net.p.out_rows).filter(keep.slice(a, net.p.out_rows))
     return run
 
 

@@ -22,7 +22,7 @@ import numpy as np
 
 from .textkit import Words, distinct
 
-CACHE_WORDS = 200_000          # words in each of the cache's two generations
+CACHE_WORDS = 100_000          # words in each of the cache's two generations
 
 # The tokenizer's split pattern, narrowed to the plain words' characters.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
