@@ -114,3 +114,23 @@ def test_documents_of_up_to_12000_bytes_teach(spark):
     net = fit(docs, marked, lambda i: i >= 0, params=p)
     assert net.share == 0.5 and net.p.sample == (6000, 3000)
     assert (net.out["w"] != Network(p).out["w"]).any()
+
+
+def test_batches_score_like_single_documents():
+    from postsignal.llm.op2_toxicity import Known, batch_scores
+    texts, labels = _corpus(200, 6)
+    net = train(texts, labels, SMALL)
+    odd = [None, "", " \t", "y" * 3000, texts[0], texts[0], " ".join(texts[:40])]
+    column = pa.array([*texts, *odd], pa.string())
+    share = net.share
+
+    def alone(t):
+        text = Text(*utf8(pa.array([t], pa.string())), net.p.word_bytes)
+        if len(text.first) < 2 or text.first[-1] == 0:
+            return share
+        return float(1 / (1 + np.exp(-(document_logits(net, text)[0] - net.offset))))
+    want = np.array([alone(t) for t in column.to_pylist()])
+    for words, chunk in ((150_000, 1 << 20), (10, 1 << 20), (60, 700), (0, 1)):
+        few = Network.__new__(Network)
+        few.__dict__ = {**net.__dict__, "p": replace(net.p, known_words=words, score_chunk=chunk)}
+        assert np.allclose(batch_scores(few, Known(words), column), want, atol=1e-6), (words, chunk)
