@@ -3,6 +3,14 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and its result is written as Parquet and reread as the next one's ``docs``.
 All but the last return the columns of ``documents``.
+
+Defined cases, for every stage: an empty table gives an empty result (the toxicity
+stage without any labelled text gives every text the score 0 and keeps it); null and
+empty texts are no copies of each other, have size 0 in the mix, which takes them or
+leaves them by source like others, and are one end id in a sequence; texts of
+any length are read whole; rows that repeat an id stay or go by their text (near
+duplicates: the id's group decides); rows with a null id stay; extra columns, also
+those named like a stage's own, pass through unchanged.
 """
 
 from __future__ import annotations
