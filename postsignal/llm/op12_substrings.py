@@ -5,13 +5,13 @@ such that every residue is a difference of two of its members.  So for any two
 word places ``i`` and ``j`` some ``d < period`` puts both ``i + d`` and ``j + d``
 on cover places, and two equal windows at ``i`` and ``j`` share an anchor (the
 ``window - period + 1`` words from there) at the same distance ``d`` from their
-starts.  Only cover places are hashed (4 of 13):
+starts.  Only cover places are hashed (5 of 21):
 
 1. every block of documents gives its distinct anchors; a shuffle by anchor hash
    and one pass over the sorted rows finds those that occur twice or more;
 2. they return to their blocks, where each is extended by ``d`` words to the left
    and ``period - 1 - d`` to the right for every ``d``: these are the only windows
-   that can occur twice.  Their 128-bit hashes meet in a second shuffle;
+   that can occur twice.  Their 96-bit hashes meet in a second shuffle;
 3. repeated windows return to their blocks, which drop the words they cover.
 
 Documents travel as compressed blocks, kept by a checkpoint and dealt twice; else
@@ -44,7 +44,7 @@ from .textkit import Words, chunks, mix, utf8
 @dataclass(frozen=True)
 class RepeatParams:
     window: int = 35              # words
-    period: int = 13              # of the difference cover
+    period: int = 21              # of the difference cover
     block_bytes: int = 4 << 20    # text of a block (one longer document excepted)
 
 
@@ -143,10 +143,10 @@ class Block:
         self.words = Words(self.buf, self.off, fold=False)
 
 
-# ---- rows (hash, check, block, many): a block's distinct hashes; many: the block has it twice or more
+# ---- rows (hash, check, place): a block's distinct hashes; place: twice the block, plus 1 if the block has it twice or more
 
-HASHES = "hash long, check long, block long, many boolean"
-_HASHES = pa.schema([("hash", pa.int64()), ("check", pa.int64()), ("block", pa.int64()), ("many", pa.bool_())])
+HASHES = "hash long, check int, place long"
+_HASHES = pa.schema([("hash", pa.int64()), ("check", pa.int32()), ("place", pa.int64())])
 _OUT = 200_000
 
 
@@ -155,11 +155,10 @@ def _once(h: np.ndarray, check: np.ndarray, block: int):
     order = np.argsort(h)
     h, check = h[order], check[order]
     start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])]) if len(h) else np.zeros(0, dtype=np.int64)
-    many = np.diff(np.r_[start, len(h)]) > 1
-    h, check = h[start].view(np.int64), check[start].view(np.int64)
+    place = 2 * block + (np.diff(np.r_[start, len(h)]) > 1)
+    h, check = h[start].view(np.int64), check[start]
     for i in range(0, len(h), _OUT):
-        n = len(h[i:i + _OUT])
-        yield pa.RecordBatch.from_arrays([pa.array(h[i:i + n]), pa.array(check[i:i + n]), pa.array(np.full(n, block)), pa.array(many[i:i + n])], schema=_HASHES)
+        yield pa.RecordBatch.from_arrays([pa.array(h[i:i + _OUT]), pa.array(check[i:i + _OUT]), pa.array(place[i:i + _OUT])], schema=_HASHES)
 
 
 def _anchors(p: RepeatParams):
@@ -170,7 +169,7 @@ def _anchors(p: RepeatParams):
                 at = cover_places(w.first, p)
                 if len(at):
                     h = run_hashes(w.hash, p.window - p.period + 1)[at]
-                    yield from _once(h, np.zeros(len(h), dtype=np.uint64), batch["block"][k].as_py())
+                    yield from _once(h, np.zeros(len(h), dtype=np.int32), batch["block"][k].as_py())
     return run
 
 
@@ -189,7 +188,8 @@ def _windows(p: RepeatParams):
         np.cumsum(flag, out=flag)
         i = inside(w.first, p.window)
         i = i[flag[i + p.period] > flag[i]]                # an anchor among the first ``period`` places
-        out = list(_once(run_hashes(w.hash, p.window)[i], run_hashes(mix(w.hash, 41), p.window, 1)[i], blocks["block"][0].as_py()))
+        check = (run_hashes(mix(w.hash, 41), p.window, 1)[i] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        out = list(_once(run_hashes(w.hash, p.window)[i], check, blocks["block"][0].as_py()))
         return pa.Table.from_batches(out, schema=_HASHES)
     return run
 
@@ -206,14 +206,14 @@ def _repeated(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, c, b, m = (np.asarray(batch.column(k)) for k in range(4))
+        h, c, b = (np.asarray(batch.column(k)) for k in range(3))
         lead = held is not None
         if lead:
-            h, c, b, m = (np.concatenate([[x], y]) for x, y in zip(held[0], (h, c, b, m)))
+            h, c, b = (np.concatenate([[x], y]) for x, y in zip(held[0], (h, c, b)))
         new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
         start = np.flatnonzero(new)
         size = np.diff(np.r_[start, len(h)])
-        hit = (size > 1) | np.logical_or.reduceat(m, start)
+        hit = (size > 1) | np.logical_or.reduceat(b & 1 == 1, start)
         if lead:
             hit[0] |= held[1]
         keep = np.repeat(hit, size)
@@ -222,9 +222,9 @@ def _repeated(batches):
         last = bool(hit[-1])
         if not last:
             keep[-1] = False
-        held = ((h[-1], c[-1], b[-1], m[-1]), last)
+        held = ((h[-1], c[-1], b[-1]), last)
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(b[keep].astype(np.int64)), pa.array(h[keep].astype(np.int64))], names=["block", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(b[keep] >> 1), pa.array(h[keep])], names=["block", "hash"])
 
 
 def repeated(hashes: DataFrame) -> DataFrame:

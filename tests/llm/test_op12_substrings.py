@@ -83,7 +83,7 @@ def test_run_hashes_and_places():
     assert len(run_hashes(h[:3], 4)) == 0
     first = np.array([0, 0, 3, 40, 40, 75, 75])
     assert inside(first, 35).tolist() == [3, 4, 5, 40]
-    p = RepeatParams()
+    p = RepeatParams(period=13)
     at = cover_places(first, p).tolist()
     d = difference_cover(13)
     assert at == [3 + k for k in range(15) if k % 13 in d] + [40 + k for k in range(13) if k % 13 in d]
@@ -93,10 +93,10 @@ def test_a_passage_of_every_document_sends_one_row_a_block(spark):
     from postsignal.llm.op12_substrings import _anchors, _blocks, BLOCK, HASHES
     text = " ".join(f"w{k}" for k in range(50))
     docs = spark.createDataFrame([(k, text) for k in range(3000)], "id long, text string").repartition(3)
-    p = RepeatParams()
+    p = RepeatParams(period=13)
     rows = docs.mapInArrow(_blocks(p), BLOCK).mapInArrow(_anchors(p), HASHES)
     places = len([k for k in range(50 - 23 + 1) if k % 13 in difference_cover(13)])
-    assert rows.count() == 3 * places and rows.filter("many").count() == 3 * places
+    assert rows.count() == 3 * places and rows.filter("place % 2 = 1").count() == 3 * places
 
 
 def test_runs_over_batch_ends():
@@ -105,11 +105,11 @@ def test_runs_over_batch_ends():
     rng = random.Random(2)
     for _ in range(200):
         rows = sorted((rng.randint(0, 6), rng.randint(0, 1)) for _ in range(rng.randint(0, 12)))
-        rows = [(h, c, k, rng.random() < 0.2) for k, (h, c) in enumerate(rows)]
+        rows = [(h, c, 2 * k + (rng.random() < 0.2)) for k, (h, c) in enumerate(rows)]
         cuts = sorted(rng.randint(0, len(rows)) for _ in range(rng.randint(0, 6)))
         parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
         batches = [pa.RecordBatch.from_pylist([dict(zip(_HASHES.names, r)) for r in part], schema=_HASHES) for part in parts]
         got = [(r["hash"], r["block"]) for b in _repeated(iter(batches)) for r in b.to_pylist()]
-        total = Counter((h, c) for h, c, _, _ in rows)
-        many = {(h, c) for h, c, _, m in rows if m}
-        assert got == [(h, k) for h, c, k, _ in rows if total[h, c] > 1 or (h, c) in many]
+        total = Counter((h, c) for h, c, _ in rows)
+        many = {(h, c) for h, c, k in rows if k % 2}
+        assert got == [(h, k // 2) for h, c, k in rows if total[h, c] > 1 or (h, c) in many]
