@@ -6,7 +6,9 @@
   executors with their margins, kept by ``persist`` and a checkpoint every
   ``CHECKPOINT_ROUNDS`` rounds.
 * **Levels, not splits.**  All boosters of a batch (folds, trials, sizes of a
-  learning curve) grow their next tree together, one Spark job per tree level.
+  learning curve) grow their next tree together, one Spark job per tree level (a
+  table of a single block has nothing to exchange between levels, so there the
+  levels of a tree follow each other inside one job, by the same steps).
   A block sums gradients, hessians and counts per (booster, node, feature, bin);
   blocks meet by ``reduceByKey`` over (booster, run of features), and the best split
   of every node is found there.  The driver receives one split per node and run.
@@ -326,6 +328,23 @@ class _Growing:
                 "missing_left": np.array([bool(inner[i] and self.split[i].missing_left) for i in range(n)]),
                 "left": np.array([self.children[i][0] if inner[i] else -1 for i in range(n)]), "right": np.array([self.children[i][1] if inner[i] else -1 for i in range(n)])}
 
+    def plain(self) -> tuple:
+        """The state without classes, for the way to the driver."""
+        return self.sums, self.depth, [vars(s) if s else None for s in self.split], self.children, self.asked, self.taken
+
+    @classmethod
+    def of(cls, plain: tuple) -> _Growing:
+        sums, depth, split, children, asked, taken = plain
+        g = cls(sums, depth, [_Split(**s) if s else None for s in split], children, asked)
+        g.taken = taken
+        return g
+
+    def learn(self, nodes: list[int], splits: dict, p: Params) -> None:
+        """The best splits of the nodes asked (by place) are known now."""
+        for n, s in splits.items():
+            self.split[nodes[n]] = s
+        self.choose(p)
+
     def finish(self, p: Params, edges: list[np.ndarray]) -> tuple[Tree, dict]:
         """The tree, and its routes with leaf values for the rows' bins."""
         r = self.routes()
@@ -509,6 +528,22 @@ class _Batch:
         f = asks[i][2][run:run + FEATURE_RUN]
         return key, _best(hist, f, self.bins[f], self.fits[i].params)
 
+    def whole_trees(self, part: dict, features: dict, turn: int) -> list:
+        """For an element with all rows of its boosters: (booster, root sums, grown tree), level after level as in the driver's loop."""
+        out = []
+        for i in part["fits"]:
+            if i not in features:
+                continue
+            p = self.fits[i].params
+            asks = {i: (None, [0], features[i])}
+            found = _collected(self.splits(x, asks) for x in self.level(part, asks, turn, True))[i]
+            g = _root(found["sums"], found.get("splits", {}) if turn < p.rounds else {}, p)
+            while nodes := g.frontier(p):
+                asks = {i: (g.routes(), nodes, features[i])}
+                g.learn(nodes, _collected(self.splits(x, asks) for x in self.level(part, asks, turn, False)).get(i, {}).get("splits", {}), p)
+            out.append((i, found["sums"], g.plain()))
+        return out
+
     def moved(self, part: dict, done: dict) -> dict:
         """The element with its boosters' margins after their last trees."""
         margin = part["margin"].copy()
@@ -518,25 +553,18 @@ class _Batch:
         return {**part, "margin": margin}
 
 
-def _of(shared) -> _Batch:
-    """The broadcast batch: bytes, so that executors need no copy of this package; unpacked once per worker process."""
-    token, data = shared.value
-    kept = sys.modules.setdefault("_boost_batches", types.ModuleType("_boost_batches")).__dict__.setdefault("batches", {})
-    if token not in kept:
-        kept.clear()
-        kept[token] = cloudpickle.loads(data)
-    return kept[token]
+def _root(sums: tuple, splits: dict, p: Params) -> _Growing:
+    """A tree of one node whose best split is known."""
+    g = _Growing()
+    g.add(sums[:4], 0)
+    g.asked = 1
+    g.split[0] = splits.get(0) if p.depth > 0 else None
+    g.choose(p)
+    return g
 
 
-def _ask(data, shared, asks: dict, turn: int, first: bool, alone: bool) -> dict:
-    """Per booster: the best split of every node asked (and the root's sums in a tree's first job).  ``shared``: the broadcast batch."""
-    if not asks:
-        return {}
-    if alone:            # every booster has one block: its sums are whole already
-        found = data.flatMap(lambda part: [_of(shared).splits(x, asks) for x in _of(shared).level(part, asks, turn, first)]).collect()
-    else:
-        summed = data.flatMap(lambda part: _of(shared).level(part, asks, turn, first)).reduceByKey(lambda a, b: a + b, data.getNumPartitions())
-        found = summed.map(lambda x: _of(shared).splits(x, asks)).collect()
+def _collected(found) -> dict:
+    """Per booster: its sums, if among the answers, and the best split of every node over the runs of features."""
     out: dict = {}
     for key, value in found:
         if key[0] == "sums":
@@ -550,6 +578,25 @@ def _ask(data, shared, asks: dict, turn: int, first: bool, alone: bool) -> dict:
     return out
 
 
+def _of(shared) -> _Batch:
+    """The broadcast batch: bytes, so that executors need no copy of this package; unpacked once per worker process."""
+    token, data = shared.value
+    kept = sys.modules.setdefault("_boost_batches", types.ModuleType("_boost_batches")).__dict__.setdefault("batches", {})
+    if token not in kept:
+        kept.clear()
+        kept[token] = cloudpickle.loads(data)
+    return kept[token]
+
+
+def _ask(data, shared, asks: dict, turn: int, first: bool) -> dict:
+    """Per booster: the best split of every node asked (and the root's sums in a tree's first job).  ``shared``: the broadcast batch."""
+    if not asks:
+        return {}
+    summed = data.flatMap(lambda part: _of(shared).level(part, asks, turn, first)).reduceByKey(lambda a, b: a + b, data.getNumPartitions())
+    found = summed.map(lambda x: _of(shared).splits(x, asks)).collect()
+    return _collected(found)
+
+
 def _drop_checkpoint(sc, rdd) -> None:
     path = rdd.getCheckpointFile() if rdd is not None else None
     if path:
@@ -590,8 +637,11 @@ def fit_batch(store: Store, fits: list[Fit]) -> list[BoostedTrees]:
     while active:
         growing: dict[int, _Growing] = {}
         features = {i: batch.features(i, turn) for i in active}
-        asks = {i: (None, [0], features[i]) for i in active}
-        found = _ask(data, shared, asks, turn, True, one_block)          # makes and keeps the margins of this round, too
+        # this job also makes and keeps the margins of the round
+        if one_block:
+            found = {i: {"sums": sums, "tree": tree} for i, sums, tree in data.flatMap(lambda part, f=features, t=turn: _of(shared).whole_trees(part, f, t)).collect()}
+        else:
+            found = _ask(data, shared, {i: (None, [0], features[i]) for i in active}, turn, True)
         if before is not None:
             before.unpersist()
             before = None
@@ -599,7 +649,8 @@ def fit_batch(store: Store, fits: list[Fit]) -> list[BoostedTrees]:
                 _drop_checkpoint(spark_context, kept)
                 kept = data
         for i in sorted(active):
-            sums = found.get(i, {}).get("sums", (0,) * 6)
+            own = found.get(i, {})
+            sums = own.get("sums", (0,) * 6)
             if fits[i].patience and sums[5]:
                 loss = sums[4] / sums[5]
                 models[i].losses.append(loss)
@@ -611,12 +662,8 @@ def fit_batch(store: Store, fits: list[Fit]) -> list[BoostedTrees]:
             if turn >= fits[i].params.rounds:
                 active.discard(i)
                 continue
-            g = growing[i] = _Growing()
-            g.add(sums[:4], 0)
-            g.asked = 1
-            g.split[0] = found.get(i, {}).get("splits", {}).get(0) if fits[i].params.depth > 0 else None
-            g.choose(fits[i].params)
-        while True:
+            growing[i] = _Growing.of(own["tree"]) if "tree" in own else _root(sums, own.get("splits", {}), fits[i].params)
+        while not one_block:
             asks = {}
             for i, g in growing.items():
                 nodes = g.frontier(fits[i].params)
@@ -624,11 +671,9 @@ def fit_batch(store: Store, fits: list[Fit]) -> list[BoostedTrees]:
                     asks[i] = (g.routes(), nodes, features[i])
             if not asks:
                 break
-            found = _ask(data, shared, asks, turn, False, one_block)
+            answers = _ask(data, shared, asks, turn, False)
             for i, (_, nodes, _) in asks.items():
-                for n, s in found.get(i, {}).get("splits", {}).items():
-                    growing[i].split[nodes[n]] = s
-                growing[i].choose(fits[i].params)
+                growing[i].learn(nodes, answers.get(i, {}).get("splits", {}), fits[i].params)
         done = {}
         for i, g in growing.items():
             tree, routes = g.finish(fits[i].params, store.edges)
