@@ -36,6 +36,7 @@ from ..sources.bundle import Bundle, load_bundle, save_bundle
 from ..streaming.scoring import score_stream
 
 PARAMS = {"n_estimators": 100}          # the reference's booster: its parameters, 100 rounds
+BUNDLE_TRIALS = 3, 5                    # joint and subset trials of train_bundle
 
 
 def scratch(spark, name: str) -> str:
@@ -450,9 +451,10 @@ def permutation_importance(spark, sf_dir):
 
 @register("train_bundle", ids=("PIP-2", "SNK-3", "AGG-5", "CAL-1"))
 def train_bundle(spark, sf_dir):
-    """The whole training job: image filter, emotion and vector families, both searches at full budget, learning curve, attribution."""
+    """The whole training job: image filter, emotion and vector families, both searches, learning curve, attribution.  The searches have
+    ``BUNDLE_TRIALS`` trials here; with all trials they are the queries ``joint_search`` and ``subset_search``."""
     posts = FX.with_attributes(FX.posts(spark, sf_dir))
-    config = TrainConfig(params=PARAMS, vectors=True, vector_dim=128, learning_curve=True, attribution=True)
+    config = TrainConfig(params=PARAMS, vectors=True, vector_dim=128, learning_curve=True, attribution=True, joint_trials=BUNDLE_TRIALS[0], subset_trials=BUNDLE_TRIALS[1])
     out = train_run(spark, posts, config, images=FX.images(spark, sf_dir), make_image_model=make_byte_histogram_model, emotions=_emotion_state(spark, posts))
     path = scratch(spark, "bundle")
     save_bundle(spark, out.bundle, path)
