@@ -76,6 +76,47 @@ def mean_word_length(c) -> Column:
     return F.when(words > 0, chars / words).otherwise(F.lit(0.0))
 
 
+# ---- all counts of a text in one pass over bound texts
+
+COMBINED, MAIN, QUOTED = "_combined_counts", "_main_counts", "_quoted_counts"
+
+
+def bound(value: Column, build) -> Column:
+    """``build(value)`` with the value worked out once, however often ``build`` uses it."""
+    return F.transform(F.array(value), build)[0]
+
+
+def count_columns(text="text", quoted="quoted_text") -> list[Column]:
+    """The counts of the combined, main and quoted text as three structs: a lower projection from which
+    ``counted_metric_columns`` takes the metrics, so that no text is put together or scanned twice for one pattern."""
+    def combined(c: Column) -> Column:
+        return F.struct(F.length(c).cast("long").alias("chars"), count_matches(c, HASHTAG_PATTERN).alias("hashtags"), count_matches(c, MENTION_PATTERN).alias("mentions"),
+                        count_matches(c, URL_PATTERN).alias("urls"), count_matches(c, EMOJI_SCAN).alias("emojis"), count_matches(c, UPPERCASE_CHAR).alias("upper"),
+                        count_matches(c, ELONGATION_PATTERN).alias("elongations"), count_matches(c, EXCESS_PUNCT_PATTERN).alias("excess"))
+
+    def single(c: Column) -> Column:
+        return F.struct(F.length(c).cast("long").alias("chars"), count_matches(c, NON_SPACE_RUN).alias("words"), count_matches(c, SPACE_CHAR).alias("spaces"))
+
+    return [bound(combined_text(text, quoted), combined).alias(COMBINED), bound(text_or_empty(text), single).alias(MAIN), bound(text_or_empty(quoted), single).alias(QUOTED)]
+
+
+def counted_metric_columns() -> list[Column]:
+    """TXT-1 ... TXT-11 from the counts of ``count_columns``, named and typed as by the two functions below."""
+    c, t, q = (lambda f, s=s: F.col(f"{s}.{f}") for s in (COMBINED, MAIN, QUOTED))
+
+    def mean(x) -> Column:
+        return F.when(x("words") > 0, (x("chars") - x("spaces")) / x("words")).otherwise(F.lit(0.0))
+
+    kinds = ("hashtag", "mention", "url", "emoji")
+    return [
+        t("chars").alias("text_length"), q("chars").alias("quoted_text_length"), c("chars").alias("combined_text_length"),
+        t("words").alias("text_word_count"), q("words").alias("quoted_text_word_count"), (t("words") + q("words")).alias("combined_word_count"),
+        mean(t).alias("avg_word_length_text"), mean(q).alias("avg_word_length_quoted"),
+        *[c(f"{k}s").alias(f"{k}_count") for k in kinds], *[(c(f"{k}s") / c("chars")).alias(f"{k}_density") for k in kinds],
+        (c("upper") / c("chars")).alias("uppercase_ratio"), c("elongations").alias("word_elongation_count"), c("excess").alias("excessive_punctuation_count"),
+    ]
+
+
 def text_metric_columns(text="text", quoted="quoted_text") -> list[Column]:
     """TXT-1 ... TXT-8: the 16 basic text metrics."""
     t, q = text_or_empty(text), text_or_empty(quoted)
@@ -119,5 +160,4 @@ def informal_metric_columns(text="text", quoted="quoted_text") -> list[Column]:
 
 def text_metrics(df: DataFrame, key: str = "post_id", text="text", quoted="quoted_text") -> DataFrame:
     """Text family without embeddings: key + 19 metric columns."""
-    return df.select(F.col(key), *text_metric_columns(text, quoted),
-                     *informal_metric_columns(text, quoted))
+    return df.select(F.col(key), *count_columns(text, quoted)).select(F.col(key), *counted_metric_columns())

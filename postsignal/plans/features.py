@@ -1,7 +1,6 @@
 """Full feature job (PIP-1): the families as one lazy plan over a post table.
 
-Families that only need the post row are a single projection (Catalyst keeps
-them in one codegen stage, no join).  Model-based families (embeddings, PCA,
+Families that only need the post row are projections of one pass, without a join.  Model-based families (embeddings, PCA,
 image vectors, emotion scores) attach through ``align_vectors``/joins on the
 key and are added by the caller when a model is available.
 """
@@ -28,6 +27,8 @@ def fit_features(posts: DataFrame) -> FeatureState:
 
 
 def text_family(df: DataFrame, state: FeatureState | None = None) -> list:
+    if X.COMBINED in df.columns:         # a lower projection has counted already
+        return X.counted_metric_columns()
     return [*X.text_metric_columns(), *X.informal_metric_columns()]
 
 
@@ -59,8 +60,10 @@ for _name, _fn in FAMILIES.items():
 
 def all_features(posts: DataFrame, state: FeatureState, key: str = "post_id",
                  families: list[str] | None = None, passthrough: list[str] | None = None) -> DataFrame:
-    """Key + every column of the requested row-local families, one select."""
+    """Key + every column of the requested row-local families: one pass, the texts' counts in a projection below the others."""
     names = families or [n for n in FAMILIES if n != "emotional" or "emotion_anger" in posts.columns]
+    if "text" in names:
+        posts = posts.select("*", *X.count_columns())
     cols = []
     for n in names:
         cols += FAMILIES[n](posts, state)
