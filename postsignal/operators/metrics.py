@@ -167,8 +167,7 @@ def score_table(df: DataFrame, label="label", p="score", groups: list[str] | Non
     else:
         one = totals.first()
         out = out.withColumns({"P": F.lit(one["P"]), "N": F.lit(one["N"])})
-    # one table of distinct scores feeds several metrics and self-joins
-    return freeze(out)
+    return out
 
 
 def _ranking_terms() -> list[Column]:
@@ -200,23 +199,22 @@ def roc_curve(df: DataFrame, label="label", p="score") -> DataFrame:
     st = score_table(df, label, p, following=True)
     keep = ((F.col("idx") == 0) | F.col("next_pos").isNull()
             | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
-    pts = st.where(keep).select(F.col("score").alias("threshold"),
-                               F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double")).alias("fpr"),
-                               F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("tpr"))
-    start = st.where(F.col("idx") == 0).select(F.lit(float("inf")).alias("threshold"),
-                                                F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return start.unionByName(pts)
+    point = F.struct(F.col("score").cast("double").alias("threshold"),
+                     F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double")).alias("fpr"),
+                     F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("tpr"))
+    start = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    # the first score brings the start along: one pass over the table
+    return st.where(keep).select(F.explode(F.when(F.col("idx") == 0, F.array(start, point)).otherwise(F.array(point))).alias("r")).select("r.*")
 
 
 def pr_curve(df: DataFrame, label="label", p="score") -> DataFrame:
     """WIN-2: (threshold, precision, recall) for every distinct score plus the
     final (precision 1, recall 0) point with a null threshold."""
     st = score_table(df, label, p)
-    pts = st.select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-                    _safe_div(F.col("tp"), F.col("P"), 1.0).alias("recall"))
-    end = st.where(F.col("idx") == 0).select(F.lit(None).cast("double").alias("threshold"),
-                                              F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    return pts.unionByName(end)
+    point = F.struct(F.col("score").cast("double").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+                     _safe_div(F.col("tp"), F.col("P"), 1.0).alias("recall"))
+    end = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return st.select(F.explode(F.when(F.col("idx") == 0, F.array(point, end)).otherwise(F.array(point))).alias("r")).select("r.*")
 
 
 # -- lift (AGG-17, WIN-3, WIN-4) ------------------------------------------------------
@@ -249,11 +247,16 @@ def lift_table(df: DataFrame, label="label", p="score", key="event_id", bins: in
         st = score_table(df, label, p).select("score", "pos", (F.col("pos") + F.col("neg")).alias("cnt"), n.alias("_n"),
                                               (F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")).alias("_at"))
         st = st.withColumn("bin", bin_of(F.col("_at"), F.col("_n"))).withColumn("_last", bin_of(F.col("_at") + F.col("cnt") - 1, F.col("_n")))
-        whole = sums(st.where("bin = _last"), F.col("cnt"), F.col("pos"), F.col("score") * F.col("cnt"))
-        edges = F.broadcast(st.where("bin < _last").select("score", "_at", "_n"))
-        across = global_rank(narrow.join(edges, F.col("p") == F.col("score")), [F.col("_key").asc()], groups=["score"])
-        rest = sums(across.withColumn("bin", bin_of(F.col("rank") + F.col("_at"), F.col("_n"))), F.lit(1), F.col("y"), F.col("p"))
-        parts = whole.unionByName(rest)
+        # a row per bin, and one per score across an edge (no two cross the same): at most 2 * bins - 1 rows
+        short = st.groupBy("bin", "_last").agg(F.sum("cnt").alias("n"), F.sum("pos").alias("_pos"), F.sum(F.col("score") * F.col("cnt")).alias("_p"),
+                                               F.min("score").alias("score"), F.min("_at").alias("_at"), F.min("_n").alias("_n")).collect()
+        spark = df.sparkSession
+        parts = spark.createDataFrame([(r["bin"], r["n"], r["_pos"], float(r["_p"])) for r in short if r["bin"] == r["_last"]], "bin long, n long, _pos long, _p double")
+        cut = [(float(r["score"]), r["_at"], r["_n"]) for r in short if r["bin"] < r["_last"]]
+        if cut:
+            edges = F.broadcast(spark.createDataFrame(cut, "score double, _at long, _n long"))
+            across = global_rank(narrow.join(edges, F.col("p") == F.col("score")), [F.col("_key").asc()], groups=["score"])
+            parts = parts.unionByName(sums(across.withColumn("bin", bin_of(F.col("rank") + F.col("_at"), F.col("_n"))), F.lit(1), F.col("y"), F.col("p")))
     per = (parts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("_pos").cast("long").alias("_pos"), F.sum("_p").alias("_p"))
            .select("bin", "n", "_pos", (F.col("_pos") / F.col("n")).alias("actual"), (F.col("_p") / F.col("n")).alias("predicted_proba")))
     # windows below run over the <= bins rows of ``per`` only
