@@ -2,14 +2,22 @@
 
 Embeddings stay one ``array<double>`` column; dot products, norms and
 variances are higher-order ``aggregate``/``zip_with`` expressions evaluated on
-the executors, row by row, with no Python in the loop.
+the executors, row by row, with no Python in the loop.  Only the variance over
+tokens runs in Arrow batches (numpy over a batch's distinct words).
 """
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -41,6 +49,47 @@ def vec_variance(c) -> Column:
     return F.when(n > 1, ss / (n - 1))
 
 
+def token_variances(words: list[str], dim: int) -> np.ndarray:
+    """Sample variance of the components of every word's vector: its runs of three characters (a shorter word is one),
+    each added with a sign to one of ``dim`` places by its code, the value of its code points to base 31."""
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    start = np.cumsum(size) - size
+    grams = np.maximum(size - 2, np.minimum(size, 1))
+    word = np.repeat(np.arange(len(words)), grams)
+    at = np.repeat(start - (np.cumsum(grams) - grams), grams) + np.arange(int(grams.sum()))
+    code = points[at]
+    for step in (1, 2):
+        more = size[word] > step                      # a word's only run may be shorter than three
+        nxt = points[np.minimum(at + step, max(len(points) - 1, 0))]
+        code = np.where(more, code * 31 + nxt, code)
+    x = np.zeros((len(words), dim))
+    np.add.at(x, (word, code % dim), np.where(code // dim % 2 == 0, 1.0, -1.0))
+    return x.var(axis=1, ddof=1)
+
+
+def token_variance(text, dim: int = 32, known: int = 200_000) -> Column:
+    """TXT-12: mean over a text's tokens (runs without white space) of the variance of the token's vector; 0 without tokens.
+
+    One projection; a batch works out every distinct word once, ``known`` words at a time."""
+    @F.arrow_udf("double")
+    def mean(texts: pa.Array) -> pa.Array:
+        seen: dict[str, float] = {}
+        out = []
+        for t in texts.to_pylist():
+            words = (t or "").split()
+            fresh = list(dict.fromkeys(w for w in words if w not in seen))
+            if fresh:
+                if len(seen) > known:
+                    seen.clear()
+                    fresh = list(dict.fromkeys(words))
+                seen.update(zip(fresh, token_variances(fresh, dim).tolist()))
+            out.append(sum(seen[w] for w in words) / len(words) if words else 0.0)
+        return pa.array(out, pa.float64())
+
+    return mean(_c(text))
+
+
 def zeros(k: int) -> Column:
     return F.array_repeat(F.lit(0.0), k)
 

@@ -110,21 +110,29 @@ def url_count(spark, sf_dir):
     return p.select("post_id", *X.text_metric_columns()).select("post_id", "url_count", "url_density")
 
 
+def _emoji_sql_class() -> str:
+    """Emoji beyond ASCII but regional indicators, as the ``regex`` library's property table has them: the oracles' own source."""
+    import regex
+    emoji = regex.compile(r"\p{Emoji}")
+    return "[" + "".join(f"\\x{{{c:X}}}" for c in range(0x80, 0x1FB00) if emoji.match(chr(c)) and not 0x1F1E6 <= c <= 0x1F1FF) + "]"
+
+
+EMOJI_SQL = _emoji_sql_class()
 EMOJI_SUFFIX_SQL = ("CASE post_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' \U0001F600' "
-                    "WHEN 2 THEN ' \U0001F389\U0001F44D\U0001F3FD' ELSE ' ❤️✨© ok' END")
+                    "WHEN 2 THEN ' \U0001F389\U0001F44D\U0001F3FD \u2605\u2713\U0001F1E9\U0001F1EA' ELSE ' ❤️✨© ok' END")
 
 
 def _emoji_suffix():
     k = F.col("post_id") % 4
     return (F.when(k == 0, F.lit("")).when(k == 1, F.lit(" \U0001F600"))
-            .when(k == 2, F.lit(" \U0001F389\U0001F44D\U0001F3FD"))
+            .when(k == 2, F.lit(" \U0001F389\U0001F44D\U0001F3FD \u2605\u2713\U0001F1E9\U0001F1EA"))
             .otherwise(F.lit(" ❤️✨© ok")))
 
 
 @register("emoji_count", f"""
-SELECT post_id, {_count(f"(coalesce(text, '') || {EMOJI_SUFFIX_SQL} || ' ' || {Q_SQL})", X.EMOJI_CLASS)}
+SELECT post_id, {_count(f"(coalesce(text, '') || {EMOJI_SUFFIX_SQL} || ' ' || {Q_SQL})", EMOJI_SQL)}
          AS emoji_count,
-       {_count(f"(coalesce(text, '') || {EMOJI_SUFFIX_SQL} || ' ' || {Q_SQL})", X.EMOJI_CLASS)}
+       {_count(f"(coalesce(text, '') || {EMOJI_SUFFIX_SQL} || ' ' || {Q_SQL})", EMOJI_SQL)}
          / length(coalesce(text, '') || {EMOJI_SUFFIX_SQL} || ' ' || {Q_SQL}) AS emoji_density
 FROM posts""", ids=("TXT-7", "TXT-8"))
 def emoji_count(spark, sf_dir):
@@ -137,7 +145,7 @@ SELECT post_id,
   {_count(C_SQL, '#' + WORD_SQL + '+')} / length({C_SQL}) AS hashtag_density,
   {_count(C_SQL, '@' + WORD_SQL + '+')} / length({C_SQL}) AS mention_density,
   {_count(C_SQL, X.URL_PATTERN)} / length({C_SQL}) AS url_density,
-  {_count(C_SQL, X.EMOJI_CLASS)} / length({C_SQL}) AS emoji_density
+  {_count(C_SQL, EMOJI_SQL)} / length({C_SQL}) AS emoji_density
 FROM posts""", ids=("TXT-8",))
 def element_density(spark, sf_dir):
     return _text_family(spark, sf_dir).select("post_id", "hashtag_density", "mention_density",
@@ -167,6 +175,25 @@ def excess_punct(spark, sf_dir):
     return _text_family(spark, sf_dir).select("post_id", "excessive_punctuation_count")
 
 
+TOKEN_DIM = 32
+_GRAM_CODE = "list_sum(list_transform(range(1, len(g) + 1), lambda j: unicode(g[j]) * CAST(power(31, len(g) - j) AS BIGINT)))"
+
+
+@register("token_variance", f"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+')) AS word FROM documents),
+d AS (SELECT DISTINCT word FROM w),
+g AS (SELECT word, word[i:i + 2] AS g FROM (SELECT word, unnest(range(1, greatest(len(word) - 2, 1) + 1)) AS i FROM d)),
+c AS (SELECT word, {_GRAM_CODE} AS code FROM g),
+b AS (SELECT word, code % {TOKEN_DIM} AS bucket, sum(CASE WHEN (code // {TOKEN_DIM}) % 2 = 0 THEN 1 ELSE -1 END) AS x FROM c GROUP BY 1, 2),
+v AS (SELECT word, (sum(x * x) - CAST(sum(x) AS DOUBLE) * sum(x) / {TOKEN_DIM}) / ({TOKEN_DIM} - 1) AS variance FROM b GROUP BY 1),
+m AS (SELECT doc_id, avg(variance) AS mean FROM w JOIN v USING (word) GROUP BY 1)
+SELECT documents.doc_id, round(coalesce(mean, 0), 6) AS perplexity_score FROM documents LEFT JOIN m USING (doc_id)""", ids=("TXT-12",))
+def token_variance(spark, sf_dir):
+    """Mean over a text's tokens of the variance of the token's vector."""
+    docs = FX.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.round(V.token_variance("text", TOKEN_DIM), 6).alias("perplexity_score"))
+
+
 @register("embedding_variance", """
 SELECT label, count(*) AS n, round(avg(list_aggregate(embedding, 'var_samp')), 9) AS perplexity_score
 FROM embeddings GROUP BY label""", ids=("TXT-12",))

@@ -15,7 +15,7 @@ from ..operators import split as SP
 from ..registry import register
 from ..sources import fixtures as FX
 from ..plans.features import all_features as _all_features, fit_features
-from .catalog_features import C_SQL, NONSPACE_SQL, Q_SQL, T_SQL, WORD_SQL, _count, _words
+from .catalog_features import C_SQL, EMOJI_SQL, NONSPACE_SQL, Q_SQL, T_SQL, WORD_SQL, _count, _words
 from ..functions import text as X
 
 R9 = 9
@@ -51,11 +51,11 @@ SELECT p.post_id,
   CASE WHEN {_words(Q_SQL)} > 0 THEN {_count(Q_SQL, NONSPACE_SQL)} / {_words(Q_SQL)} ELSE cast(0 AS double) END
     AS avg_word_length_quoted,
   {_count(C_SQL, '#' + WORD_SQL + '+')} AS hashtag_count, {_count(C_SQL, '@' + WORD_SQL + '+')} AS mention_count,
-  {_count(C_SQL, X.URL_PATTERN)} AS url_count, {_count(C_SQL, X.EMOJI_CLASS)} AS emoji_count,
+  {_count(C_SQL, X.URL_PATTERN)} AS url_count, {_count(C_SQL, EMOJI_SQL)} AS emoji_count,
   {_count(C_SQL, '#' + WORD_SQL + '+')} / length({C_SQL}) AS hashtag_density,
   {_count(C_SQL, '@' + WORD_SQL + '+')} / length({C_SQL}) AS mention_density,
   {_count(C_SQL, X.URL_PATTERN)} / length({C_SQL}) AS url_density,
-  {_count(C_SQL, X.EMOJI_CLASS)} / length({C_SQL}) AS emoji_density,
+  {_count(C_SQL, EMOJI_SQL)} / length({C_SQL}) AS emoji_density,
   {_count(C_SQL, r'\p{Lu}')} / length({C_SQL}) AS uppercase_ratio,
   len(list_filter(range(1, len(ch) - 1), lambda i: ch[i] = ch[i + 1] AND ch[i] = ch[i + 2]
       AND regexp_full_match(ch[i], '{WORD_SQL}') AND (i = 1 OR ch[i - 1] <> ch[i]))) AS word_elongation_count,
