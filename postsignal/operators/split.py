@@ -152,7 +152,38 @@ def learning_subsets(df: DataFrame, key: str, fold: str = "fold", k: int = 5,
             .where(F.col("split") != F.col(fold)))
 
 
+SAMPLE_BITS = 12               # leading hash bits counted at a time
+
+
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """SMP-1: n rows chosen by hash order (all rows when fewer); a sampling
-    operator, so the limit is the feature."""
-    return df.orderBy(hash_order(key, seed), F.col(key)).limit(n)
+    """SMP-1: the n rows that come first by (hash of the key, key); all rows when fewer.  A sampling operator, so the limit
+    is the feature.
+
+    No sort: a histogram of the leading bits of the hash (4,096 counts at most) names the bucket in which the n-th row
+    lies, a second one cuts that bucket again, and so on; rows below the cut pass a filter.  Only the rows of the last
+    bucket, which share all bits counted, are ranked.  Rows that repeat a key are taken in no stated order."""
+    if n <= 0:
+        return df.limit(0)
+    h = hash_order(key, seed)
+    ordered = (F.shiftright(h, 1) + F.lit(1 << 62)).cast("long")          # 0 to 2**63 - 1, in the order of the hash but for its last bit
+    lo, width, below = 0, 63, 0                                           # the open range lo ... lo + 2**width - 1 and the rows before it
+    last = None
+    while width > 0:
+        step = min(SAMPLE_BITS, width)
+        cut = F.shiftright(ordered - F.lit(lo), width - step)
+        inside = df if width == 63 else df.where(ordered.between(lo, lo + (1 << width) - 1))
+        counts = {r["_b"]: r["count"] for r in inside.select(cut.cast("int").alias("_b")).groupBy("_b").count().collect()}
+        if below + sum(counts.values()) <= n and width == 63:
+            return df
+        for b in sorted(counts):
+            if below + counts[b] >= n:
+                break
+            below += counts[b]
+        lo, width, last = lo + (b << (width - step)), width - step, counts[b]
+        if below + last == n or last <= (1 << SAMPLE_BITS):
+            break
+    before = df.where(ordered < lo)
+    edge = df.where(ordered.between(lo, lo + (1 << width) - 1))
+    if below + last > n:
+        edge = edge.orderBy(h, F.col(key)).limit(n - below)
+    return before.unionByName(edge)

@@ -63,7 +63,7 @@ def test_learning_subsets_nested_prefixes(spark, labelled):
 def test_seeded_sample_deterministic(spark, labelled):
     a = [r["k"] for r in SP.seeded_sample(labelled.repartition(2), 50, "k", 7).collect()]
     b = [r["k"] for r in SP.seeded_sample(labelled.repartition(9), 50, "k", 7).collect()]
-    assert a == b and len(set(a)) == 50
+    assert sorted(a) == sorted(b) and len(set(a)) == 50     # the rows are the sample; a table has no order
 
 
 def test_oversample_exact_counts_and_copies(spark, labelled):
@@ -128,3 +128,15 @@ def test_balance_skip_band_and_unknown(spark):
     assert B.balance(df, "y", "k", "oversample") is df       # ratio 1 is inside [0.5, 2]
     skewed = spark.createDataFrame([(i, int(i < 2)) for i in range(10)], "k long, y int")
     assert B.balance(skewed, "y", "k", "unheard of") is skewed
+
+
+def test_seeded_sample_equals_the_sorted_prefix(spark):
+    from postsignal.operators.split import hash_order
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    for n in (0, 1, 37, 5000, 19_999, 20_000, 30_000):
+        want = {r["k"] for r in df.orderBy(hash_order("k", 7), "k").limit(n).collect()}
+        assert {r["k"] for r in SP.seeded_sample(df, n, "k", 7).collect()} == want
+    hot = spark.range(12_000).select((F.col("id") % 3 * (F.col("id") > 9000).cast("long")).alias("k"))      # one key has most rows
+    for n in (5, 4000, 11_500):
+        assert SP.seeded_sample(hot, n, "k", 7).count() == n
+    assert SP.seeded_sample(df.limit(0), 5, "k").count() == 0
