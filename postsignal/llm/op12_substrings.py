@@ -120,7 +120,7 @@ _BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("ends
 
 def _blocks(p: RepeatParams):
     def run(batches):
-        codec, n = pa.Codec("zstd"), 0
+        codec, n = pa.Codec("zstd", compression_level=9), 0
         part = TaskContext.get().partitionId() << 32
         for batch in batches:
             buf, off = utf8(batch.column(1))
