@@ -7,8 +7,8 @@
   ``CHECKPOINT_ROUNDS`` rounds.
 * **Levels, not splits.**  All boosters of a batch (folds, trials, sizes of a
   learning curve) grow their next tree together, one Spark job per tree level (a
-  table of a single block has nothing to exchange between levels, so there the
-  levels of a tree follow each other inside one job, by the same steps).
+  table of a single block has nothing to exchange between levels and rounds, so there
+  a job takes every booster ``CHECKPOINT_ROUNDS`` rounds on, by the same steps).
   A block sums gradients, hessians and counts per (booster, node, feature, bin);
   blocks meet by ``reduceByKey`` over (booster, run of features), and the best split
   of every node is found there.  The driver receives one split per node and run.
@@ -345,10 +345,15 @@ class _Growing:
             self.split[nodes[n]] = s
         self.choose(p)
 
-    def finish(self, p: Params, edges: list[np.ndarray]) -> tuple[Tree, dict]:
-        """The tree, and its routes with leaf values for the rows' bins."""
+    def valued(self, p: Params) -> dict:
+        """The routes of the rows' bins, with leaf values."""
         r = self.routes()
-        value = np.array([0.0 if f >= 0 else p.rate * leaf_value(s[0] / UNIT, s[1] / UNIT, p) for f, s in zip(r["feature"], self.sums)])
+        return {**r, "value": np.array([0.0 if f >= 0 else p.rate * leaf_value(s[0] / UNIT, s[1] / UNIT, p) for f, s in zip(r["feature"], self.sums)])}
+
+    def finish(self, p: Params, edges: list[np.ndarray]) -> tuple[Tree, dict]:
+        """The tree, and its routes with leaf values."""
+        r = self.valued(p)
+        value = r["value"]
         inner = r["feature"] >= 0
         threshold = np.array([math.inf if f < 0 or b >= len(edges[f]) else edges[f][b] for f, b in zip(r["feature"], r["bin"])])
         gain = np.array([self.split[i].gain if inner[i] else 0.0 for i in range(len(inner))])
@@ -361,7 +366,7 @@ class _Growing:
         child = lambda c: np.where(inner, number[np.maximum(c, 0)], -1)[reach]
         cover = np.array([s[3] / UNIT for s in self.sums])
         tree = Tree(r["feature"][reach], threshold[reach], r["missing_left"][reach], child(r["left"]), child(r["right"]), value[reach], cover[reach], gain[reach])
-        return tree, {**r, "value": value}
+        return tree, r
 
 
 def leaf_value(gradient: float, hessian: float, p: Params) -> float:
@@ -528,21 +533,31 @@ class _Batch:
         f = asks[i][2][run:run + FEATURE_RUN]
         return key, _best(hist, f, self.bins[f], self.fits[i].params)
 
-    def whole_trees(self, part: dict, features: dict, turn: int) -> list:
-        """For an element with all rows of its boosters: (booster, root sums, grown tree), level after level as in the driver's loop."""
-        out = []
-        for i in part["fits"]:
-            if i not in features:
-                continue
-            p = self.fits[i].params
-            asks = {i: (None, [0], features[i])}
-            found = _collected(self.splits(x, asks) for x in self.level(part, asks, turn, True))[i]
-            g = _root(found["sums"], found.get("splits", {}) if turn < p.rounds else {}, p)
-            while nodes := g.frontier(p):
-                asks = {i: (g.routes(), nodes, features[i])}
-                g.learn(nodes, _collected(self.splits(x, asks) for x in self.level(part, asks, turn, False)).get(i, {}).get("splits", {}), p)
-            out.append((i, found["sums"], g.plain()))
-        return out
+    def stretch(self, part: dict) -> dict:
+        """For an element with all rows of its boosters: their next ``CHECKPOINT_ROUNDS`` rounds, by the steps of the driver's loop."""
+        part = {**part, "margin": part["margin"].copy(), "course": {}, "grown": {}}
+        for k, (i, course) in enumerate(zip(part["fits"], part["courses"])):
+            fit, course, grown = self.fits[i], {**course, "losses": list(course["losses"])}, []
+            p = fit.params
+            one = {"block": part["block"], "fits": [i], "role": part["role"][:, k:k + 1], "margin": part["margin"][:, k:k + 1]}
+            while course["going"] and len(grown) < CHECKPOINT_ROUNDS:
+                turn = course["turn"]
+                features = self.features(i, turn)
+                asks = {i: (None, [0], features)}
+                found = _collected(self.splits(x, asks) for x in self.level(one, asks, turn, True))[i]
+                if not _goes_on(course, found["sums"], fit):
+                    break
+                g = _root(found["sums"], found.get("splits", {}), p)
+                while nodes := g.frontier(p):
+                    asks = {i: (g.routes(), nodes, features)}
+                    g.learn(nodes, _collected(self.splits(x, asks) for x in self.level(one, asks, turn, False)).get(i, {}).get("splits", {}), p)
+                routes = g.valued(p)
+                one["margin"][:, 0] += routes["value"][bins_to_nodes(part["block"]["x"], self.missing, routes)]
+                grown.append(g.plain())
+                _grew(course, g, fit)
+            part["course"][i], part["grown"][i] = course, grown
+        part["courses"] = [part["course"][i] for i in part["fits"]]
+        return part
 
     def moved(self, part: dict, done: dict) -> dict:
         """The element with its boosters' margins after their last trees."""
@@ -553,6 +568,38 @@ class _Batch:
         return {**part, "margin": margin}
 
 
+def _course(fit: Fit) -> dict:
+    """How far a booster has come: its rounds, its losses and the least of them, whether it goes on."""
+    return {"turn": 0, "losses": [], "least": (math.inf, 0), "going": fit.params.rounds > 0}
+
+
+def _goes_on(course: dict, sums: tuple, fit: Fit) -> bool:
+    """Whether another tree is grown, after the sums of a round's first step."""
+    turn = course["turn"]
+    if fit.patience and sums[5]:
+        loss = sums[4] / sums[5]
+        course["losses"].append(loss)
+        if turn and loss < course["least"][0]:               # one round is kept at least
+            course["least"] = (loss, turn)
+        elif turn - course["least"][1] >= fit.patience:
+            course["going"] = False
+    if turn >= fit.params.rounds:
+        course["going"] = False
+    return course["going"]
+
+
+def _grew(course: dict, g: _Growing, fit: Fit) -> None:
+    """After a round's tree."""
+    p = fit.params
+    course["turn"] += 1
+    # a booster that splits nothing now never will (with all rows and features), or waits for another draw of them
+    if not g.taken and p.features >= 1 and not (p.rows_every and p.rows < 1):
+        course["going"] = False
+    # without patience nothing is learned from one more job after the last round
+    if course["turn"] >= p.rounds and not fit.patience:
+        course["going"] = False
+
+
 def _root(sums: tuple, splits: dict, p: Params) -> _Growing:
     """A tree of one node whose best split is known."""
     g = _Growing()
@@ -617,53 +664,74 @@ def fit_batch(store: Store, fits: list[Fit]) -> list[BoostedTrees]:
     blocks = max(1, -(-store.count // BLOCK_ROWS))
     groups = max(1, min(len(fits), -(-spark_context.defaultParallelism // blocks)))     # few blocks: cores share the boosters
     dealt = [list(range(g, len(fits), groups)) for g in range(groups)]
+    courses = [_course(f) for f in fits]
 
     def start(block):
         for mine in dealt:
             role = np.stack([roles(block, fits[i].learn, fits[i].check) for i in mine], axis=1)
-            yield {"block": block, "fits": mine, "role": role, "margin": np.tile(np.array([base[i] for i in mine]), (len(block["y"]), 1))}
+            yield {"block": block, "fits": mine, "role": role, "margin": np.tile(np.array([base[i] for i in mine]), (len(block["y"]), 1)),
+                   "courses": [courses[i] for i in mine]}
 
     one_block = store.blocks.count() <= 1
     data = store.blocks.flatMap(start)
     if groups > 1:
         data = data.map(lambda e: (int(e["block"]["uid"][0] >> np.uint64(33)) + e["fits"][0] if not one_block else e["fits"][0], e)).partitionBy(
             groups * blocks, lambda k: k).values()
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     models = [BoostedTrees(list(store.columns), base[i]) for i in range(len(fits))]
-    least: list[tuple[float, int]] = [(math.inf, 0)] * len(fits)
-    active = {i for i in range(len(fits)) if fits[i].params.rounds > 0 and store.count}
+    if store.count:
+        (_alone if one_block else _in_step)(spark_context, batch, shared, data.persist(StorageLevel.MEMORY_AND_DISK), models, courses, store.edges)
+    shared.destroy()
+    for i, m in enumerate(models):
+        m.losses.extend(courses[i]["losses"])
+        if m.losses:
+            m.trees = m.trees[:courses[i]["least"][1]]
+        _narrow(m, fits[i].columns)
+    return models
+
+
+def _alone(context, batch: _Batch, shared, data, models: list[BoostedTrees], courses: list[dict], edges: list) -> None:
+    """Boosters whose rows are one block: elements exchange nothing, so a job runs ``CHECKPOINT_ROUNDS`` rounds of each."""
+    kept = None
+    while any(c["going"] for c in courses):
+        before, data = data, data.map(lambda part: _of(shared).stretch(part)).persist(StorageLevel.MEMORY_AND_DISK)
+        data.checkpoint()
+        for course, grown in data.map(lambda part: (part["course"], part["grown"])).collect():
+            for i, trees in grown.items():
+                courses[i] = course[i]
+                models[i].trees.extend(_Growing.of(t).finish(batch.fits[i].params, edges)[0] for t in trees)
+        before.unpersist()
+        _drop_checkpoint(context, kept)
+        kept = data
+    data.unpersist()
+    _drop_checkpoint(context, kept)
+
+
+def _in_step(context, batch: _Batch, shared, data, models: list[BoostedTrees], courses: list[dict], edges: list) -> None:
+    """Boosters over many blocks: one job per level of a round's trees."""
+    fits = batch.fits
     kept = before = None
+    done: dict = {}
     turn = 0
-    while active:
-        growing: dict[int, _Growing] = {}
+    while active := [i for i, c in enumerate(courses) if c["going"]]:
+        if turn:
+            before, data = data, data.map(lambda part, done=done: _of(shared).moved(part, done)).persist(StorageLevel.MEMORY_AND_DISK)
+            if turn % CHECKPOINT_ROUNDS == 0:
+                data.checkpoint()
         features = {i: batch.features(i, turn) for i in active}
         # this job also makes and keeps the margins of the round
-        if one_block:
-            found = {i: {"sums": sums, "tree": tree} for i, sums, tree in data.flatMap(lambda part, f=features, t=turn: _of(shared).whole_trees(part, f, t)).collect()}
-        else:
-            found = _ask(data, shared, {i: (None, [0], features[i]) for i in active}, turn, True)
+        found = _ask(data, shared, {i: (None, [0], features[i]) for i in active}, turn, True)
         if before is not None:
             before.unpersist()
             before = None
             if turn % CHECKPOINT_ROUNDS == 0:
-                _drop_checkpoint(spark_context, kept)
+                _drop_checkpoint(context, kept)
                 kept = data
-        for i in sorted(active):
-            own = found.get(i, {})
-            sums = own.get("sums", (0,) * 6)
-            if fits[i].patience and sums[5]:
-                loss = sums[4] / sums[5]
-                models[i].losses.append(loss)
-                if turn and loss < least[i][0]:          # one round is kept at least
-                    least[i] = (loss, turn)
-                elif turn - least[i][1] >= fits[i].patience:
-                    active.discard(i)
-                    continue
-            if turn >= fits[i].params.rounds:
-                active.discard(i)
-                continue
-            growing[i] = _Growing.of(own["tree"]) if "tree" in own else _root(sums, own.get("splits", {}), fits[i].params)
-        while not one_block:
+        growing: dict[int, _Growing] = {}
+        for i in active:
+            sums = found.get(i, {}).get("sums", (0,) * 6)
+            if _goes_on(courses[i], sums, fits[i]):
+                growing[i] = _root(sums, found.get(i, {}).get("splits", {}), fits[i].params)
+        while True:
             asks = {}
             for i, g in growing.items():
                 nodes = g.frontier(fits[i].params)
@@ -676,32 +744,13 @@ def fit_batch(store: Store, fits: list[Fit]) -> list[BoostedTrees]:
                 growing[i].learn(nodes, answers.get(i, {}).get("splits", {}), fits[i].params)
         done = {}
         for i, g in growing.items():
-            tree, routes = g.finish(fits[i].params, store.edges)
+            tree, routes = g.finish(fits[i].params, edges)
             models[i].trees.append(tree)
             done[i] = routes
+            _grew(courses[i], g, fits[i])
         turn += 1
-        # a booster that splits nothing now never will (with all rows and features), or waits for another draw of them
-        for i, g in growing.items():
-            p = fits[i].params
-            if not g.taken and p.features >= 1 and not (p.rows_every and p.rows < 1):
-                active.discard(i)
-        # without patience nothing is learned from one more job after the last round
-        active -= {i for i in active if turn >= fits[i].params.rounds and not fits[i].patience}
-        if not active:
-            break
-        before, data = data, data.map(lambda part, done=done: _of(shared).moved(part, done)).persist(StorageLevel.MEMORY_AND_DISK)
-        if turn % CHECKPOINT_ROUNDS == 0:
-            data.checkpoint()
-    for rdd in (before, data):
-        if rdd is not None:
-            rdd.unpersist()
-    _drop_checkpoint(spark_context, kept)
-    shared.destroy()
-    for i, m in enumerate(models):
-        if m.losses:
-            m.trees = m.trees[:least[i][1]]
-        _narrow(m, fits[i].columns)
-    return models
+    data.unpersist()
+    _drop_checkpoint(context, kept)
 
 
 def _narrow(m: BoostedTrees, columns: list[str] | None) -> None:
