@@ -172,3 +172,24 @@ def test_defined_cases(spark):
             m = fit_batch(store, [Fit(p, weight="w"), Fit(p, columns=[])])
         assert all(0 < r["p"] < 1 for x in m for r in x.probability(df).collect())
         assert not m[1].trees or all(len(t.feature) == 1 for t in m[1].trees)
+
+
+def test_a_table_beyond_the_old_block_is_one_block_and_few_partitions_hold_the_rest(spark):
+    """40,000 rows need no job per tree level; smaller blocks are added up in few partitions before they meet."""
+    df = spark.range(0, 40_000, 1, 40).selectExpr("id", "cast(id % 2 as int) label", "cast(id % 7 as double) a", "cast(id % 11 as double) b")
+    with bin_rows(df, ["a", "b"], "label", "id") as store:
+        assert store.count == 40_000 and store.blocks.count() == 1
+    with bin_rows(df, ["a", "b"], "label", "id", block_rows=500) as store:
+        assert store.count == 40_000 and store.blocks.count() >= 40
+        assert store.blocks.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_of_two_children_the_smaller_is_summed():
+    from postsignal.operators.boost import _Batch, _Growing
+    g = _Growing(sums=[(0, 0, 10, 10), (0, 0, 7, 7), (0, 0, 3, 3)], depth=[0, 1, 1], split=[None] * 3, children=[(1, 2), None, None])
+    assert g.summed([1, 2], [0]) == ([2], [(0, 0), (0, -1)])
+    assert g.summed([1], [0]) == ([2], [(0, 0)])
+    root, small = np.arange(24).reshape(4, 1, 6) * 3, np.arange(24).reshape(4, 1, 6)
+    batch = _Batch.__new__(_Batch)
+    _, whole = batch.whole(((0, 0), small), {0: (None, [2], None, [(0, 0), (0, -1)])}, root)
+    assert (whole[:, 0] == root[:, 0] - small[:, 0]).all() and (whole[:, 1] == small[:, 0]).all()
