@@ -1,8 +1,8 @@
-"""Vectors written as text by the vector queries."""
+"""Vectors written as text by the vector queries; rows dealt anew by the fingerprint query."""
 
 from pyspark.sql import functions as F
 
-from postsignal.plans.catalog_ml import _numbers
+from postsignal.plans.catalog_ml import _dealt, _numbers
 
 
 def test_components_are_written_with_six_decimals(spark):
@@ -14,3 +14,9 @@ def test_components_are_written_with_six_decimals(spark):
 def test_float_vectors_too(spark):
     df = spark.createDataFrame([([0.5, -0.25],)], "v array<float>").select(_numbers("v"))
     assert df.first()["vector"] == "0.500000,-0.250000"
+
+
+def test_fingerprint_deals_rows_to_all_tasks_of_a_shuffle(spark):
+    df = spark.range(1000)
+    dealt = _dealt(spark, df)
+    assert dealt.rdd.getNumPartitions() == 8 and dealt.count() == 1000
