@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from postsignal.operators import boost
 from postsignal.operators.boost import UNIT, Fit, Params, bin_rows, fit_batch
 from postsignal.operators.trees import BoostedTrees
 
@@ -193,3 +194,26 @@ def test_of_two_children_the_smaller_is_summed():
     batch = _Batch.__new__(_Batch)
     _, whole = batch.whole(((0, 0), small), {0: (None, [2], None, [(0, 0), (0, -1)])}, root)
     assert (whole[:, 0] == root[:, 0] - small[:, 0]).all() and (whole[:, 1] == small[:, 0]).all()
+
+
+def test_rows_and_hessians_are_summed_in_one_number():
+    """Without weights two sums a feature give what three would; narrow features are counted together."""
+    rng = np.random.default_rng(3)
+    n, width = 70_000, np.array([3, 2, 4, 40, 256, 3])
+    x = np.asfortranarray(np.stack([rng.integers(0, w, n) for w in width], axis=1).astype(np.uint8))
+    rows, place = np.arange(n), np.sort(rng.integers(0, 3, n))
+    g, h = rng.integers(-(1 << 24), 1 << 24, n).astype(float), rng.integers((1 << 22) - 2, (1 << 22) + 1, n).astype(float)
+    got = boost._histogram(x, rows, place, 3, np.arange(6), width, g, h, None)
+    assert got.shape == (3, 3, width.sum())                     # weights are not carried where there are none
+    want = boost._histogram(x, rows, place, 3, np.arange(6), width, g, h, np.ones(n))
+    assert (got == want[:3]).all()
+    for f, at in enumerate(np.cumsum(width) - width):
+        for node in range(3):
+            of = [(place == node) & (x[:, f] == v) for v in range(width[f])]
+            assert got[:, node, at:at + width[f]].T.tolist() == [[int(g[m].sum()), int(h[m].sum()), int(m.sum())] for m in of]
+
+
+def test_a_table_of_one_block_needs_no_job_per_level(spark):
+    df = spark.range(150_000).selectExpr("id", "cast(id % 3 = 0 as int) as label", "cast(id % 50 as double) as a")
+    with bin_rows(df, ["a"], "label", "id") as store:
+        assert store.count == 150_000 and store.blocks.count() == 1
