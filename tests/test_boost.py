@@ -217,3 +217,36 @@ def test_a_table_of_one_block_needs_no_job_per_level(spark):
     df = spark.range(150_000).selectExpr("id", "cast(id % 3 = 0 as int) as label", "cast(id % 50 as double) as a")
     with bin_rows(df, ["a"], "label", "id") as store:
         assert store.count == 150_000 and store.blocks.count() == 1
+
+
+def test_arrow_batches_of_one_partition_are_one_block(spark):
+    """A partition of many Arrow batches is joined as many partitions are: else a small table takes a job per tree level."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        df = spark.createDataFrame(_rows(), SCHEMA).coalesce(1)
+        with bin_rows(df, COLS, "label", "id") as store:
+            assert store.count == 500 and store.blocks.map(lambda b: len(b["y"])).collect() == [500]
+        with bin_rows(df, COLS, "label", "id", block_rows=200) as store:
+            assert store.blocks.map(lambda b: len(b["y"])).collect() == [200, 200, 100]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_boosters_are_dealt_by_load():
+    dealt = boost._dealt([1, 1, 1, 1, 4, 4], 3)
+    assert sorted(i for g in dealt for i in g) == list(range(6)) and [4] in dealt and [5] in dealt
+    assert boost._dealt([0, 0, 0], 3) == [[0], [1], [2]]
+
+
+def test_few_rows_down_all_trees_together():
+    from postsignal.operators.trees import FEW_ROWS, Tree
+    rng = np.random.default_rng(3)
+    trees = [Tree(np.array([0, 1, -1, -1, -1]), np.array([0.0, rng.normal(), math.inf, math.inf, math.inf]), np.array([t % 2 == 0, t % 3 == 0, False, False, False]),
+                  np.array([1, 2, -1, -1, -1]), np.array([4, 3, -1, -1, -1]), rng.normal(size=5), np.ones(5), np.ones(5)) for t in range(7)]
+    model = BoostedTrees(["a", "b"], 0.1, trees)
+    x = rng.normal(size=(FEW_ROWS + 100, 2))
+    x[rng.random(x.shape) < 0.2] = math.nan
+    want = np.full(len(x), 0.1)
+    for t in trees:
+        want += t.value[t.leaves(x)]
+    assert (model.margin(x[:50]) == want[:50]).all() and (model.margin(x) == want).all() and not len(model.margin(x[:0]))
