@@ -198,3 +198,21 @@ def test_the_registered_queries_ask_for_the_whole_budget(monkeypatch):
     assert inspect.signature(subset_search).parameters["trials"].default == 50
     assert [inspect.signature(joint_search).parameters[k].default for k in ("outer", "inner", "trials", "rounds")] == [3, 5, 30, 500]
     assert (TrainConfig().joint_trials, TrainConfig().subset_trials) == (30, 50)
+
+
+def test_pca_works_out_its_vectors_once(spark):
+    """Mean and covariance read kept vectors: the expensive step below them runs once a row."""
+    from pyspark.sql import functions as F
+
+    from postsignal.operators.embed import fit_pca
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(i):
+        seen.add(1)
+        return [float(i), float(i * i % 7), float(i % 3)]
+
+    rows = spark.range(200, numPartitions=1).select(vector("id").alias("v"))
+    state = fit_pca(rows, "v", 2)
+    assert state.mode == "pca" and len(state.mean) == 3 and seen.value == 200
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
