@@ -4,8 +4,10 @@ import os
 import threading
 
 import pytest
+from pyspark.ml import Estimator
 from pyspark.sql import functions as F
 
+from postsignal.operators.calibrate import SigmoidCalibrator, fit_calibrator
 from postsignal.operators.train import FeatureSpec, train_folds
 from postsignal.session import drop_checkpoint, few_tasks, settled, side_by_side
 
@@ -40,3 +42,18 @@ def test_a_settled_table_has_few_tasks_and_its_files_go(spark):
     assert os.path.isdir(path)
     drop_checkpoint(kept)
     assert not os.path.exists(path)
+
+
+def test_the_folds_calibrators_are_fitted_at_a_time_and_by_few_tasks(spark):
+    both, tasks = threading.Barrier(2, timeout=60), []
+
+    class Waiting(SigmoidCalibrator, Estimator):
+        def _fit(self, df):
+            tasks.append(df.rdd.getNumPartitions())
+            both.wait()
+            return super()._fit(df)
+
+    df = spark.range(240).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 2).cast("int").alias("fold"),
+                                 (F.col("id") % 11).cast("double").alias("x")).repartition(40).checkpoint()
+    cal = fit_calibrator(df, FeatureSpec(["x"]), {"n_estimators": 3}, "y", "fold", Waiting(), key="k")
+    assert len(cal.stages) == 2 and max(tasks) <= spark.sparkContext.defaultParallelism
