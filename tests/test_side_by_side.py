@@ -36,6 +36,7 @@ def test_side_by_side_keeps_the_order_and_runs_at_a_time(spark):
 def test_a_settled_table_has_few_tasks_and_its_files_go(spark):
     df = settled(spark.range(1000).repartition(60).withColumn("z", F.col("id") * 2))
     assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and df.agg(F.sum("z")).first()[0] == 999_000
+    assert settled(spark.range(20_000, numPartitions=2)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert few_tasks(spark.range(5, numPartitions=1)).rdd.getNumPartitions() == 1
     kept = spark.range(10).checkpoint()
     path = kept._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")
