@@ -19,3 +19,13 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_small():
     return SF_SMALL
+
+
+@pytest.fixture(scope="module", autouse=True)
+def own_caches():
+    """Tables that a module's fixtures cache end with the module."""
+    yield
+    from pyspark.sql import SparkSession
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        active.catalog.clearCache()
